@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from geolode.llm import bpe, mixing, secrets
+from geolode.llm import bpe, chat, licences, mixing, quality, rules, secrets
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_chat_format": chat.op3_chat_format,
+    "op4_license_scan": licences.op4_license_scan,
+    "op5_quality_rules": rules.op5_quality_rules,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 SQL = {
     "op2_mix_sources": mixing.SQL,
+    "op3_chat_format": chat.SQL,
+    "op4_license_scan": licences.SQL,
+    "op5_quality_rules": rules.SQL,
 }

@@ -16,28 +16,31 @@ is by a sketch of how often signatures occur, of fixed size, then by hash, so
 passages that many texts share make no candidates unless a text is made of
 them. Signatures that occur once are left out, as nothing can share them.
 
-Steps: (1) sizes, set hashes and the sketch, one pass; texts with equal sets are
-one class from here on; (2) signatures, packed by hash range, each range giving
-links from the least member of a signature's group to the others, never all
-pairs; (3) connected components of these, the candidate clusters; (4) exact
-overlaps inside each cluster by products of incidence matrices, clusters dealt
-in pairs of blocks of bounded size, each giving a spanning forest of true links;
-(5) components of those. No partner is ever left out: bounds are on the size
-of a task's input only.
+Steps: (1) sizes, set hashes, profiles and the sketch, one pass; texts with
+equal sets are one class from here on; (2) signatures, packed by hash range;
+each range gives the pairs of small groups, and larger groups by name; (3)
+profiles (how many shingles lie in each of some cells) that differ by more than
+the sets may rule a pair out; what is left, in a larger group a spanning forest
+of it, is connected into candidate clusters (of groups beyond 4096 sets every
+member is, with no profiles looked at); (4) exact overlaps inside each
+cluster by products of incidence matrices, clusters dealt in pairs of blocks of
+bounded size, each giving a spanning forest of true links; (5) components of
+those. No partner is ever left out: bounds are on the size of a task's input
+and on how a group is written down only.
 
 Words are ASCII-lower-cased runs without ASCII white space. Nulls and texts
 without words have the empty set and link with nothing; a text shorter than a
 shingle has one, the whole sequence. Rows with equal ids each give a row; a
 null id is a row like others and never a component's id unless all are null.
 Empty tables give empty results, other columns are ignored. Shingles and sets
-are told apart by 64-bit hashes.
+are told apart by hashes of 52 and 64 bits.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from fractions import Fraction
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +52,14 @@ from geolode.llm.components import components
 
 WORDS, PERCENT = 5, 75
 #: Counters of the sketch; it is sent to every worker and does not grow.
-COUNTERS, SLICES = 1 << 21, 32
+COUNTERS, SLICES = 1 << 22, 32
 #: Sets in one block of a cluster.
-BLOCK = 512
-#: Bits that say which sets are in clusters, sent to every worker.
+BLOCK = 1024
+#: Bits that say which texts are in clusters, sent to every worker.
 BITS = 1 << 25
-_FLUSH = 400_000
+#: Fewest cells of a profile; groups of up to so many sets are written as pairs; up to so many are compared by profile.
+CELLS, PAIRED, BOUNDED = 128, 8, 4096
+_FLUSH, _SOME_BYTES = 400_000, 6 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -77,83 +82,149 @@ class _Words(dict):
         return h
 
 
-def shingles(raw: bytes | None, words: dict, n: int = WORDS) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles."""
-    w = raw.lower().split() if raw else []  # bytes: A-Z and ASCII white space only
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(words.__getitem__, w)), dtype=np.uint64)
-    span = min(n, len(h))
-    out = _mix(h[: len(h) - span + 1] + np.uint64(span))
-    for i in range(1, span):
-        out = _mix(out + h[i : len(h) - span + 1 + i] * _A)
-    return np.unique(out)
-
-
-def set_hash(s: np.ndarray) -> int:
-    """One number for a set, 0 for the empty one."""
-    if not len(s):
-        return 0
-    with np.errstate(over="ignore"):
-        return int(_mix(np.array([_mix(s + _A).sum() + np.uint64(len(s))]))[0].view(np.int64)) or 1
-
-
-def bands(size: int, percent: int) -> list[int]:
-    """The bands that a set of this size has signatures in."""
-    own = (size.bit_length() - 1) // 2
-    upper = (size * 100 // percent).bit_length() - 1
-    return [own] if upper // 2 == own else [own, own + 1]
-
-
-def signatures(s: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """All signatures of a set in a band: a hash of its contents in each partition that is not empty.
-
-    Where so many shingles fell together that fewer partitions than the bound
-    are filled, the empty ones sign as well, since agreement may lie there.
-    """
-    parts = max(1024, (4 << 2 * band) * 4 // 5)
-    at = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash, so contents are runs
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    salt = np.uint64((band + 1) * int(_C) & (1 << 64) - 1)
-    out = _mix(np.add.reduceat(_mix(s), first) + _mix(at[first] + salt))
-    if len(first) <= differences(len(s), percent):
-        out = np.r_[out, _mix(np.setdiff1d(np.arange(parts, dtype=np.uint64), at) + salt + _A)]
-    return out
-
-
-def differences(size: int, percent: int) -> int:
+class Sets:
+    """The shingle sets of some texts, one after the other: hashes of 52 bits, rising in each set."""
+
+    def __init__(self, raws: list[bytes | None], words: dict, n: int = WORDS):
+        parts = [raw.lower().split() if raw else [] for raw in raws]  # bytes: A-Z and ASCII white space only
+        count = np.array([len(p) for p in parts], np.int64)
+        total = int(count.sum())
+        h = np.fromiter(map(words.__getitem__, chain.from_iterable(parts)), np.uint64, total)
+        del parts
+        begin = np.cumsum(count) - count
+        doc = np.repeat(np.arange(len(raws), dtype=np.uint64), count)
+        rolled = []
+        if total >= n:
+            whole = _mix(h[: total - n + 1] + np.uint64(n))
+            for i in range(1, n):
+                whole = _mix(whole + h[i : total - n + 1 + i] * _A)
+            inside = np.arange(total - n + 1) + n <= (begin + count)[doc[: total - n + 1].astype(np.int64)]
+            rolled.append(doc[: total - n + 1][inside] << np.uint64(52) | whole[inside] >> np.uint64(12))
+        short = []
+        for i in np.flatnonzero((count > 0) & (count < n)):  # the whole sequence
+            w = h[begin[i] : begin[i] + count[i]]
+            x = _mix(w[:1] + np.uint64(len(w)))
+            for k in range(1, len(w)):
+                x = _mix(x + w[k : k + 1] * _A)
+            short.append(np.uint64(i) << np.uint64(52) | x[0] >> np.uint64(12))
+        rolled.append(np.array(short, np.uint64))
+        v = np.concatenate(rolled)
+        v.sort()
+        if len(v):
+            v = v[np.r_[True, v[1:] != v[:-1]]]
+        self.doc = (v >> np.uint64(52)).astype(np.int64)
+        self.s = v & np.uint64((1 << 52) - 1)
+        self.size = np.bincount(self.doc, minlength=len(raws))
+        self.start = np.cumsum(self.size) - self.size
+        self.hash = np.zeros(len(raws), np.int64)
+        full = np.flatnonzero(self.size)
+        if len(full):
+            x = np.add.reduceat(_mix(self.s + _A), self.start[full]) + self.size[full].astype(np.uint64)
+            self.hash[full] = _mix(_mix(x)).view(np.int64)
+
+    def profiles(self) -> list[bytes]:
+        """How many shingles of each set lie in each cell, 255 at most; about a cell for four shingles.
+
+        Two sets differ by at least as much as their profiles, or these folded.
+        """
+        cells = np.maximum(CELLS, 1 << np.frexp(np.maximum(self.size - 1, 1) / 4)[1].astype(np.int64))
+        begin = np.cumsum(cells) - cells
+        at = begin[self.doc] + ((self.s >> np.uint64(20)) * cells[self.doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        counts = np.minimum(np.bincount(at, minlength=int(cells.sum())), 255).astype(np.uint8)
+        return [counts[i : i + n].tobytes() for i, n in zip(begin.tolist(), cells.tolist(), strict=True)]
+
+    def one(self, i: int) -> bytes:
+        return self.s[self.start[i] : self.start[i] + self.size[i]].tobytes()
+
+    def signatures(self, chosen: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(set, signature) of the chosen sets in each band that they are in: a hash of a set's contents in each partition not empty.
+
+        Where so many shingles fell together that no more partitions are filled
+        than sets may differ by, the empty ones sign as well: agreement may lie there.
+        """
+        own, upper = _band(self.size), _band(self.size * 100 // percent)
+        for bands, these in ((own, chosen), (upper, chosen & (upper > own))):
+            if not these.any():
+                continue
+            parts = np.maximum(1024, (4 << 2 * bands) * 4 // 5).astype(np.uint64)
+            salt = (bands + 1).astype(np.uint64) * _C
+            take = these[self.doc]
+            doc, s = self.doc[take], self.s[take]
+            at = (s >> np.uint64(20)) * parts[doc] >> np.uint64(32)  # rises with the hash, so contents are runs
+            first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
+            doc, at = doc[first], at[first]
+            sig = _mix(np.add.reduceat(_mix(s), first) + _mix(at + salt[doc]))
+            filled = np.bincount(doc, minlength=len(self.size))
+            for i in np.flatnonzero(these & (filled <= differences(self.size, percent))):
+                rest = np.setdiff1d(np.arange(int(parts[i]), dtype=np.uint64), at[doc == i])
+                sig = np.r_[sig, _mix(rest + salt[i] + _A)]
+                doc = np.r_[doc, np.full(len(rest), i)]
+            yield doc, sig
+
+
+def _band(size: np.ndarray) -> np.ndarray:
+    """Bands of factor four."""
+    return (np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1) // 2
+
+
+def differences(size: np.ndarray, percent: int) -> np.ndarray:
     """Most shingles by which a set of this size and one similar enough can differ."""
-    g = Fraction(percent, 100)
-    return int(size * (1 - g) / g)
+    return size * (100 - percent) // percent
+
+
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes | None]]]:
+    """Ids and texts, about a megaword at a time, since work is by whole arrays."""
+    for batch in batches:
+        raws = batch.column(1).cast(pa.binary()).to_pylist()
+        lo, held = 0, 0
+        for i, raw in enumerate(raws):
+            held += len(raw or b"") + 64
+            if held >= _SOME_BYTES or i - lo == 4000 or i + 1 == len(raws):
+                yield batch.column(0).slice(lo, i + 1 - lo), raws[lo : i + 1]
+                lo, held = i + 1, 0
+
+
+def _new(sets: Sets, seen: set) -> np.ndarray:
+    """Sets of three shingles or more (smaller ones link with their equals only) that this task has not met."""
+    chosen = np.zeros(len(sets.size), bool)
+    if len(seen) > 1_000_000:
+        seen.clear()
+    for i in np.flatnonzero(sets.size > 2).tolist():
+        h = int(sets.hash[i])
+        if h not in seen:
+            seen.add(h)
+            chosen[i] = True
+    return chosen
 
 
 def _counted(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         words, seen = _Words(), set()
-        sketch = np.zeros(COUNTERS, np.int32)
-        names = ["doc_id", "n", "h", "slice", "salt", "counts"]
+        sketch, waiting, held = np.zeros(COUNTERS, np.int64), [], 0
+        names = ["doc_id", "n", "h", "t", "profile", "slice", "salt", "counts"]
         salt = 0
-        for batch in batches:
-            sizes, hashes = [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                s = shingles(raw, words)
-                h = set_hash(s)
-                sizes.append(len(s))
-                hashes.append(h)
-                if len(s) > 2 and h not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(h)
-                    for band in bands(len(s), percent):
-                        np.add.at(sketch, (signatures(s, band, percent) % np.uint64(COUNTERS)).astype(np.int64), 1)
-                    salt ^= h & 0xFF
-            n = batch.num_rows
+        for ids, raws in _some(batches):
+            sets = Sets(raws, words)
+            for _, sig in sets.signatures(_new(sets, seen), percent):
+                waiting.append((sig % np.uint64(COUNTERS)).astype(np.int32))
+                held += len(sig)
+            if held > 4 * COUNTERS:
+                sketch += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+                waiting, held = [], 0
+            salt ^= len(raws) + len(sets.s)
+            n = len(raws)
+            profiles = sets.profiles()
+            t = [xxhash.xxh3_64_intdigest(r or b"") - (1 << 63) for r in raws]
             none = pa.nulls(n, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64()), none, none, pa.nulls(n, pa.binary())], names)
-        if seen:
-            for k, part in enumerate(np.split(sketch, SLICES)):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets.size, pa.int64()), pa.array(sets.hash), pa.array(t, pa.int64()), pa.array(profiles, pa.binary()), none, none, pa.nulls(n, pa.binary())], names)
+        if waiting:
+            sketch += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+        no = pa.nulls(1, pa.int64())
+        for k, part in enumerate(np.split(np.minimum(sketch, (1 << 31) - 1).astype(np.int32), SLICES)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([no, no, no, no, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([salt & 0xFF], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
 
     return run
 
@@ -167,7 +238,7 @@ def _summed(t: pa.Table) -> pa.Table:
 
 
 def _candidates(docs: DataFrame, sketch: np.ndarray, n_ranges: int, percent: int) -> DataFrame:
-    """(``a``, ``b``): the least set of each signature's group and its other sets."""
+    """(``a``, ``b``, ``star``): what shares a signature. 0: a pair of sets; 1: a larger group's name and a member; 2: the least member of a group that is larger still, and another."""
     said = docs.sparkSession.sparkContext.broadcast(zlib.compress(sketch.tobytes(), 1))
     names = ["range", "sigs", "sets"]
 
@@ -176,7 +247,7 @@ def _candidates(docs: DataFrame, sketch: np.ndarray, n_ranges: int, percent: int
         words, seen, sigs, owners, held = _Words(), set(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            sig, own = np.concatenate(sigs), np.repeat(np.array([h for h, _ in owners], np.int64), [n for _, n in owners])
+            sig, own = np.concatenate(sigs), np.concatenate(owners)
             at = ((sig >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
             order = np.argsort(at, kind="stable")
             at, sig, own = at[order], sig[order], own[order]
@@ -186,45 +257,121 @@ def _candidates(docs: DataFrame, sketch: np.ndarray, n_ranges: int, percent: int
             owners.clear()
             return pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int32)), pa.array([sig[i:j].tobytes() for i, j in cut]), pa.array([own[i:j].tobytes() for i, j in cut])], names)
 
-        for batch in batches:
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                s = shingles(raw, words)
-                h = set_hash(s)
-                if len(s) < 3 or h in seen:  # smaller sets link with their equals only
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(h)
-                k = differences(len(s), percent)
-                for band in bands(len(s), percent):
-                    sig = signatures(s, band, percent)
-                    count = often[(sig % np.uint64(COUNTERS)).astype(np.int64)]
-                    if len(sig) > k + 1 and len(sig) <= len(s):
-                        rare = np.lexsort((sig, count))[: k + 1]
-                        sig, count = sig[rare], count[rare]
-                    sig = sig[count > 1]
-                    if len(sig):
-                        sigs.append(sig)
-                        owners.append((h, len(sig)))
-                        held += len(sig)
-                if held > _FLUSH:
-                    yield flush()
-                    held = 0
-        if sigs:
+        for _, raws in _some(batches):
+            sets = Sets(raws, words)
+            most = differences(sets.size, percent) + 1
+            for doc, sig in sets.signatures(_new(sets, seen), percent):
+                count = often[(sig % np.uint64(COUNTERS)).astype(np.int64)]
+                key = doc.astype(np.uint64) << np.uint64(52) | np.minimum(count, 0xFFFF).astype(np.uint64) << np.uint64(36) | sig >> np.uint64(28)
+                order = np.argsort(key)
+                doc, sig, count = doc[order], sig[order], count[order]
+                filled = np.bincount(doc, minlength=len(raws))
+                place = np.arange(len(doc)) - (np.cumsum(filled) - filled)[doc]
+                rare = (place < np.where(filled > sets.size, filled, most)[doc]) & (count > 1)
+                sigs.append(sig[rare])
+                owners.append(sets.hash[doc[rare]])
+                held += int(rare.sum())
+            if held > _FLUSH:
+                yield flush()
+                held = 0
+        if held:
             yield flush()
 
-    def starred(t: pa.Table) -> pa.Table:
+    def grouped(t: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(t.column("sigs").to_pylist()), np.uint64)
         own = np.frombuffer(b"".join(t.column("sets").to_pylist()), np.int64)
         order = np.lexsort((own, sig))
         sig, own = sig[order], own[order]
-        first = np.r_[True, sig[1:] != sig[:-1]]
-        least = own[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        pairs = np.unique(np.stack([least, own])[:, least != own], axis=1)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])]
+        sig, own = sig[new], own[new]
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        many = np.diff(np.r_[first, len(sig)])
+        place = np.arange(len(sig)) - np.repeat(first, many)
+        group = np.repeat(many, many)
+        pairs = []
+        for step in range(1, PAIRED):  # members at this distance in their group
+            i = np.flatnonzero((group <= PAIRED) & (place + step < group))
+            pairs.append(np.stack([own[i], own[i + step], np.zeros(len(i), np.int64)]))
+        i = np.flatnonzero((group > BOUNDED) & (place > 0))
+        pairs.append(np.stack([own[i - place[i]], own[i], np.full(len(i), 2)]))
+        i = np.flatnonzero((group > PAIRED) & (group <= BOUNDED))
+        if len(i):  # equal groups, of which there are many, share a name
+            begin = np.flatnonzero(place[i] == 0)
+            name = _mix(np.add.reduceat(_mix(own[i].view(np.uint64) + _B), begin)).view(np.int64)
+            pairs.append(np.stack([np.repeat(name, group[i][begin]), own[i], np.ones(len(i), np.int64)]))
+        a, b, star = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "star": pa.array(star.astype(np.int32))})
 
     rows = docs.mapInArrow(signed, "range int, sigs binary, sets binary")
-    return rows.groupBy("range").applyInArrow(starred, "a long, b long")
+    found = rows.groupBy("range").applyInArrow(grouped, "a long, b long, star int")
+    return found.groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def _folded(profiles: np.ndarray, cells: int) -> np.ndarray:
+    """Rows of profiles with neighbouring cells added up."""
+    return profiles if profiles.shape[1] == cells else profiles.reshape(len(profiles), cells, -1).sum(axis=2)
+
+
+def _by_length(profiles: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length: (where profiles of it stand, their rows)."""
+    size = np.array([len(p) for p in profiles])
+    return {int(n): (i := np.flatnonzero(size == n), np.frombuffer(b"".join(profiles[k] for k in i), np.uint8).reshape(len(i), -1).astype(np.int16)) for n in np.unique(size)}
+
+
+def _gaps(one: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Differences of a profile and others that all have one length."""
+    cells = min(len(one), rows.shape[1])
+    return np.abs(_folded(rows, cells) - _folded(one[None, :], cells)).sum(axis=1, dtype=np.int64)
+
+
+def _near_enough(percent: int):
+    """Pairs whose profiles differ by no more than sets of their sizes may."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+                gap = np.zeros(batch.num_rows, np.int64)
+                for n, (i, rows) in _by_length(left).items():
+                    for m, (j, others) in _by_length([right[k] for k in i]).items():
+                        cells = min(n, m)
+                        for lo in range(0, len(j), 4096):
+                            some = slice(lo, lo + 4096)
+                            gap[i[j[some]]] = np.abs(_folded(rows[j[some]], cells) - _folded(others[some], cells)).sum(axis=1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((100 + percent) * gap <= (100 - percent) * (na + nb)))
+
+    return run
+
+
+def _near_groups(percent: int):
+    """A spanning forest of the pairs of a group whose profiles are near enough, found breadth first."""
+
+    def run(t: pa.Table) -> pa.Table:
+        h, n, profiles = t.column("h").to_numpy(), t.column("n").to_numpy(), t.column("profile").to_pylist()
+        rest, a, b = _by_length(profiles), [], []
+        while rest:
+            start = next(iter(rest))
+            at, rows = rest[start]
+            todo = [int(at[0])]
+            rest[start] = at[1:], rows[1:]
+            while todo:
+                i = todo.pop()
+                one = np.frombuffer(profiles[i], np.uint8).astype(np.int16)
+                for k, (at, rows) in list(rest.items()):
+                    near = np.zeros(len(at), bool)
+                    for lo in range(0, len(at), 2048):
+                        some = slice(lo, lo + 2048)
+                        near[some] = (100 + percent) * _gaps(one, rows[some]) <= (100 - percent) * (n[at[some]] + n[i])
+                    if near.any():
+                        a += [h[i]] * int(near.sum())
+                        b += h[at[near]].tolist()
+                        todo += at[near].tolist()
+                        rest[k] = at[~near], rows[~near]
+                rest = {k: v for k, v in rest.items() if len(v[0])}
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _flags(nodes: DataFrame) -> np.ndarray:
@@ -233,7 +380,7 @@ def _flags(nodes: DataFrame) -> np.ndarray:
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b.column(0).to_numpy() for b in batches]
-        at = np.unique((np.concatenate(got) if got else np.zeros(0, np.int64)).view(np.uint64) % np.uint64(BITS)).astype(np.int64)
+        at = np.unique((np.concatenate(got) if got else np.zeros(0, np.int64)) % BITS)
         for k in np.unique(at // (size * 8)).tolist():
             bits = np.zeros(size * 8, bool)
             bits[at[at // (size * 8) == k] - k * size * 8] = True
@@ -295,26 +442,30 @@ def _verified(percent: int):
     return run
 
 
-def _links(docs: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest (``a``, ``b``) of the true links inside clusters (``node``, ``root``)."""
-    flags = docs.sparkSession.sparkContext.broadcast(zlib.compress(_flags(cluster.select("node")).tobytes(), 1))
+def _links(docs: DataFrame, classes: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest (``a``, ``b``) of the true links inside clusters (``node``, ``root``).
+
+    The texts to read again are known by a hash of one text for each class
+    (``t``), looked up among bits, so that no other text is taken apart.
+    """
+    sought = classes.join(cluster, F.col("h") == F.col("node")).select("t")
+    flags = docs.sparkSession.sparkContext.broadcast(zlib.compress(_flags(sought).tobytes(), 1))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(zlib.decompress(flags.value), np.uint8)
+        import xxhash
+
         words, seen = _Words(), set()
         for batch in batches:
-            ids, sets = [], []
+            raws = []
             for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                s = shingles(raw, words)
-                h = set_hash(s)
-                at = h % BITS if h >= 0 else (h + (1 << 64)) % BITS
-                if len(s) > 2 and bits[at >> 3] >> (7 - (at & 7)) & 1 and h not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(h)
-                    ids.append(h)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["h", "shingles"])
+                at = (xxhash.xxh3_64_intdigest(raw or b"") - (1 << 63)) % BITS
+                if bits[at >> 3] >> (7 - (at & 7)) & 1:
+                    raws.append(raw)
+            for lo in range(0, len(raws), 500):
+                sets = Sets(raws[lo : lo + 500], words)
+                some = np.flatnonzero(_new(sets, seen))
+                yield pa.RecordBatch.from_arrays([pa.array(sets.hash[some]), pa.array([sets.one(i) for i in some], pa.binary())], ["h", "shingles"])
 
     blocks = cluster.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     where = cluster.join(blocks, "root").select(F.col("node").alias("h"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
@@ -327,17 +478,24 @@ def _links(docs: DataFrame, cluster: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: ``doc_id``, ``n_shingles``, ``component_id`` (least id reachable by links)."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = written(texts.mapInArrow(_counted(percent), "doc_id long, n long, h long, slice int, salt int, counts binary"))
+    first = written(texts.mapInArrow(_counted(percent), "doc_id long, n long, h long, t long, profile binary, slice int, salt int, counts binary"))
     sketch = np.zeros((SLICES, COUNTERS // SLICES), np.int32)
     parts = first.where("slice is not null").select("slice", "salt", "counts")
     parts = parts.groupBy("slice", "salt").applyInArrow(_summed, "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary")
     for r in parts.collect():  # as many rows as slices
         sketch[r.slice] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int32)
     rows = first.where("slice is null").select("doc_id", "n", "h")
+    sets = first.where("slice is null and n > 2").groupBy("h").agg(F.max(F.struct("t", "n", "profile")).alias("s")).select("h", "s.*")
     total = rows.agg(F.sum("n")).first()[0] or 0
     ranges = int(max(64, total // 500_000))
-    cluster = components(_candidates(texts, sketch.ravel(), ranges, percent))
-    root = components(_links(texts, cluster, percent))
+    pairs = _candidates(texts, sketch.ravel(), ranges, percent)
+    pairs = written(pairs, "star")
+    side = lambda x: sets.select(F.col("h").alias(x), F.col("n").alias(f"n{x}"), F.col("profile").alias(f"p{x}"))
+    two = pairs.where("star = 0").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+    group = pairs.where("star = 1").select("a", F.col("b").alias("h")).join(sets.select("h", "n", "profile"), "h")
+    near = two.mapInArrow(_near_enough(percent), "a long, b long").unionByName(group.groupBy("a").applyInArrow(_near_groups(percent), "a long, b long"))
+    cluster = components(near.unionByName(pairs.where("star = 2").select("a", "b")))
+    root = components(_links(texts, sets.select("h", "t"), cluster, percent))
     least = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"))
     classes = written(least.join(root.withColumnRenamed("node", "h"), "h", "left").select("h", "least", F.coalesce("root", "h").alias("root")))
     lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from geolode.llm.common import table, written
 
 #: Longest context, bytes of text in a block, and blocks whose counts one task adds up.
-ORDER, BLOCK_BYTES, TOGETHER = 5, 16 << 20, 256
+ORDER, BLOCK_BYTES, TOGETHER = 5, 8 << 20, 256
 END = 255
 _DOC, _LOW, _GRAM, _WORD = 0, 1, 2, 3
 _PACKED = "block long, kind int, range int, seq int, a binary, b binary"
@@ -85,7 +85,7 @@ class Texts:
         self.start = np.cumsum(self.size) - self.size
         present = np.unique(self.bytes)
         self.alphabet = present
-        code = np.zeros(256, np.int32)
+        code = np.zeros(256, np.uint8)
         code[present] = np.arange(len(present))
         self.code = code[self.bytes]
 
@@ -193,11 +193,12 @@ def _packed(longest: int, ranges: int, block_bytes: int):
             counts.update(r[2].lower().split())
         if n_train:
             counts[b""] = n_train  # the end
+        others = set()
         for r in rows[n_train:]:
-            for w in r[2].lower().split():
-                counts[w] += 0
+            others.update(r[2].lower().split())
         if n_train < len(rows):
-            counts[b""] += 0
+            others.add(b"")
+        counts.update(dict.fromkeys(others - counts.keys(), 0))
         keys, often = _word_hashes(list(counts)), np.fromiter(counts.values(), np.uint32, len(counts))
         del counts
         order = np.argsort(keys)
@@ -320,8 +321,7 @@ def _scored(longest: int, ranges: int, low: np.ndarray, tokens: int, types: int)
         base, n_tokens, n_known = words(raws, replies)
         texts = Texts(raws)
         del raws
-        score = letters(texts, replies)
-        per = np.add.reduceat(score, texts.start) / _LN10 if len(texts.size) else np.zeros(0)
+        per = letters(texts, replies) / _LN10
         n = len(rows)
         return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(per, pa.float64())})
 
@@ -339,7 +339,7 @@ def _scored(longest: int, ranges: int, low: np.ndarray, tokens: int, types: int)
                 often[order[i:j]] = _unzip(replies[_WORD, 0, k][0], np.int64)
         value = dict(zip(distinct, np.where(often > 0, np.log10((often + 1) / (tokens + types + 1)), floor).tolist(), strict=True))
         base, n_tokens, n_known, end = [], [], [], value[b""]
-        for r in raws:
+        for r in raws:  # split again rather than kept: the words of a block take far more room than its text
             got = list(map(value.__getitem__, r.lower().split()))
             got.append(end)
             base.append(sum(got))
@@ -348,8 +348,8 @@ def _scored(longest: int, ranges: int, low: np.ndarray, tokens: int, types: int)
         return base, n_tokens, n_known
 
     def letters(texts: Texts, replies: dict) -> np.ndarray:
-        """Natural log probability of each byte."""
-        score = np.zeros(len(texts.bytes))
+        """Natural log probability of each text."""
+        total = np.zeros(len(texts.size))
         prob = rest = stat = None  # of the level before: log probability, the same once a longer context has excluded, and n, d, X of its contexts
         for n, (level, before) in enumerate(texts.levels(longest), 1):
             parent, symbol = level.parent, level.symbol
@@ -388,12 +388,15 @@ def _scored(longest: int, ranges: int, low: np.ndarray, tokens: int, types: int)
             seen = _log(count.astype(np.float64)) - _log(n_ + d_)
             prob_here = np.where(n_ > 0, np.where(count > 0, seen, _log(d_) - _log(n_ + d_) + left), shorter)
             prob, rest, stat = prob_here, left, (cn, cd, count)
-            if n < longest:
-                at = texts.start[texts.size >= n] + n - 1  # texts' n-th bytes have no longer context
-            else:
-                at = np.flatnonzero(level.at < level.n)
-            score[at] = prob[level.at[at]]
-        return score
+            if n < longest:  # texts' n-th bytes have no longer context
+                have = texts.size >= n
+                total[have] += prob[level.at[texts.start[have] + n - 1]]
+        each = np.append(prob, 0.0)
+        for lo in range(0, len(total), 256):
+            some = texts.start[lo : lo + 256]
+            upto = texts.start[lo + 256] if lo + 256 < len(total) else len(texts.bytes)
+            total[lo : lo + 256] += np.add.reduceat(each[level.at[some[0] : upto]], some - some[0])
+        return total
 
     return run
 

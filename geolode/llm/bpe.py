@@ -19,15 +19,17 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from geolode.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bounds the memory of a worker's table of pieces already encoded.
-MEMO = 400_000
+#: Bound the memory of a worker's tables of pieces already encoded and of pairs already compared, and of a step's texts.
+MEMO, PAIRS, STEP_CHARS = 250_000, 700_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,6 +61,7 @@ class Encoder:
 
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.size_of = {r: len(t) for t, r in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self.automaton = ahocorasick.Automaton()
@@ -72,7 +75,7 @@ class Encoder:
                 pair = (ranks[halves[0]], ranks[halves[1]])
                 self.halves[rank] = pair
                 self.joined[pair] = rank
-            self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
         for rank in self.halves:
@@ -82,7 +85,7 @@ class Encoder:
                 if r is not None and r in self.halves:
                     self.shorter[rank] = r
                     break
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def compatible(self, left: int, right: int) -> bool:
@@ -91,10 +94,10 @@ class Encoder:
         Undoes the merges of both from the latest on and asks at each point
         whether the two parts at the border would have been joined before.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             known = self.fits[key] = self._compatible(left, right)
         return known
@@ -122,27 +125,30 @@ class Encoder:
         text = piece.decode("latin-1")
         n = len(text)
         longest = [-1] * n
-        for end, rank in self.automaton.iter(text):
-            start = end + 1 - len(self.bytes_of[rank])
-            had = longest[start]
-            if had < 0 or len(self.bytes_of[had]) <= end - start:
-                longest[start] = rank
+        for end, (rank, back) in self.automaton.iter(text):
+            longest[end - back] = rank  # ends rise, so the last one is the longest
         ids: list[int] = []
         dead = bytearray(n + 1)
         at, token = 0, longest[0] if n else -1
-        size, shorter, fits = self.bytes_of, self.shorter, self.compatible
+        size, shorter, known, compatible = self.size_of, self.shorter, self.fits, self.compatible
+        last = -1
         while at < n:
-            end = at + len(size[token])
-            if not dead[end] and (not ids or fits(ids[-1], token)):
-                ids.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-                continue
+            end = at + size[token]
+            if not dead[end]:
+                fits = last < 0 or known.get(last << 32 | token)
+                if fits is None:
+                    fits = compatible(last, token)
+                if fits:
+                    ids.append(token)
+                    at, last = end, token
+                    token = longest[at] if at < n else -1
+                    continue
             nxt = shorter.get(token)
             while nxt is None:
                 dead[at] = 1
                 token = ids.pop()
-                at -= len(size[token])
+                last = ids[-1] if ids else -1
+                at -= size[token]
                 nxt = shorter.get(token)
             token = nxt
         return ids
@@ -197,23 +203,34 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         find = regex.compile(pattern).findall
         names = {i: str(i) for i in enc.bytes_of}
         sha, name, size = hashlib.sha256, names.__getitem__, len
-        for batch in batches:
+        for keys, texts in steps(batches):
             counts, digests, back, all_ids = [], [], [], []
-            for value in batch.column(1):
+            for value in texts:
                 ids: list[int] = []
                 get, full = enc.memo.get, enc.piece
-                for p in find(value.as_py() or ""):
+                for p in find(value or ""):
                     ids.extend(get(p) or full(p))
                 counts.append(size(ids))
                 digests.append(sha(",".join(map(name, ids)).encode()).hexdigest())
                 back.append(sha(enc.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+                    all_ids.append(np.array(ids, np.int32))
+            columns = [keys, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
             if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(np.concatenate([*all_ids, np.zeros(0, np.int32)]))))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
+        """A megabyte of text at a time, so that the ids of a whole batch never stand in memory."""
+        for batch in batches:
+            lo, held = 0, 0
+            ends = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()
+            for i, n in enumerate(ends):
+                held += n
+                if held >= STEP_CHARS or i + 1 == len(ends):
+                    yield batch.column(0).slice(lo, i + 1 - lo), batch.column(1).slice(lo, i + 1 - lo).to_pylist()
+                    lo, held = i + 1, 0
+
     return docs.select(key, text).mapInArrow(rows, T.StructType(fields))
 
 

@@ -1,9 +1,11 @@
 """Connected components of a graph given as links, for any number of nodes.
 
-Labels fall to the least label among a node's neighbours, then to their
-label's label, so that chains halve each round. Everything is joins and
-aggregates with partial sums; a node with very many links is one more skewed
-join key, which adaptive execution splits. Nothing is collected but a count.
+Each round a tree's root hooks on to the least grandparent that any of its
+nodes sees across a link, and every node moves up to its grandparent; trees
+merge and flatten in about as many rounds as the logarithm of their size.
+Everything is joins and aggregates with partial sums; a node with very many
+links is one more skewed join key, which adaptive execution splits. Nothing is
+collected but a count.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ def components(links: DataFrame) -> DataFrame:
     both = written(both.distinct())
     label = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = label.join(near, "node").select("node", F.least("root", "near").alias("low"), F.col("root").alias("was"))
-        up = label.select(F.col("node").alias("low"), F.col("root").alias("lower"))
-        step = written(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("root"), "was"))
+        up = label.select(F.col("node").alias("root"), F.col("root").alias("grand"))
+        at = label.join(up, "root").select("node", "root", "grand")
+        near = both.join(at.select(F.col("node").alias("b"), "grand"), "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("near"))
+        at = written(at.join(near, "node"))
+        hook = at.groupBy(F.col("root").alias("node")).agg(F.min("near").alias("hook"))
+        step = written(at.join(hook, "node", "left").select("node", F.least("root", "grand", "near", "hook").alias("root"), F.col("root").alias("was")))
         if not step.where("root != was").limit(1).count():
             return label
         label = step.select("node", "root")

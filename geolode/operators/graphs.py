@@ -11,15 +11,22 @@ from geolode.plans.lineage import materialized
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root): least node reachable over links (a, b), itself included. Labels fall and jump, so chains halve each round."""
+    """(node, root): least node reachable over links (a, b), itself included.
+
+    Each round a tree's root hooks on to the least grandparent that any of its
+    nodes sees across a link, and every node moves up to its grandparent, so
+    trees merge and flatten in about as many rounds as the logarithm of their size.
+    """
     both = links.where("a != b").select("a", "b").union(links.where("a != b").select("b", "a")).toDF("a", "b").distinct()
     both = materialized(both)
     label = materialized(nodes.select(F.col("node"), F.col("node").alias("root")))
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = label.join(near, "node", "left").select("node", F.least("root", "near").alias("low"), F.col("root").alias("was"))
-        up = label.select(F.col("node").alias("low"), F.col("root").alias("lower"))
-        step = materialized(low.join(up, "low", "left").select("node", F.least("low", "lower").alias("root"), "was"))
+        up = label.select(F.col("node").alias("root"), F.col("root").alias("grand"))
+        at = label.join(up, "root").select("node", "root", "grand")
+        near = both.join(at.select(F.col("node").alias("b"), "grand"), "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("near"))
+        at = materialized(at.join(near, "node", "left"))
+        hook = at.groupBy(F.col("root").alias("node")).agg(F.min("near").alias("hook"))
+        step = materialized(at.join(hook, "node", "left").select("node", F.least("root", "grand", "near", "hook").alias("root"), F.col("root").alias("was")))
         if step.where("root != was").limit(1).count() == 0:
             return label
         label = step.select("node", "root")

@@ -83,3 +83,56 @@ def labelled(mask: DataFrame) -> DataFrame:
     links = right.unionByName(up).join(mask.select("col", "row"), ["col", "row"]).select("a", key(F.col("col"), F.col("row")).alias("b"))
     c = components(nodes, links)
     return c.select(F.col("node.col").alias("col"), F.col("node.row").alias("row"), F.concat_ws(":", F.col("root.row").cast("string"), F.col("root.col").cast("string")).alias("label"))
+
+
+def mask_dilated(mask: DataFrame, radius: int) -> DataFrame:
+    """Nodes (col, row) within a square of a mask's."""
+    side = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    cols = mask.select("col", "row", side.alias("d")).select((F.col("col") + F.col("d")).alias("col"), "row").distinct()
+    return cols.select("col", "row", side.alias("d")).select("col", (F.col("row") + F.col("d")).alias("row")).distinct()
+
+
+def mask_eroded(mask: DataFrame, radius: int) -> DataFrame:
+    """Nodes whose whole square lies in the mask."""
+    side = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
+    n = 2 * radius + 1
+    cols = mask.select("col", "row", side.alias("d")).groupBy((F.col("col") + F.col("d")).alias("col"), "row").count().where(F.col("count") == n)
+    return cols.select("col", "row", side.alias("d")).groupBy("col", (F.col("row") + F.col("d")).alias("row")).count().where(F.col("count") == n).select("col", "row")
+
+
+def mask_opened(mask: DataFrame, radius: int) -> DataFrame:
+    return mask_dilated(mask_eroded(mask, radius), radius)
+
+
+def distance2_to(mask: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
+    """(col, row, d2): squared distance in cells to the nearest mask node, exact up to ``radius``; absent beyond it."""
+    near = mask.select(F.col("col").alias("mc"), F.col("row").alias("mr"), F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d")).select("mc", (F.col("mr") + F.col("d")).alias("row"), (F.col("d") * F.col("d")).alias("dr"))
+    # First the best along each column, then across columns: the squares add up.
+    col = near.groupBy(F.col("mc"), "row").agg(F.min("dr").alias("dr"))
+    across = col.select("mc", "row", "dr", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d"))
+    d2 = across.groupBy((F.col("mc") + F.col("d")).alias("col"), "row").agg(F.min(F.col("dr") + F.col("d") * F.col("d")).alias("d2")).where(F.col("d2") <= radius * radius)
+    return nodes.join(d2, ["col", "row"])
+
+
+def largest_component(labels: DataFrame) -> DataFrame:
+    """(col, row) of the label with most nodes; of equals the first in order."""
+    best = labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(1)
+    return labels.join(F.broadcast(best.select("label")), "label", "left_semi").select("col", "row")
+
+
+def harmonic_filled(grid: DataFrame, unknown: DataFrame, rounds: int) -> DataFrame:
+    """(col, row, v): unknown nodes as the mean of their neighbours, by Jacobi rounds from the mean of what is known."""
+    from geolode.plans.lineage import materialized
+
+    start = grid.agg(F.avg("v").alias("m"))
+    z = grid.select("col", "row", "v", F.lit(True).alias("known")).unionByName(unknown.join(grid, ["col", "row"], "left_anti").join(F.broadcast(start), how="cross").select("col", "row", F.col("m").alias("v"), F.lit(False).alias("known")))
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    for _ in range(rounds):
+        ring = z.withColumn("s", F.explode(shifts)).groupBy((F.col("col") + F.col("s.i")).alias("col"), (F.col("row") + F.col("s.j")).alias("row")).agg(F.avg("v").alias("m"))
+        z = materialized(z.join(ring, ["col", "row"], "left").select("col", "row", F.when(F.col("known") | F.col("m").isNull(), F.col("v")).otherwise(F.col("m")).alias("v"), "known"))
+    return z.select("col", "row", "v")
+
+
+def with_classified_ground(filtered: DataFrame, raster: DataFrame) -> DataFrame:
+    """Ground where points of the ground class say so, the filter's elsewhere."""
+    return filtered.join(raster.select("col", "row", "ground"), ["col", "row"]).select("col", "row", F.coalesce("ground", "v").alias("v"), (F.col("is_ground") | F.col("ground").isNotNull()).alias("is_ground"))

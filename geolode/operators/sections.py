@@ -70,7 +70,7 @@ def sliced(xyz: DataFrame, x0: float, y0: float, x1: float, y1: float, margin: f
         return F.when((F.col(f"d{p}") >= 0) != (F.col(f"d{q}") >= 0), point)
 
     m = m.select("fid", F.array_sort(F.array_compact(F.array(cut("a", "b"), cut("b", "c"), cut("c", "a")))).alias("p")).where(F.size("p") == 2)
-    m = m.select("fid", F.col("p")[0]["s"].alias("s0"), F.col("p")[0]["z"].alias("z0"), F.col("p")[1]["s"].alias("s1"), F.col("p")[1]["z"].alias("z1"))
+    m = m.select("fid", F.get("p", F.lit(0))["s"].alias("s0"), F.get("p", F.lit(0))["z"].alias("z0"), F.get("p", F.lit(1))["s"].alias("s1"), F.get("p", F.lit(1))["z"].alias("z1"))
     return m.where((F.col("s1") >= -margin) & (F.col("s0") <= length + margin))
 
 

@@ -26,7 +26,7 @@ def contour_segments(xyz: DataFrame, levels: DataFrame, field: tuple[str, str, s
 
     points = F.array_compact(F.array(crossing("a", "b", fa, fb), crossing("b", "c", fb, fc), crossing("c", "a", fc, fa)))
     hit = hit.select("fid", "level", points.alias("p")).where(F.size("p") == 2)
-    return hit.select("fid", "level", *(F.col("p")[i][k].alias(f"{k}{i}") for i in (0, 1) for k in "xy"))
+    return hit.select("fid", "level", *(F.get("p", F.lit(i))[k].alias(f"{k}{i}") for i in (0, 1) for k in "xy"))
 
 
 def contour_lengths(segments: DataFrame) -> DataFrame:

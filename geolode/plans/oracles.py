@@ -251,5 +251,88 @@ SQL: dict[str, str] = {
     "face_owner_groups": f"WITH {FACES} SELECT fid % 17 AS owner, count(*) AS n, min(fid) AS first_fid FROM f GROUP BY 1",
 }
 
+SEG = "s AS (SELECT s_suppkey AS sid, (s_suppkey * 17 % 47)::DOUBLE AS ax, (s_suppkey * 29 % 31)::DOUBLE AS ay, (s_suppkey * 17 % 47 + s_suppkey * 7 % 11 - 5)::DOUBLE AS bx, s_suppkey * 29 % 31 + s_suppkey * 13 % 9 - 4 + 0.5::DOUBLE AS by FROM supplier)"
+CROSS = SEG + f""", j AS (SELECT p.sid AS s1, q.sid AS s2, p.ax, p.ay, p.bx, p.by, q.ax AS cx, q.ay AS cy, q.bx AS dx, q.by AS dy FROM s p JOIN s q ON p.sid < q.sid),
+c AS (SELECT *, (bx - ax) * (dy - cy) - (by - ay) * (dx - cx) AS den FROM j WHERE {orient('a', 'b', 'c')} * {orient('a', 'b', 'd')} < 0 AND {orient('c', 'd', 'a')} * {orient('c', 'd', 'b')} < 0),
+x AS (SELECT *, ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den AS t, ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den AS u FROM c)"""
+PDIST = f"""rd AS (SELECT pid, area_id, min({SEGDIST}) AS distance FROM (SELECT *, {SEGT} AS t FROM (SELECT pid, x AS px, y AS py FROM pt), re) GROUP BY pid, area_id)"""
+PIN = "pin AS (SELECT pid, area_id FROM pt, re WHERE (y1 > y) != (y0 > y) AND x < (x0 - x1) * (y - y1) / (y0 - y1) + x1 GROUP BY pid, area_id HAVING count(*) % 2 = 1)"
+SMOOTH = "least(greatest({u}, 0), 1) * least(greatest({u}, 0), 1) * (3 - 2 * least(greatest({u}, 0), 1))"
+TEXTS = """tx AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN '1:' || (o_orderkey % 9) WHEN 1 THEN (o_orderkey % 300) || '%' WHEN 2 THEN (o_orderkey % 95) || '°' WHEN 3 THEN (o_orderkey % 11)::VARCHAR WHEN 4 THEN ' ' || (o_orderkey % 13) || ' : 2 ' WHEN 5 THEN 'steep' ELSE (o_orderkey % 50) || '‰' END AS t FROM orders),
+ps AS (SELECT id, try_cast(regexp_extract(t, '^ *([0-9]+) *: *([0-9]+) *$', 1) AS DOUBLE) AS a, try_cast(regexp_extract(t, '^ *([0-9]+) *: *([0-9]+) *$', 2) AS DOUBLE) AS b, try_cast(regexp_extract(t, '^([0-9]+)(%|‰|°)?$', 1) AS DOUBLE) AS v, regexp_extract(t, '^([0-9]+)(%|‰|°)?$', 2) AS u FROM tx),
+rr AS (SELECT id, CASE WHEN a IS NOT NULL THEN CASE WHEN b != 0 THEN a / b END WHEN u = '%' THEN v / 100 WHEN u = '‰' THEN v / 1000 WHEN u = '°' THEN tan(radians(v)) END AS known, v, u, a FROM ps),
+q AS (SELECT id, CASE WHEN a IS NOT NULL OR u != '' THEN known WHEN v = 0 THEN 0 ELSE 1 / v END AS ratio, CASE WHEN a IS NOT NULL OR u != '' THEN known ELSE v / 100 END AS percent FROM rr)"""
+
+
+def _ok(x: str) -> str:
+    return f"round(CASE WHEN degrees(atan(abs({x}))) <= 89.9 THEN {x} END, 8) + 0.0 AS {x}"
+
+
+def _channel(a: int, b: int, c: int) -> str:
+    return f"round_even(CASE WHEN t <= 0.5 THEN {a} + t / 0.5 * {b - a} ELSE {b} + (t - 0.5) / 0.5 * {c - b} END, 0)::INT"
+
+
+def _jacobi(k: int) -> str:
+    return f"z{k} AS (SELECT a.col, a.row, CASE WHEN a.known OR r.m IS NULL THEN a.v ELSE r.m END AS v, a.known FROM z{k - 1} a LEFT JOIN (SELECT p.col, p.row, avg(q.v) AS m FROM z{k - 1} p JOIN z{k - 1} q ON abs(p.col - q.col) + abs(p.row - q.row) = 1 GROUP BY p.col, p.row) r ON r.col = a.col AND r.row = a.row)"
+
+
+SQL |= {
+    "slope_texts": f"WITH {TEXTS} SELECT id, {_ok('ratio')}, {_ok('percent')} FROM q",
+    "slope_labels": f"WITH {XYZ}, s AS (SELECT fid, round(slope, 4) AS s FROM m WHERE fid % 9 = 0) SELECT fid, CASE WHEN s = 0 THEN '0' ELSE '1:' || format('{{:.2f}}', 1 / s) END AS ratio, format('{{:.2f}}', s * 100) || '%' AS percent, format('{{:.2f}}', degrees(atan(s))) || '°' AS degrees FROM s",
+    "report_csv": "SELECT s_suppkey AS n, chr(34) || s_name || ', ' || chr(34) || chr(34) || 'x' || chr(34) || chr(34) || chr(34) || ',' || format('{:.2f}', round(s_acctbal / 3, 2) + 0.0) AS line FROM supplier UNION ALL SELECT -1, 'name,balance'",
+    "colour_ramp": f"WITH {XYZ}, c AS (SELECT fid, least(greatest(round(slope, 6) / 3, 0), 1) AS t FROM m WHERE fid % 5 = 0) SELECT fid, {_channel(0, 240, 200)} AS r, {_channel(80, 240, 0)} AS g, {_channel(255, 90, 30)} AS b FROM c",
+    "category_colours": "SELECT n_nationkey, CASE WHEN n_nationkey < 2 THEN '#9e9e9e' ELSE ['#aa0000', '#00aa00', '#0000aa'][(n_nationkey - 2) % 3 + 1] END AS colour FROM nation",
+    "landxml_round_trip": f"WITH {FACES} SELECT * FROM (SELECT count(*) AS n_points, {r('sum(x)', 'sx')}, {r('sum(y)', 'sy')}, {r('round(max(z), 6)', 'max_z')} FROM v), (SELECT count(*) AS n_faces, sum(a + b * 2 + c * 3)::BIGINT AS checksum FROM f)",
+    "raster_georeference": f"WITH {GRID} SELECT col, row, {r('100 + 0.5::DOUBLE * (col + 0.5) + 0.1::DOUBLE * (row + 0.5)', 'x')}, {r('900 - 0.05::DOUBLE * (col + 0.5) - 0.5::DOUBLE * (row + 0.5)', 'y')} FROM grid",
+    "write_plan": """WITH w AS (SELECT s_suppkey AS key, sha256(s_name) AS fp FROM supplier WHERE s_suppkey % 5 != 1), e AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 4 = 0 THEN 'old' ELSE sha256(s_name) END AS old FROM supplier WHERE s_suppkey % 3 != 2)
+  SELECT coalesce(w.key, e.key) AS key, CASE WHEN e.key IS NULL THEN 'create' WHEN w.key IS NULL THEN 'delete' WHEN fp = old THEN 'keep' ELSE 'replace' END AS action FROM w FULL JOIN e ON w.key = e.key""",
+    "protected_influence": f"WITH {POINTS}, {RINGS}, {PIN}, {PDIST}, d AS (SELECT pid, min(distance) AS d FROM rd WHERE distance <= 1.5 GROUP BY pid) SELECT pid, {r('CASE WHEN pid IN (SELECT pid FROM pin) THEN 0 WHEN d IS NULL THEN 1 ELSE ' + SMOOTH.format(u='(d / 1.5)') + ' END', 'weight')} FROM pt LEFT JOIN d USING (pid)",
+    "points_near_areas": f"WITH {POINTS}, {RINGS}, {PIN}, {PDIST} SELECT pid FROM pt WHERE pid IN (SELECT pid FROM pin) OR pid IN (SELECT pid FROM rd WHERE distance <= 0.75)",
+    "scatter_mask": f"""WITH {POINTS}, {RINGS}, {PIN}, {PDIST}, ok AS (SELECT pid FROM pin WHERE area_id < 3 GROUP BY pid EXCEPT SELECT pid FROM pin WHERE area_id = 3 EXCEPT SELECT pid FROM rd WHERE area_id = 3 AND distance < 0.5),
+  e AS (SELECT pid, min(distance) AS d FROM rd WHERE area_id < 3 AND distance <= 1.3 GROUP BY pid) SELECT pid, {r('CASE WHEN d IS NULL THEN 1 WHEN d < 0.3 THEN 0 ELSE least(greatest((d - 0.3) / 1.0, 0), 1) END', 'probability')} FROM ok LEFT JOIN e USING (pid)""",
+    "conformed_surface": f"WITH {V}, {REF} SELECT v.vid, round(CASE WHEN v.vid % 3 != 0 THEN v.z + 0.25 * 1.0 * (ref.z - v.z) ELSE v.z END, 11) AS z FROM v JOIN ref ON ref.vid = v.vid",
+    "graded_pads": f"""WITH {V}, {REF}, {RINGS}, pt AS (SELECT v.vid AS pid, v.x, v.y, ref.z FROM v JOIN ref ON ref.vid = v.vid), {PIN}, {PDIST}, pads AS (SELECT * FROM (VALUES (1, 2.0::DOUBLE, 2.0::DOUBLE), (2, 1.0, 1.5), (3, 3.0, 1.0)) t(area_id, pad_z, batter)),
+  i AS (SELECT pid, arg_min(pad_z, area_id) AS in_z FROM pin JOIN pads USING (area_id) GROUP BY pid), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, area_id) AS k FROM rd JOIN pads USING (area_id) WHERE distance <= 3) WHERE k = 1),
+  g AS (SELECT pt.pid AS vid, z, CASE WHEN in_z IS NOT NULL THEN in_z WHEN n.pid IS NOT NULL THEN CASE WHEN z > pad_z THEN least(z, pad_z + distance / batter) ELSE greatest(z, pad_z - distance / batter) END ELSE z END AS w FROM pt LEFT JOIN i USING (pid) LEFT JOIN n USING (pid))
+  SELECT vid, {r('w', 'z')}, CASE WHEN z - w > 1e-9 THEN 1 WHEN w - z > 1e-9 THEN -1 ELSE 0 END AS branch FROM g""",
+    "graded_corridor": f"""WITH {V}, {REF}, rt AS (SELECT x::INT AS route_id, y::INT AS seq, x, y, 2.0 + y * 0.01 AS z FROM v WHERE x % 10 = 5), lg AS (SELECT a.route_id, a.seq, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1 FROM rt a JOIN rt b ON a.route_id = b.route_id AND b.seq = a.seq + 1),
+  dd AS (SELECT *, {SEGT} AS t FROM (SELECT v.vid, v.x AS px, v.y AS py FROM v) JOIN lg ON abs(px - x0) <= 3 AND y0 <= py + 3 AND y1 >= py - 3), ds AS (SELECT *, {SEGDIST} AS d, z0 + (z1 - z0) * t AS lz FROM dd),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY d, route_id, seq) AS k FROM ds WHERE d <= 3) WHERE k = 1)
+  SELECT ref.vid, round(CASE WHEN d IS NULL THEN z WHEN d <= 1 THEN lz WHEN z > lz THEN least(z, lz + greatest(0, d - 1) / 2) ELSE greatest(z, lz - greatest(0, d - 1) / 2) END, 8) + 0.0 AS z FROM ref LEFT JOIN b ON b.vid = ref.vid""",
+    "brush_dab": f"WITH {V}, {REF}, q AS (SELECT v.vid, ref.z, sqrt((v.x - 20.3) * (v.x - 20.3) + (v.y - 10.7) * (v.y - 10.7)) / 6 AS d FROM v JOIN ref ON ref.vid = v.vid) SELECT vid, round(CASE WHEN d < 1 THEN z + 0.8 * ((1 - d) * (1 - d) * (3 - 2 * (1 - d))) ELSE z END, 8) + 0.0 AS z FROM q",
+    "height_conflicts": f"WITH {CROSS}, g AS (SELECT s1, s2, ax + (bx - ax) * t AS x, ay + (by - ay) * t AS y, abs((s1 % 13) + ((s1 % 7) - (s1 % 13)) * t - ((s2 % 13) + ((s2 % 7) - (s2 % 13)) * u)) AS gap FROM x) SELECT s1, s2, {rs('x', 'y', 'gap')} FROM g WHERE gap > 1.5",
+    "split_segments": f"""WITH {CROSS}, cut AS (SELECT s1 AS sid, t FROM x UNION SELECT s2, u FROM x UNION SELECT sid, 0 FROM s UNION SELECT sid, 1 FROM s), pr AS (SELECT sid, t AS a, lead(t) OVER (PARTITION BY sid ORDER BY t) AS b, row_number() OVER (PARTITION BY sid ORDER BY t)::INT - 1 AS part FROM cut)
+  SELECT sid, part, {r('ax + (bx - ax) * a', 'x0')}, {r('ay + (by - ay) * a', 'y0')}, {r('ax + (bx - ax) * b', 'x1')}, {r('ay + (by - ay) * b', 'y1')} FROM pr JOIN s USING (sid) WHERE b IS NOT NULL""",
+    "crossing_chains": f"WITH {CROSS} SELECT DISTINCT sid // 3 AS chain_id FROM (SELECT s1 AS sid FROM x UNION SELECT s2 FROM x)",
+    "boundary_chains": f"""WITH RECURSIVE {FACES.replace('f AS (', 'ff AS (')}, f AS (SELECT * FROM ff WHERE fid % 101 != 0), {HALF}, nk AS (SELECT u, v FROM edges WHERE n_faces = 1), lk AS (SELECT u AS a, v AS b FROM nk UNION SELECT v, u FROM nk),
+  lab AS (SELECT a AS node, a AS root FROM lk GROUP BY a UNION SELECT l.b, p.root FROM lab p JOIN lk l ON l.a = p.node), mn AS (SELECT node, min(root) AS root FROM lab GROUP BY node), dg AS (SELECT a AS node, count(*) AS d FROM lk GROUP BY a)
+  SELECT root AS chain, any_value(e.n) AS n_edges, count(*) AS n_vertices, bool_and(d = 2) AS closed FROM mn JOIN dg USING (node) JOIN (SELECT root, count(*) AS n FROM nk JOIN mn ON mn.node = nk.u GROUP BY root) e USING (root) GROUP BY root""",
+    "draped_lines": f"""WITH {ROUTE}, h AS (SELECT *, CASE WHEN (seq * 7 + route_id) % 5 != 0 THEN z + 1 END AS h FROM line),
+  sp AS (SELECT *, sum(CASE WHEN h IS NOT NULL AND pv IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq)::INT AS part FROM (SELECT *, lag(h) OVER (PARTITION BY route_id ORDER BY seq) AS pv FROM h)),
+  br AS (SELECT *, last_value(h IGNORE NULLS) OVER b AS h0, last_value(CASE WHEN h IS NOT NULL THEN station END IGNORE NULLS) OVER b AS t0, first_value(h IGNORE NULLS) OVER a AS h1, first_value(CASE WHEN h IS NOT NULL THEN station END IGNORE NULLS) OVER a AS t1 FROM h
+    WINDOW b AS (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY route_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+  SELECT 'split' AS policy, route_id, seq, part, round(h, 8) + 0.0 AS z FROM sp WHERE h IS NOT NULL UNION ALL SELECT 'bridge', route_id, seq, 0, round(coalesce(h, h0 + (h1 - h0) * ((station - t0) / (t1 - t0))), 8) + 0.0 FROM br WHERE h0 IS NOT NULL AND h1 IS NOT NULL""",
+    "zone_stack_order": """WITH z AS (SELECT n_nationkey AS zone_id, n_nationkey % 6 AS zo, n_nationkey % 4 AS so, n_nationkey AS o, n_regionkey % 2 = 0 AS e, (n_nationkey * 7) % 11 AS el FROM nation), k AS (SELECT *, row_number() OVER (ORDER BY zo, so, o) AS k FROM z),
+  n AS (SELECT *, sum(CASE WHEN e AND pe THEN 0 ELSE 1 END) OVER (ORDER BY k) AS run FROM (SELECT *, lag(e) OVER (ORDER BY k) AS pe FROM k)) SELECT zone_id, row_number() OVER (ORDER BY run, CASE WHEN e THEN el END NULLS FIRST, so, zo, o)::INT AS place FROM n""",
+    "curve_review": """WITH r AS (SELECT s_suppkey AS route_id, unnest([{'c': 'grade', 'u': (s_suppkey * 7) % 23 / 100 / 0.12}, {'c': 'radius', 'u': 20 / ((s_suppkey * 11) % 37 + 5)}, {'c': 'break', 'u': (s_suppkey * 13) % 19 / 10}, {'c': 'coverage', 'u': 0.8 / ((s_suppkey * 17) % 41 / 40 + 0.01)}]) AS x FROM supplier)
+  SELECT route_id, x.c AS "check", CASE WHEN x.u > 1 THEN 'fail' WHEN x.u > 0.9 THEN 'warn' ELSE 'pass' END AS verdict FROM r""",
+    "level_area_compliance": f"""WITH {XYZ}, {RINGS}, f2 AS (SELECT fid, mx AS x, my AS y, -nx / nz AS p, -ny / nz AS q, plan_area AS w FROM m WHERE nz != 0), mem AS (SELECT fid FROM f2, re WHERE (y1 > y) != (y0 > y) AND x < (x0 - x1) * (y - y1) / (y0 - y1) + x1 GROUP BY fid HAVING count(*) % 2 = 1),
+  k AS (SELECT f2.* FROM f2 JOIN mem USING (fid)), avg_ AS (SELECT a.fid, any_value(a.w) AS w, sum(b.p * b.w) / sum(b.w) AS p, sum(b.q * b.w) / sum(b.w) AS q FROM k a JOIN k b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2.25 GROUP BY a.fid)
+  SELECT CASE WHEN sqrt(p * p + q * q) > 0.9 + 1e-9 THEN 'exceeds' ELSE 'level' END AS verdict, count(*) AS n_faces, {r('sum(w)', 'plan_area')} FROM avg_ GROUP BY 1""",
+    "trimmed_faces": f"""WITH {XYZ}, {RINGS}, pt AS (SELECT fid AS pid, mx AS x, my AS y FROM m), {PIN} SELECT pid AS fid FROM pin GROUP BY pid HAVING (bool_or(area_id = 1) AND NOT bool_or(area_id = 3)) OR bool_or(area_id = 2)""",
+    "mask_open": f"""WITH {GRID}, mk AS (SELECT col, row FROM grid WHERE v >= 44), er AS (SELECT col + i AS col, row + j AS row FROM mk, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) GROUP BY 1, 2 HAVING count(*) = 9)
+  SELECT DISTINCT col + i AS col, row + j AS row FROM er, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)""",
+    "mask_distance": f"WITH {GRID} SELECT a.col, a.row, min((a.col - b.col) * (a.col - b.col) + (a.row - b.row) * (a.row - b.row))::INT AS d2 FROM grid a JOIN grid b ON b.v < 20 AND (a.col - b.col) * (a.col - b.col) + (a.row - b.row) * (a.row - b.row) <= 16 GROUP BY a.col, a.row",
+    "mask_largest": f"""WITH RECURSIVE {GRID}, mask AS (SELECT col, row, row * 100000 + col AS id FROM grid WHERE v < 47 OR (col + row) % 3 = 0), lk AS (SELECT a.id AS a, b.id AS b FROM mask a JOIN mask b ON abs(a.col - b.col) + abs(a.row - b.row) = 1),
+  reach AS (SELECT id AS a, id AS b FROM mask UNION SELECT r.a, l.b FROM reach r JOIN lk l ON r.b = l.a), lab AS (SELECT a, min(b) AS l FROM reach GROUP BY a), best AS (SELECT l FROM lab GROUP BY l ORDER BY count(*) DESC, (l // 100000)::VARCHAR || ':' || (l % 100000) LIMIT 1) SELECT col, row FROM lab JOIN best USING (l) JOIN mask ON mask.id = a""",
+    "harmonic_fill": f"WITH {GRID}, kn AS (SELECT * FROM grid WHERE (col * 7 + row * 3) % 5 != 0), z0 AS (SELECT col, row, v, true AS known FROM kn UNION ALL SELECT col, row, (SELECT avg(v) FROM kn), false FROM grid WHERE (col * 7 + row * 3) % 5 = 0), {_jacobi(1)}, {_jacobi(2)}, {_jacobi(3)} SELECT col, row, {r('v')} FROM z3",
+    "classified_ground": f"""WITH {GRID}, e1 AS {windowed('grid', 1, 'min')}, o1 AS {windowed('e1', 1, 'max')}, e2 AS {windowed('o1', 2, 'min')}, o2 AS {windowed('e2', 2, 'max')}, gr AS (SELECT col, row, min(z) FILTER (cls = 2) AS g FROM cl GROUP BY col, row)
+  SELECT g.col, g.row, round(coalesce(gr.g, g.v), 8) + 0.0 AS v, (g.v - o1.v <= 2.6 AND o1.v - o2.v <= 2.6) OR gr.g IS NOT NULL AS is_ground FROM grid g JOIN o1 USING (col, row) JOIN o2 USING (col, row) JOIN gr USING (col, row)""",
+    "route_height_grid": f"WITH {V} SELECT a.vid AS pid, round(CASE WHEN b.vid IS NULL OR c.vid IS NULL THEN NULL ELSE 0.25 * a.z + 0.25 * b.z + 0.5 * c.z END, 11) + 0.0 AS top_z FROM v a LEFT JOIN v b ON b.vid = a.vid + 1 AND b.y = a.y LEFT JOIN v c ON c.vid = a.vid + 50",
+    "water_traces": f"""WITH RECURSIVE {FLOW}, tr AS (SELECT fid AS start, 0 AS step, fid, [fid] AS seen FROM f WHERE fid % 211 = 3 UNION ALL SELECT start, step + 1, flows_to, list_append(seen, flows_to) FROM tr JOIN flow USING (fid) WHERE flows_to >= 0 AND NOT list_contains(seen, flows_to) AND step < 200) SELECT start, step, fid FROM tr""",
+    "basin_rims": f"""WITH RECURSIVE {FLOW}{ROOTS}, er AS (SELECT u, w, root FROM h JOIN roots USING (fid)), pr AS (SELECT u, w, min(root) AS lo, max(root) AS hi, count(*) AS n FROM er GROUP BY u, w), lv AS (SELECT pr.*, least(a.z, b.z) AS level FROM pr JOIN v a ON a.vid = u JOIN v b ON b.vid = w),
+  al AS (SELECT lo AS root, hi AS other, level FROM lv WHERE lo != hi UNION ALL SELECT hi, lo, level FROM lv WHERE lo != hi UNION ALL SELECT lo, -1, level FROM lv WHERE n = 1) SELECT root, other, {r('min(level)', 'level')} FROM al GROUP BY root, other""",
+}
+
 # A keyword in one dialect, a corner's coordinate here.
 SQL = {k: re.sub(r"\bby\b", '"by"', v) for k, v in SQL.items()}

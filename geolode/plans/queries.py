@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolode.functions import geometry as G
+from geolode.functions import text as X
 from geolode.operators import faces as FA
-from geolode.operators import graphs, ranges, rasters, sections, spatial, surfaces, topology
+from geolode.operators import edits, graphs, kernels, lines, ranges, rasters, sections, spatial, surfaces, topology, water
+from geolode.sources import exchange as EX
 from geolode.sources import survey
 from geolode.sources import tables as T
 
@@ -543,3 +545,290 @@ def face_owner_groups(spark, d):
     f = mesh(spark, d)[1]
     w = Window.partitionBy("owner")
     return f.select("fid", (F.col("fid") % 17).alias("owner")).withColumn("n", F.count("*").over(w)).groupBy("owner").agg(F.max("n").alias("n"), F.min("fid").alias("first_fid"))
+
+
+# text, colours, exchange
+
+
+@query
+def slope_texts(spark, d):
+    o = T.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    t = F.when(k % 7 == 0, F.concat(F.lit("1:"), (k % 9).cast("string"))).when(k % 7 == 1, F.concat((k % 300).cast("string"), F.lit("%"))).when(k % 7 == 2, F.concat((k % 95).cast("string"), F.lit("°"))).when(k % 7 == 3, (k % 11).cast("string")).when(k % 7 == 4, F.concat(F.lit(" "), (k % 13).cast("string"), F.lit(" : 2 "))).when(k % 7 == 5, F.lit("steep")).otherwise(F.concat((k % 50).cast("string"), F.lit("‰")))
+    return rounded(o.select(k.alias("id"), X.parse_slope(t, "ratio").alias("ratio"), X.parse_slope(t, "percent").alias("percent")))
+
+
+@query
+def slope_labels(spark, d):
+    m = FA.measured(mesh(spark, d)[2]).where("fid % 9 = 0")
+    s = F.round("slope", 4)
+    return m.select("fid", *(X.format_slope(s, u, 2).alias(u) for u in ("ratio", "percent", "degrees")))
+
+
+@query
+def report_csv(spark, d):
+    s = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.col("s_name"), F.lit(', "x"')).alias("name"), X.report_number(F.col("s_acctbal") / 3, 2).alias("balance"))
+    return EX.report_lines(s, ["name", "balance"], "k")
+
+
+@query
+def colour_ramp(spark, d):
+    m = FA.measured(mesh(spark, d)[2]).where("fid % 5 = 0")
+    c = X.ramp(G.normalized(F.round("slope", 6), 0.0, 3.0), [(0.0, (0, 80, 255)), (0.5, (240, 240, 90)), (1.0, (200, 0, 30))])
+    return m.select("fid", c.alias("c")).select("fid", "c.r", "c.g", "c.b")
+
+
+@query
+def category_colours(spark, d):
+    return T.table(spark, d, "nation").select("n_nationkey", X.category_colour(F.col("n_nationkey") - 2, ["#aa0000", "#00aa00", "#0000aa"]).alias("colour"))
+
+
+@query
+def landxml_round_trip(spark, d):
+    v, f, _ = mesh(spark, d)
+    lines = EX.surface_xml(v, f, "ground")
+    p, q = EX.surface_points(lines), EX.surface_faces(lines)
+    return rounded(p.agg(F.count("*").alias("n_points"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.max("z").alias("max_z")).join(q.agg(F.count("*").alias("n_faces"), F.sum(F.col("a") + F.col("b") * 2 + F.col("c") * 3).alias("checksum")), how="cross"))
+
+
+@query
+def raster_georeference(spark, d):
+    g = _grid(spark, d)
+    x, y = EX.pixel_to_plan(F.col("col"), F.col("row"), {"a": 0.5, "b": 0.1, "d": -0.05, "e": -0.5, "c": 100.0, "f": 900.0})
+    return rounded(g.select("col", "row", x.alias("x"), y.alias("y")))
+
+
+@query
+def write_plan(spark, d):
+    s = T.table(spark, d, "supplier")
+    k, fp = F.col("s_suppkey"), F.sha2(F.col("s_name"), 256)
+    wanted = s.where("s_suppkey % 5 != 1").select(k.alias("key"), fp.alias("fingerprint"))
+    existing = s.where("s_suppkey % 3 != 2").select(k.alias("key"), F.when(k % 4 == 0, F.lit("old")).otherwise(fp).alias("fingerprint"))
+    return EX.write_plan(wanted, existing)
+
+
+@query
+def height_fingerprints(spark, d):
+    return EX.fingerprints(T.lattice_vertices(spark, d), "vid", ["z"])
+
+
+# edits and masks
+
+
+def _ring_edges(spark) -> DataFrame:
+    return spatial.ring_edges(_rings(spark))
+
+
+@query
+def protected_influence(spark, d):
+    return rounded(edits.influence(_points(spark, d), _ring_edges(spark), 1.5))
+
+
+@query
+def points_near_areas(spark, d):
+    return edits.within(_points(spark, d), _ring_edges(spark), 0.75)
+
+
+@query
+def scatter_mask(spark, d):
+    e = _ring_edges(spark)
+    return rounded(edits.scatter_mask(_points(spark, d), e.where("area_id < 3"), e.where("area_id = 3"), 0.5, 0.3, 1.0))
+
+
+@query
+def conformed_surface(spark, d):
+    v = T.lattice_vertices(spark, d)
+    t = T.reference_vertices(spark, d).where("vid % 3 != 0").select("vid", F.col("z").alias("target_z"))
+    return edits.conformed(v, t, 0.25).select("vid", F.round("z", 11).alias("z"))
+
+
+@query
+def graded_pads(spark, d):
+    pads = spark.createDataFrame([(1, 2.0, 2.0), (2, 1.0, 1.5), (3, 3.0, 1.0)], "area_id int, pad_z double, batter double")
+    return rounded(edits.padded(T.reference_vertices(spark, d), _ring_edges(spark), pads, 3.0))
+
+
+@query
+def graded_corridor(spark, d):
+    v = T.reference_vertices(spark, d)
+    legs = sections.legs(sections.plan_stations(_routes(spark, d).withColumn("z", 2.0 + F.col("y") * 0.01)))
+    return rounded(edits.corridor(v, legs, 1.0, 2.0, 3.0))
+
+
+@query
+def brush_dab(spark, d):
+    return rounded(edits.brushed(T.reference_vertices(spark, d), 20.3, 10.7, 6.0, 0.8).select("vid", "z"))
+
+
+@query
+def pad_balance(spark, d):
+    _, _, xyz = mesh(spark, d)
+    xyz = xyz.cache()
+
+    def net(level: float) -> float:
+        area = G.plan_area()
+        fill, cut = G.linear_cut_fill(area, *(F.lit(level) - F.col(f"{k}z") for k in "abc"))
+        return xyz.agg((F.sum(cut) - F.sum(fill)).alias("n")).first().n
+
+    level, _ = edits.balance(net, 0.0, 6.0, tolerance=1e-4)
+    xyz.unpersist()
+    return spark.createDataFrame([(round(level, 3),)], "level double")
+
+
+# lines
+
+
+@query
+def height_conflicts(spark, d):
+    s = _segments(spark, d)
+    h = s.select("sid", (F.col("sid") % 13).cast("double").alias("z0"), (F.col("sid") % 7).cast("double").alias("z1"))
+    return rounded(lines.height_conflicts(s, h, 4.0, 1.5))
+
+
+@query
+def split_segments(spark, d):
+    return rounded(lines.split_at_crossings(_segments(spark, d), 4.0))
+
+
+@query
+def crossing_chains(spark, d):
+    s = _segments(spark, d).withColumn("chain_id", F.floor(F.col("sid") / 3))
+    return lines.crossing_chains(s, 4.0)
+
+
+@query
+def boundary_chains(spark, d):
+    f = mesh(spark, d)[1].where("fid % 101 != 0")
+    return lines.chain_labels(topology.naked_edges(f))
+
+
+@query
+def draped_lines(spark, d):
+    r = sections.plan_stations(_routes(spark, d))
+    h = r.where("(seq * 7 + route_id) % 5 != 0").select("route_id", "seq", (F.col("z") + 1).alias("h"))
+    cols = ["route_id", "seq", "part", "z"]
+    split, bridge = (lines.draped(r, h, p).select(F.lit(p).alias("policy"), *cols) for p in ("split", "bridge"))
+    return rounded(split.unionByName(bridge))
+
+
+@query
+def zone_stack_order(spark, d):
+    n = T.table(spark, d, "nation")
+    z = n.select(F.col("n_nationkey").alias("zone_id"), (F.col("n_nationkey") % 6).alias("zone_order"), (F.col("n_nationkey") % 4).alias("source_order"), F.col("n_nationkey").alias("ordinal"), (F.col("n_regionkey") % 2 == 0).alias("by_elevation"), ((F.col("n_nationkey") * 7) % 11).cast("double").alias("elevation"))
+    return lines.priority_order(z).select("zone_id", "place")
+
+
+@query
+def curve_review(spark, d):
+    s = T.table(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    r = s.select(k.alias("route_id"), ((k * 7) % 23 / 100).alias("grade"), ((k * 11) % 37 + 5).cast("double").alias("radius"), ((k * 13) % 19 / 10).alias("break_"), ((k * 17) % 41 / 40 + 0.01).alias("coverage"))
+    return lines.reviewed(r, 0.12, 20.0, 1.0, 0.8)
+
+
+@query
+def level_area_compliance(spark, d):
+    return rounded(lines.level_areas(mesh(spark, d)[2], _ring_edges(spark), 3.0, 0.9))
+
+
+@query
+def trimmed_faces(spark, d):
+    _, f, xyz = mesh(spark, d)
+    c = FA.measured(xyz).select(F.col("fid").alias("pid"), F.col("cx_").alias("x"), F.col("cy_").alias("y"))
+    hit = spatial.points_in_rings(c, _ring_edges(spark), 4.0)
+    role = F.element_at(F.array(F.lit("outer"), F.lit("show"), F.lit("hide")), F.col("area_id"))
+    return lines.trimmed_faces(hit.select(F.col("pid").alias("fid"), role.alias("role")), f)
+
+
+# more rasters
+
+
+def _mask(spark, d) -> DataFrame:
+    return _grid(spark, d).where("v >= 44").select("col", "row")
+
+
+@query
+def mask_open(spark, d):
+    return rasters.mask_opened(_mask(spark, d), 1)
+
+
+@query
+def mask_distance(spark, d):
+    return rasters.distance2_to(_grid(spark, d).where("v < 20").select("col", "row"), _grid(spark, d).select("col", "row"), 4)
+
+
+@query
+def mask_largest(spark, d):
+    return rasters.largest_component(rasters.labelled(_grid(spark, d).where("v < 47 or (col + row) % 3 = 0").select("col", "row")))
+
+
+@query
+def harmonic_fill(spark, d):
+    g = _grid(spark, d)
+    known = g.where("(col * 7 + row * 3) % 5 != 0")
+    return rounded(rasters.harmonic_filled(known, g.select("col", "row"), 3))
+
+
+@query
+def classified_ground(spark, d):
+    r = rasters.rasterized(T.cloud(spark, d), 1.0)
+    g = rasters.ground_filter(r.select("col", "row", F.col("top").alias("v")), [1, 2], 1.0, 0.8, 1.0, 6.0)
+    return rounded(rasters.with_classified_ground(g, r))
+
+
+@query
+def route_height_grid(spark, d):
+    v = T.lattice_vertices(spark, d)
+    p = v.select(F.col("vid").alias("pid"), (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y"))
+    return spatial.heights_at(p, mesh(spark, d)[2], 2.0).select("pid", F.round("top_z", 11).alias("top_z"))
+
+
+# kernels
+
+
+@query
+def water_traces(spark, d):
+    starts = T.lattice_faces(T.lattice_vertices(spark, d)).where("fid % 211 = 3").select(F.col("fid").alias("start"), "fid")
+    return water.traces(starts, basin_flow(spark, d), 200)
+
+
+@query
+def basin_rims(spark, d):
+    _, f, xyz = mesh(spark, d)
+    return rounded(water.rims(basin_roots(spark, d), xyz, f))
+
+
+@query
+def ponds(spark, d):
+    _, f, xyz = mesh(spark, d)
+    flow = basin_flow(spark, d)
+    out = flow.where("flows_to = -1").select(F.col("fid").alias("root"))
+    sinks = graphs.flow_roots(flow).join(out, "root", "left_anti")
+    return rounded(water.ponds(sinks, xyz, f))
+
+
+@query
+def contour_chains(spark, d):
+    return rounded(kernels.stitched(surfaces.contour_segments(mesh(spark, d)[2], _levels(spark)), 1e-6).drop("chain"))
+
+
+@query
+def displacement_noise(spark, d):
+    return rounded(kernels.with_noise(T.lattice_vertices(spark, d), 7.0, 4, 0.5, 42).select("vid", "noise"))
+
+
+@query
+def region_scatter(spark, d):
+    return rounded(kernels.scattered(0.0, 0.0, 49.0, 29.0, 1.0, 0.8, 7, _ring_edges(spark)))
+
+
+@query
+def thinned_scatter(spark, d):
+    return rounded(kernels.thinned(kernels.scattered(0.0, 0.0, 49.0, 29.0, 1.0, 0.8, 7, _ring_edges(spark)), 0.9))
+
+
+@query
+def cheapest_routes(spark, d):
+    g = T.lattice_vertices(spark, d).select(F.col("x").cast("long").alias("col"), F.col("y").cast("long").alias("row"), F.col("z").alias("v"))
+    r = spark.createDataFrame([(1, 2, 3, 44, 25), (2, 48, 1, 5, 20)], "request int, c0 long, r0 long, c1 long, r1 long")
+    return rounded(kernels.cheapest_routes(g, r, 0.5))

@@ -59,7 +59,7 @@ BLOCK = 1024
 BITS = 1 << 25
 #: Fewest cells of a profile; groups of up to so many sets are written as pairs; up to so many are compared by profile.
 CELLS, PAIRED, BOUNDED = 128, 8, 4096
-_FLUSH, _SOME_BYTES = 400_000, 6 << 20
+_FLUSH, _SOME_BYTES = 400_000, 3 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -173,7 +173,7 @@ def differences(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes | None]]]:
-    """Ids and texts, about a megaword at a time, since work is by whole arrays."""
+    """Ids and texts, about half a megaword at a time, since work is by whole arrays."""
     for batch in batches:
         raws = batch.column(1).cast(pa.binary()).to_pylist()
         lo, held = 0, 0
@@ -202,7 +202,7 @@ def _counted(percent: int):
         import xxhash
 
         words, seen = _Words(), set()
-        sketch, waiting, held = np.zeros(COUNTERS, np.int64), [], 0
+        sketch, waiting, held = np.zeros(COUNTERS, np.int32), [], 0
         names = ["doc_id", "n", "h", "t", "profile", "slice", "salt", "counts"]
         salt = 0
         for ids, raws in _some(batches):
@@ -210,8 +210,8 @@ def _counted(percent: int):
             for _, sig in sets.signatures(_new(sets, seen), percent):
                 waiting.append((sig % np.uint64(COUNTERS)).astype(np.int32))
                 held += len(sig)
-            if held > 4 * COUNTERS:
-                sketch += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+            if held > COUNTERS:
+                sketch += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.int32)
                 waiting, held = [], 0
             salt ^= len(raws) + len(sets.s)
             n = len(raws)
@@ -220,9 +220,9 @@ def _counted(percent: int):
             none = pa.nulls(n, pa.int32())
             yield pa.RecordBatch.from_arrays([ids, pa.array(sets.size, pa.int64()), pa.array(sets.hash), pa.array(t, pa.int64()), pa.array(profiles, pa.binary()), none, none, pa.nulls(n, pa.binary())], names)
         if waiting:
-            sketch += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+            sketch += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.int32)
         no = pa.nulls(1, pa.int64())
-        for k, part in enumerate(np.split(np.minimum(sketch, (1 << 31) - 1).astype(np.int32), SLICES)):
+        for k, part in enumerate(np.split(sketch, SLICES)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([no, no, no, no, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([salt & 0xFF], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
 

@@ -114,8 +114,8 @@ pp AS (SELECT *, CASE WHEN len(f) < 4 THEN 'too few columns' WHEN try_cast(f[2]
 tok AS (SELECT line_number, try_cast(f[3] AS DOUBLE) AS x, string_split(upper(f[5]), ' ') AS t FROM pp WHERE problem IS NULL),
 code AS (SELECT line_number, regexp_replace(t[1], '[0-9]+$', '') AS code, regexp_extract(t[1], '([0-9]+)$', 1)::INT AS figure, coalesce(t[2] = 'ST', false) AS starts, coalesce(t[2] = 'END', false) AS ends, coalesce(t[2] = 'CLOSE', false) AS closes FROM tok)"""
 CURV = V + """, dv AS (SELECT c.vid, (e.z - w.z) / 2 AS p, (n.z - s.z) / 2 AS q, e.z - 2 * c.z + w.z AS r, n.z - 2 * c.z + s.z AS t, (ne.z - se.z - nw.z + sw.z) / 4 AS s
-  FROM v c JOIN v e ON e.x = c.x + 1 AND e.y = c.y JOIN v w ON w.x = c.x - 1 AND w.y = c.y JOIN v n ON n.x = c.x AND n.y = c.y + 1 JOIN v s ON s.x = c.x AND s.y = c.y - 1
-  JOIN v ne ON ne.x = c.x + 1 AND ne.y = c.y + 1 JOIN v nw ON nw.x = c.x - 1 AND nw.y = c.y + 1 JOIN v se ON se.x = c.x + 1 AND se.y = c.y - 1 JOIN v sw ON sw.x = c.x - 1 AND sw.y = c.y - 1),
+  FROM v c JOIN v e ON e.vid = c.vid + 1 JOIN v w ON w.vid = c.vid - 1 JOIN v n ON n.vid = c.vid + 50 JOIN v s ON s.vid = c.vid - 50
+  JOIN v ne ON ne.vid = c.vid + 51 JOIN v nw ON nw.vid = c.vid + 49 JOIN v se ON se.vid = c.vid - 49 JOIN v sw ON sw.vid = c.vid - 51 WHERE c.x BETWEEN 1 AND 48),
 cv AS (SELECT vid, -((1 + q * q) * r - 2 * p * q * s + (1 + p * p) * t) / (2 * (1 + p * p + q * q) * sqrt(1 + p * p + q * q)) AS mean, (r * t - s * s) / ((1 + p * p + q * q) * (1 + p * p + q * q)) AS gaussian,
   -(p * p * r + 2 * p * q * s + q * q * t) / ((p * p + q * q) * (1 + p * p + q * q) * sqrt(1 + p * p + q * q)) AS pr, p * p + q * q AS g2 FROM dv),
 cu AS (SELECT vid, mean, gaussian, mean + sqrt(greatest(0, mean * mean - gaussian)) AS k1, mean - sqrt(greatest(0, mean * mean - gaussian)) AS k2, CASE WHEN g2 < 1e-12 THEN mean ELSE pr END AS profile, 2 * mean - CASE WHEN g2 < 1e-12 THEN mean ELSE pr END AS plan FROM cv)"""

@@ -37,6 +37,7 @@ def flow_roots(flow: DataFrame) -> DataFrame:
 
     A cycle counts as one end, named by its least face; an outlet or a flat face is its own end.
     """
+    flow = materialized(flow)  # every round reads it
     ends = flow.where("flows_to < 0").select(F.col("fid").alias("to"))
     at = materialized(flow.select("fid", F.when(F.col("flows_to") < 0, F.col("fid")).otherwise(F.col("flows_to")).alias("to"), F.col("fid").alias("low")))
     for _ in range(at.count().bit_length() + 1):  # after so many doublings every pointer has reached an end or a cycle

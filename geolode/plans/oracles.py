@@ -24,7 +24,7 @@ g AS (SELECT f.*, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by, q.z AS
 n AS (SELECT *, (by - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) AS nz FROM g),
 m AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) / 2 AS surface_area, abs(nz) / 2 AS plan_area,
   CASE WHEN abs(nz) < 1e-12 THEN 'inf'::DOUBLE ELSE sqrt(nx * nx + ny * ny) / abs(nz) END AS slope, (ax + bx + cx) / 3 AS mx, (ay + by + cy) / 3 AS my, (az + bz + cz) / 3 AS mz FROM n)"""
-ZONES = """z AS (SELECT n_nationkey AS zone_id, (n_nationkey % 5) * 9.8 AS x0, (n_nationkey // 5) * (h / 5) AS y0, (n_nationkey % 5 + 1) * 9.8 AS x1, (n_nationkey // 5 + 1) * (h / 5) AS y1, n_regionkey AS priority
+ZONES = """z AS (SELECT n_nationkey AS zone_id, (n_nationkey % 5) * 9.8::DOUBLE AS x0, (n_nationkey // 5) * (h / 5) AS y0, (n_nationkey % 5 + 1) * 9.8::DOUBLE AS x1, (n_nationkey // 5 + 1) * (h / 5) AS y1, n_regionkey AS priority
   FROM nation, (SELECT max(y) AS h FROM v))"""
 HALF = """e AS (SELECT fid, 0 AS k, a, b FROM f UNION ALL SELECT fid, 1, b, c FROM f UNION ALL SELECT fid, 2, c, a FROM f),
 h AS (SELECT *, least(a, b) AS u, greatest(a, b) AS w FROM e),
@@ -186,7 +186,7 @@ SQL: dict[str, str] = {
     "point_heights": f"""WITH {XYZ}, {POINTS}, hit AS (SELECT pid, x AS px, y AS py, m.* FROM pt JOIN m ON x BETWEEN least(ax, bx, cx) AND greatest(ax, bx, cx) AND y BETWEEN least(ay, by, cy) AND greatest(ay, by, cy)),
   o AS (SELECT *, {orient('a', 'b', 'p')} AS d1, {orient('b', 'c', 'p')} AS d2, {orient('c', 'a', 'p')} AS d3, {orient('a', 'b', 'c')} AS w FROM hit),
   hh AS (SELECT pid, (d2 * az + d3 * bz + (w - d2 - d3) * cz) / w AS z FROM o WHERE NOT ((d1 < 0 OR d2 < 0 OR d3 < 0) AND (d1 > 0 OR d2 > 0 OR d3 > 0))),
-  ag AS (SELECT pid, min(z) AS lo, max(z) AS hi FROM hh GROUP BY pid) SELECT pid, {r('lo', 'low_z')}, {r('hi', 'top_z')}, CASE WHEN hi IS NULL THEN 'outside' WHEN hi - lo > 4e-6 THEN 'ambiguous' ELSE 'projected' END AS status FROM pt LEFT JOIN ag USING (pid)""",
+  ag AS (SELECT pid, min(z) AS lo, max(z) AS hi FROM hh GROUP BY pid) SELECT pid, round(lo, 11) AS low_z, round(hi, 11) AS top_z, CASE WHEN hi IS NULL THEN 'outside' WHEN hi - lo > 4e-6 THEN 'ambiguous' ELSE 'projected' END AS status FROM pt LEFT JOIN ag USING (pid)""",
     "nearest_vertices": f"WITH {V}, {POINTS}, dd AS (SELECT pid, vid, (pt.x - v.x) * (pt.x - v.x) + (pt.y - v.y) * (pt.y - v.y) AS d FROM pt JOIN v ON v.x BETWEEN pt.x - 0.6 AND pt.x + 0.6 AND v.y BETWEEN pt.y - 0.6 AND pt.y + 0.6) SELECT pid, vid, {r('sqrt(d)', 'distance')} FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY d, vid) AS k FROM dd WHERE d <= 0.36) WHERE k = 1",
     "segment_crossings": f"""WITH s AS (SELECT s_suppkey AS sid, (s_suppkey * 17 % 47)::DOUBLE AS ax, (s_suppkey * 29 % 31)::DOUBLE AS ay, (s_suppkey * 17 % 47 + s_suppkey * 7 % 11 - 5)::DOUBLE AS bx, s_suppkey * 29 % 31 + s_suppkey * 13 % 9 - 4 + 0.5::DOUBLE AS by FROM supplier),
   j AS (SELECT p.sid AS s1, q.sid AS s2, p.ax, p.ay, p.bx, p.by, q.ax AS cx, q.ay AS cy, q.bx AS dx, q.by AS dy FROM s p JOIN s q ON p.sid < q.sid),
@@ -198,7 +198,7 @@ SQL: dict[str, str] = {
   q AS (SELECT *, greatest(0, ex, ey) AS t0, least(1, lx, ly) AS t1 FROM p) SELECT sid, {rs('t0', 't1')}, {r('x0 + (x1 - x0) * t0', 'cx0')}, {r('y0 + (y1 - y0) * t0', 'cy0')}, {r('x0 + (x1 - x0) * t1', 'cx1')}, {r('y0 + (y1 - y0) * t1', 'cy1')} FROM q WHERE t0 < t1""",
     "grid_dedup": f"WITH {POINTS} SELECT min(pid) AS pid, count(*) AS n FROM pt GROUP BY floor(x), floor(y)",
     "plan_stations": f"WITH {ROUTE} SELECT route_id, seq, {rs('x', 'y', 'z', 'station')} FROM line",
-    "profile_lookup": f"WITH {ROUTE}, q AS (SELECT route_id, station * 1.07 - 0.5 AS station FROM line) SELECT q.route_id, {r('q.station', 'station')}, round(min(z0 + (z1 - z0) * ((q.station - s0) / (s1 - s0))), 8) + 0.0 AS z FROM q LEFT JOIN leg ON leg.route_id = q.route_id AND q.station >= s0 AND q.station <= s1 GROUP BY q.route_id, q.station",
+    "profile_lookup": f"WITH {ROUTE}, q AS (SELECT route_id, station * 1.07 - 0.5 AS station FROM line) SELECT q.route_id, {r('q.station', 'station')}, round(min(z0 + (z1 - z0) * ((q.station - s0) / (s1 - s0))), 11) AS z FROM q LEFT JOIN leg ON leg.route_id = q.route_id AND q.station >= s0 AND q.station <= s1 GROUP BY q.route_id, q.station",
     "even_stations": f"WITH {ROUTE}, l AS (SELECT route_id, max(station) AS length, greatest(1, ceil(max(station) / 1.7))::INT AS n FROM line GROUP BY route_id) SELECT route_id, {r('length * i / n', 'station')} FROM l, unnest(range(0, n + 1)) t(i)",
     "section_cut_fill": f"""WITH {ROUTE}, d AS (SELECT route_id, station AS s0, z - (2.5 + station * 0.003) AS d0, lead(z - (2.5 + station * 0.003)) OVER w AS d1, lead(station) OVER w AS s1 FROM line WINDOW w AS (PARTITION BY route_id ORDER BY station)),
   p AS (SELECT route_id, s1 - s0 AS run, d0, d1, abs(d0) AS a, abs(d1) AS b FROM d WHERE s1 - s0 > 1e-9),

@@ -292,7 +292,8 @@ def zone_priority(spark, d):
 
 @query
 def point_heights(spark, d):
-    return rounded(spatial.heights_at(_points(spark, d), mesh(spark, d)[2], 2.0))
+    h = spatial.heights_at(_points(spark, d), mesh(spark, d)[2], 2.0)
+    return h.select("pid", F.round("low_z", 11).alias("low_z"), F.round("top_z", 11).alias("top_z"), "status")
 
 
 @query
@@ -338,7 +339,8 @@ def plan_stations(spark, d):
 def profile_lookup(spark, d):
     lines = sections.plan_stations(_routes(spark, d))
     q = lines.select("route_id", (F.col("station") * 1.07 - 0.5).alias("station"))
-    return rounded(sections.elevation_at(lines, q, 8.0))
+    e = sections.elevation_at(lines, q, 8.0)
+    return e.select("route_id", R("station").alias("station"), F.round("z", 11).alias("z"))
 
 
 @query

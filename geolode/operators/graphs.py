@@ -40,9 +40,16 @@ def flow_roots(flow: DataFrame) -> DataFrame:
     flow = materialized(flow)  # every round reads it
     ends = flow.where("flows_to < 0").select(F.col("fid").alias("to"))
     at = materialized(flow.select("fid", F.when(F.col("flows_to") < 0, F.col("fid")).otherwise(F.col("flows_to")).alias("to"), F.col("fid").alias("low")))
-    for _ in range(at.count().bit_length() + 1):  # after so many doublings every pointer has reached an end or a cycle
-        if not at.join(ends, "to", "left_anti").limit(1).count():
+    before = None
+    while True:
+        loose = at.join(ends, "to", "left_anti")
+        reached = loose.select(F.col("to").alias("fid")).distinct()
+        now = tuple(at.join(reached, "fid", "left_semi").agg(F.count("*"), F.sum("low")).first())
+        # Images of what has no end only shrink: once they stand still they are the
+        # cycles, and once the least faces on the way do too, each has seen its cycle.
+        if now[0] == 0 or now == before:
             break
+        before = now
         nxt = at.select(F.col("fid").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
         at = materialized(at.join(nxt, "to").select("fid", F.col("to2").alias("to"), F.least("low", "low2").alias("low")))
     # From a face on a cycle the path is the cycle, so its least face is the path's.

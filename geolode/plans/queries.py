@@ -560,26 +560,44 @@ def slope_texts(spark, d):
     return rounded(o.select(k.alias("id"), X.parse_slope(t, "ratio").alias("ratio"), X.parse_slope(t, "percent").alias("percent")))
 
 
-@query
-def slope_labels(spark, d):
-    m = FA.measured(mesh(spark, d)[2]).where("fid % 9 = 0")
+def _slope_labels(m: DataFrame) -> DataFrame:
     s = F.round("slope", 4)
     return m.select("fid", *(X.format_slope(s, u, 2).alias(u) for u in ("ratio", "percent", "degrees")))
 
 
+@query
+def slope_labels(spark, d):
+    """A ninth of the faces, as its SQL has it; ``slope_labels_all`` takes every face."""
+    return _slope_labels(FA.measured(mesh(spark, d)[2]).where("fid % 9 = 0"))
+
+
+@query
+def slope_labels_all(spark, d):
+    return _slope_labels(FA.measured(mesh(spark, d)[2]))
+
+
 @query
 def report_csv(spark, d):
     s = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.col("s_name"), F.lit(', "x"')).alias("name"), X.report_number(F.col("s_acctbal") / 3, 2).alias("balance"))
     return EX.report_lines(s, ["name", "balance"], "k")
 
 
-@query
-def colour_ramp(spark, d):
-    m = FA.measured(mesh(spark, d)[2]).where("fid % 5 = 0")
+def _colour_ramp(m: DataFrame) -> DataFrame:
     c = X.ramp(G.normalized(F.round("slope", 6), 0.0, 3.0), [(0.0, (0, 80, 255)), (0.5, (240, 240, 90)), (1.0, (200, 0, 30))])
     return m.select("fid", c.alias("c")).select("fid", "c.r", "c.g", "c.b")
 
 
+@query
+def colour_ramp(spark, d):
+    """A fifth of the faces, as its SQL has it; ``colour_ramp_all`` takes every face."""
+    return _colour_ramp(FA.measured(mesh(spark, d)[2]).where("fid % 5 = 0"))
+
+
+@query
+def colour_ramp_all(spark, d):
+    return _colour_ramp(FA.measured(mesh(spark, d)[2]))
+
+
 @query
 def category_colours(spark, d):
     return T.table(spark, d, "nation").select("n_nationkey", X.category_colour(F.col("n_nationkey") - 2, ["#aa0000", "#00aa00", "#0000aa"]).alias("colour"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,20 +13,23 @@ from geolode.operators import topology
 from geolode.plans.lineage import materialized
 
 
-def traces(starts: DataFrame, flow: DataFrame, max_steps: int) -> DataFrame:
+def traces(starts: DataFrame, flow: DataFrame) -> DataFrame:
     """(start, step, fid): faces that water from each start (rows start, fid) runs over, until an outlet, a flat face or a face met before.
 
-    All starts move at once, a join a step; a step costs as much as starts still run.
+    All starts move at once, a join a step; a step costs as much as starts still run. The loop ends when none moves.
     """
+    flow = materialized(flow.where("flows_to >= 0"))  # every step reads it
     at = materialized(starts.select("start", F.lit(0).alias("step"), "fid", F.array("fid").alias("seen")))
-    out = at.select("start", "step", "fid")
-    for step in range(1, max_steps + 1):
-        nxt = at.join(flow.where("flows_to >= 0"), "fid").where(~F.array_contains("seen", F.col("flows_to")))
+    out, step = [at.select("start", "step", "fid")], 0
+    while True:
+        step += 1
+        nxt = at.join(flow, "fid").where(~F.array_contains("seen", F.col("flows_to")))
         at = materialized(nxt.select("start", F.lit(step).alias("step"), F.col("flows_to").alias("fid"), F.array_append("seen", F.col("flows_to")).alias("seen")))
         if not at.limit(1).count():
-            break
-        out = out.unionByName(at.select("start", "step", "fid"))
-    return out
+            return reduce(DataFrame.unionByName, out)
+        out.append(at.select("start", "step", "fid"))
+        if len(out) > 50:  # long runs would make the plan too deep
+            out = [materialized(reduce(DataFrame.unionByName, out))]
 
 
 def rims(roots: DataFrame, xyz: DataFrame, faces: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -324,33 +325,37 @@ def grid_dedup(spark, d):
 # sections and routes
 
 
+def _columns(spark, d) -> DataFrame:
+    """The lattice's columns as routes, along y."""
+    return T.lattice_vertices(spark, d).select(F.col("x").cast("int").alias("route_id"), F.col("y").cast("int").alias("seq"), "x", "y", "z")
+
+
 def _routes(spark, d) -> DataFrame:
-    """Rows of the lattice's columns as routes: every tenth column, along y."""
-    v = T.lattice_vertices(spark, d).where("x % 10 = 5")
-    return v.select(F.col("x").cast("int").alias("route_id"), F.col("y").cast("int").alias("seq"), "x", "y", "z")
+    """Every tenth column, as the SQL of the queries on routes has it; ``WHOLE_ROUTES`` take every one."""
+    return _columns(spark, d).where("x % 10 = 5")
 
 
 @query
-def plan_stations(spark, d):
-    return rounded(sections.plan_stations(_routes(spark, d)))
+def plan_stations(spark, d, routes=_routes):
+    return rounded(sections.plan_stations(routes(spark, d)))
 
 
 @query
-def profile_lookup(spark, d):
-    lines = sections.plan_stations(_routes(spark, d))
+def profile_lookup(spark, d, routes=_routes):
+    lines = sections.plan_stations(routes(spark, d))
     q = lines.select("route_id", (F.col("station") * 1.07 - 0.5).alias("station"))
     e = sections.elevation_at(lines, q, 8.0)
     return e.select("route_id", R("station").alias("station"), F.round("z", 11).alias("z"))
 
 
 @query
-def even_stations(spark, d):
-    return rounded(sections.even_stations(_routes(spark, d), 1.7))
+def even_stations(spark, d, routes=_routes):
+    return rounded(sections.even_stations(routes(spark, d), 1.7))
 
 
 @query
-def section_cut_fill(spark, d):
-    lines = sections.plan_stations(_routes(spark, d))
+def section_cut_fill(spark, d, routes=_routes):
+    lines = sections.plan_stations(routes(spark, d))
     pairs = lines.select("route_id", "station", F.col("z").alias("proposed"), (2.5 + F.col("station") * 0.003).alias("reference"))
     return rounded(sections.section_cut_fill(pairs))
 
@@ -361,25 +366,25 @@ def section_slice(spark, d):
 
 
 @query
-def route_metrics(spark, d):
-    return rounded(sections.route_metrics(sections.plan_stations(_routes(spark, d))))
+def route_metrics(spark, d, routes=_routes):
+    return rounded(sections.route_metrics(sections.plan_stations(routes(spark, d))))
 
 
 @query
-def route_runs(spark, d):
-    lines = sections.plan_stations(_routes(spark, d)).withColumn("z", R("z"))
+def route_runs(spark, d, routes=_routes):
+    lines = sections.plan_stations(routes(spark, d)).withColumn("z", R("z"))
     return rounded(sections.runs(lines, 2.0, 0.45, 2.0))
 
 
 @query
-def grade_limited_profile(spark, d):
-    g = sections.grade_limited(sections.plan_stations(_routes(spark, d)), 0.4)
+def grade_limited_profile(spark, d, routes=_routes):
+    g = sections.grade_limited(sections.plan_stations(routes(spark, d)), 0.4)
     return rounded(g.select("route_id", "station", "upper", "lower", "grade_z"))
 
 
 @query
-def route_compliance(spark, d):
-    return rounded(sections.route_compliance(mesh(spark, d)[2], sections.plan_stations(_routes(spark, d)), 1.25, 1.0, 1.5))
+def route_compliance(spark, d, routes=_routes):
+    return rounded(sections.route_compliance(mesh(spark, d)[2], sections.plan_stations(routes(spark, d)), 1.25, 1.0, 1.5))
 
 
 @query
@@ -669,9 +674,9 @@ def graded_pads(spark, d):
 
 
 @query
-def graded_corridor(spark, d):
+def graded_corridor(spark, d, routes=_routes):
     v = T.reference_vertices(spark, d)
-    legs = sections.legs(sections.plan_stations(_routes(spark, d).withColumn("z", 2.0 + F.col("y") * 0.01)))
+    legs = sections.legs(sections.plan_stations(routes(spark, d).withColumn("z", 2.0 + F.col("y") * 0.01)))
     return rounded(edits.corridor(v, legs, 1.0, 2.0, 3.0))
 
 
@@ -723,8 +728,8 @@ def boundary_chains(spark, d):
 
 
 @query
-def draped_lines(spark, d):
-    r = sections.plan_stations(_routes(spark, d))
+def draped_lines(spark, d, routes=_routes):
+    r = sections.plan_stations(routes(spark, d))
     h = r.where("(seq * 7 + route_id) % 5 != 0").select("route_id", "seq", (F.col("z") + 1).alias("h"))
     cols = ["route_id", "seq", "part", "z"]
     split, bridge = (lines.draped(r, h, p).select(F.lit(p).alias("policy"), *cols) for p in ("split", "bridge"))
@@ -808,8 +813,15 @@ def route_height_grid(spark, d):
 
 @query
 def water_traces(spark, d):
+    """From a part of the faces, as its SQL has it; ``water_traces_all`` starts from every face."""
     starts = T.lattice_faces(T.lattice_vertices(spark, d)).where("fid % 211 = 3").select(F.col("fid").alias("start"), "fid")
-    return water.traces(starts, basin_flow(spark, d), 200)
+    return water.traces(starts, basin_flow(spark, d))
+
+
+@query
+def water_traces_all(spark, d):
+    starts = T.lattice_faces(T.lattice_vertices(spark, d)).select(F.col("fid").alias("start"), "fid")
+    return water.traces(starts, basin_flow(spark, d))
 
 
 @query
@@ -852,3 +864,8 @@ def cheapest_routes(spark, d):
     g = T.lattice_vertices(spark, d).select(F.col("x").cast("long").alias("col"), F.col("y").cast("long").alias("row"), F.col("z").alias("v"))
     r = spark.createDataFrame([(1, 2, 3, 44, 25), (2, 48, 1, 5, 20)], "request int, c0 long, r0 long, c1 long, r1 long")
     return rounded(kernels.cheapest_routes(g, r, 0.5))
+
+
+#: Queries on routes, registered a second time over every column of the lattice.
+WHOLE_ROUTES = [plan_stations, profile_lookup, even_stations, section_cut_fill, route_metrics, route_runs, grade_limited_profile, route_compliance, graded_corridor, draped_lines]
+QUERIES |= {f"{f.__name__}_all": partial(f, routes=_columns) for f in WHOLE_ROUTES}

@@ -2,6 +2,7 @@
 
 import pytest
 
+from geolode.operators import water
 from geolode.plans import oracles, queries
 from tests.conftest import DATA, oracle_rows, rows_of
 
@@ -19,3 +20,20 @@ def test_every_face_has_its_label_and_colour(spark, duck, name, cut):
     got = rows_of(queries.QUERIES[f"{name}_all"](spark, DATA))
     assert got == oracle_rows(duck, unfiltered(name, cut))
     assert len(got[1]) == queries.lattice_faces(spark, DATA).count()
+
+
+@pytest.mark.parametrize("name", sorted(f.__name__ for f in queries.WHOLE_ROUTES))
+def test_every_column_is_a_route(spark, duck, name):
+    assert rows_of(queries.QUERIES[f"{name}_all"](spark, DATA)) == oracle_rows(duck, unfiltered(name, " WHERE x % 10 = 5"))
+
+
+def test_water_starts_from_every_face(spark, duck):
+    assert rows_of(queries.water_traces_all(spark, DATA)) == oracle_rows(duck, unfiltered("water_traces", " WHERE fid % 211 = 3", " AND step < 200"))
+
+
+def test_traces_run_to_their_end(spark):
+    n = 205
+    flow = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(n, -1)], "fid long, flows_to long").coalesce(1)
+    starts = spark.createDataFrame([(0, 0), (n - 2, n - 2)], "start long, fid long").coalesce(1)
+    got = {(r.start, r.step, r.fid) for r in water.traces(starts, flow).collect()}
+    assert got == {(0, i, i) for i in range(n + 1)} | {(n - 2, i, n - 2 + i) for i in range(3)}

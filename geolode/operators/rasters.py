@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUND_CLASS = 2
@@ -104,14 +106,53 @@ def mask_opened(mask: DataFrame, radius: int) -> DataFrame:
     return mask_dilated(mask_eroded(mask, radius), radius)
 
 
+def _row_pass(key, nodes: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+    """Squared distances in one row: the lower envelope of the parabolas over its columns, in whole numbers."""
+    site: list[int] = []
+    first: list[int] = []  # where each site of the envelope becomes the nearest
+    squares = dict(zip(lines["col"].tolist(), lines["g"].tolist(), strict=True))
+    for q in sorted(squares):
+        while site:
+            p = site[-1]
+            # The first column from which on q is nearer than p.
+            cut = (q * q - p * p + squares[q] - squares[p]) // (2 * (q - p)) + 1
+            if cut > first[-1]:
+                break
+            site.pop()
+            first.pop()
+        if not site:
+            cut = -(1 << 62)
+        site.append(q)
+        first.append(cut)
+    col = nodes["col"].to_numpy()
+    d2 = None
+    if site:
+        near = np.array(site)[np.searchsorted(np.array(first), col, side="right") - 1]
+        d2 = (col - near) ** 2 + np.array([squares[k] for k in near.tolist()], dtype="int64")
+    return pd.DataFrame({"col": col, "row": nodes["row"], "d2": pd.array(d2, dtype="Int64") if d2 is not None else pd.array([None] * len(col), dtype="Int64")})
+
+
+def distance2(mask: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(col, row, d2): exact squared distance in cells to the nearest mask node, for every node; null where the mask is empty.
+
+    First along each column of the mask, from the mask rows before and after,
+    then along each row over those columns: the squares add up.
+    """
+    whole = mask.select("col", "row").unionByName(nodes.select("col", "row")).agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    sites = mask.select("col", "row").distinct().withColumn("at", F.col("row"))
+    spread = sites.select("col").distinct().join(F.broadcast(whole), how="cross").select("col", F.explode(F.sequence("lo", "hi")).alias("row"))
+    w = Window.partitionBy("col").orderBy("row")
+    up = F.last("at", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first("at", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    gap = F.least(F.col("row") - up, down - F.col("row"))
+    lines = spread.join(sites, ["col", "row"], "left").select("col", "row", (gap * gap).alias("g"))
+    at = nodes.select(F.col("col").cast("long"), F.col("row").cast("long"))
+    return at.groupBy("row").cogroup(lines.select(F.col("col").cast("long"), F.col("row").cast("long"), F.col("g").cast("long")).groupBy("row")).applyInPandas(_row_pass, "col long, row long, d2 long")
+
+
 def distance2_to(mask: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
-    """(col, row, d2): squared distance in cells to the nearest mask node, exact up to ``radius``; absent beyond it."""
-    near = mask.select(F.col("col").alias("mc"), F.col("row").alias("mr"), F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d")).select("mc", (F.col("mr") + F.col("d")).alias("row"), (F.col("d") * F.col("d")).alias("dr"))
-    # First the best along each column, then across columns: the squares add up.
-    col = near.groupBy(F.col("mc"), "row").agg(F.min("dr").alias("dr"))
-    across = col.select("mc", "row", "dr", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d"))
-    d2 = across.groupBy((F.col("mc") + F.col("d")).alias("col"), "row").agg(F.min(F.col("dr") + F.col("d") * F.col("d")).alias("d2")).where(F.col("d2") <= radius * radius)
-    return nodes.join(d2, ["col", "row"])
+    """``distance2`` of the nodes within ``radius``."""
+    return distance2(mask, nodes).where(F.col("d2") <= radius * radius)
 
 
 def largest_component(labels: DataFrame) -> DataFrame:

@@ -779,9 +779,18 @@ def mask_open(spark, d):
 
 @query
 def mask_distance(spark, d):
+    """Nodes within four cells of a mask, as its SQL has it; ``mask_distance_all`` gives every node its distance."""
     return rasters.distance2_to(_grid(spark, d).where("v < 20").select("col", "row"), _grid(spark, d).select("col", "row"), 4)
 
 
+@query
+def mask_distance_all(spark, d):
+    """Distance of every node to the nearest of the lowest nodes, a mask that no grid leaves empty."""
+    g = _grid(spark, d)
+    low = g.agg(F.min("v").alias("low"))
+    return rasters.distance2(g.join(F.broadcast(low), F.col("v") == F.col("low"), "left_semi").select("col", "row"), g.select("col", "row"))
+
+
 @query
 def mask_largest(spark, d):
     return rasters.largest_component(rasters.labelled(_grid(spark, d).where("v < 47 or (col + row) % 3 = 0").select("col", "row")))

@@ -1,8 +1,10 @@
 """Queries over whole tables against the SQL of those that take a part, read here without its filter."""
 
+import random
+
 import pytest
 
-from geolode.operators import water
+from geolode.operators import rasters, water
 from geolode.plans import oracles, queries
 from tests.conftest import DATA, oracle_rows, rows_of
 
@@ -37,3 +39,26 @@ def test_traces_run_to_their_end(spark):
     starts = spark.createDataFrame([(0, 0), (n - 2, n - 2)], "start long, fid long").coalesce(1)
     got = {(r.start, r.step, r.fid) for r in water.traces(starts, flow).collect()}
     assert got == {(0, i, i) for i in range(n + 1)} | {(n - 2, i, n - 2 + i) for i in range(3)}
+
+
+def test_every_node_has_its_exact_distance(spark):
+    rng = random.Random(5)
+    nodes = {(rng.randint(-30, 30), rng.randint(-20, 40)) for _ in range(500)}
+    for n in (1, 3, 40):
+        mask = {(rng.randint(-45, 45), rng.randint(-40, 60)) for _ in range(n)}
+        frames = (spark.createDataFrame(sorted(x), "col long, row long") for x in (mask, nodes))
+        got = {(r.col, r.row): r.d2 for r in rasters.distance2(*frames).collect()}
+        assert got == {(c, r): min((c - a) ** 2 + (r - b) ** 2 for a, b in mask) for c, r in nodes}
+
+
+def test_empty_mask_leaves_every_node_without_a_distance(spark):
+    nodes = spark.createDataFrame([(0, 0), (5, 3)], "col long, row long")
+    assert {(r.col, r.row, r.d2) for r in rasters.distance2(nodes.limit(0), nodes).collect()} == {(0, 0, None), (5, 3, None)}
+
+
+def test_distance_query_gives_every_node(spark):
+    g = {(r.col, r.row): r.v for r in queries._grid(spark, DATA).collect()}
+    low = [k for k, v in g.items() if v == min(g.values())]
+    got = {(r.col, r.row): r.d2 for r in queries.mask_distance_all(spark, DATA).collect()}
+    assert got == {(c, r): min((c - a) ** 2 + (r - b) ** 2 for a, b in low) for c, r in g}
+    assert max(got.values()) > 16

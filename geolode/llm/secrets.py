@@ -9,10 +9,11 @@ endpoint needs an access identifier or a key that has one.
 
 Places come from the gaps between matches (``split``) and the matches
 themselves, so nothing leaves the JVM. The linking is an interval join: each
-part lies in the bucket of its start, each anchor in its own and the two
-neighbouring ones, and pairs in one bucket of one text are held against the
-distance. Parts do not overlap and are 20 characters long at least, so a bucket
-holds a bounded number of them and the join's output grows with the text only.
+weak part lies in all buckets that it touches, each anchor in those within
+reach of it, and pairs in one bucket of one text are held against the distance.
+Parts of a kind do not overlap and are 20 characters long at least, so a bucket
+holds a bounded number of them, however long they are, and the join's output
+grows with the text only.
 Only texts that hold both an anchor and a weak candidate reach the join.
 
 Nulls count as empty texts: no spans, the digest of the empty string. Rows with
@@ -83,12 +84,12 @@ def _parts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _near(weak: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
     """Weak parts that have an anchor of the same text within reach. The distance is the gap between the two spans."""
     a = anchors.select("key", "th", F.col("s.start").alias("a0"), F.col("s.end").alias("a1"))
-    # An anchor covers all buckets within reach of it, so that one equality finds every pair.
-    a = a.withColumn("b", F.explode(F.sequence(F.floor((F.col("a0") - reach) / reach) - 1, F.floor((F.col("a1") + reach) / reach))))
-    w = weak.withColumn("b", F.floor(F.col("s.start") / reach))
+    # An anchor covers all buckets within reach of it and a weak part all from its start to its end, so that one equality finds every pair.
+    a = a.withColumn("b", F.explode(F.sequence(F.floor((F.col("a0") - reach) / reach), F.floor((F.col("a1") + reach) / reach))))
+    w = weak.withColumn("b", F.explode(F.sequence(F.floor(F.col("s.start") / reach), F.floor(F.col("s.end") / reach))))
     same = w["key"].eqNullSafe(a["key"]) & (w["th"] == a["th"]) & (w["b"] == a["b"])
     gap = F.greatest(w["s.start"] - a["a1"], a["a0"] - w["s.end"], F.lit(0).cast("long"))
-    return w.join(a, same & (gap <= reach), "left_semi").drop("b")
+    return w.join(a, same & (gap <= reach), "left_semi").drop("b").distinct()
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:

@@ -5,7 +5,8 @@ name, an access identifier and a long hexadecimal run. Others are weak: forty
 characters of a secret key's alphabet, or the address of a service, mean
 nothing alone. A weak candidate is reported only when a complementary part
 stands within ``reach`` characters of it: a key needs an access identifier, an
-endpoint needs an access identifier or a key that has one.
+endpoint needs an access identifier, a key that has one or an assignment.
+A key and an endpoint alone do not make each other secrets.
 
 Places come from the gaps between matches (``split``) and the matches
 themselves, so nothing leaves the JVM. The linking is an interval join: each
@@ -68,7 +69,7 @@ def _parts(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     long_value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 6
     named = t.rlike(r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]")
-    # No weak candidate counts without an access identifier, so other texts are not searched for them.
+    # A key counts only with an access identifier, an endpoint with that or an assignment; other texts are not searched for them.
     row = docs.select(F.col(key).alias("key"), F.xxhash64(t, F.length(t)).alias("th"), t.alias("t"), named.alias("named"), t.contains("AKIA").alias("aki"), t.rlike(HEX).alias("hexed"))
     return row.select(
         "key",
@@ -77,7 +78,7 @@ def _parts(docs: DataFrame, key: str, text: str) -> DataFrame:
         _matches(F.col("t"), ACCESS, 1, F.col("aki")).alias("access"),
         _matches(F.col("t"), HEX, 2, F.col("hexed")).alias("hex"),
         _matches(F.col("t"), KEY, 3, F.col("aki")).alias("weak_key"),
-        _matches(F.col("t"), ENDPOINT, 4, F.col("aki")).alias("weak_end"),
+        _matches(F.col("t"), ENDPOINT, 4, (F.col("aki") | F.col("named")) & F.col("t").contains("://")).alias("weak_end"),
     )
 
 
@@ -95,13 +96,15 @@ def _near(weak: DataFrame, anchors: DataFrame, reach: int) -> DataFrame:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
     """One row per row of ``docs``: the key, ``th`` (a hash of the text), ``base`` and ``spans`` (sorted arrays of start, kind, end)."""
     parts = written(_parts(docs, key, text))
-    both = parts.where((F.size("access") > 0) & ((F.size("weak_key") > 0) | (F.size("weak_end") > 0))).dropDuplicates(["key", "th"])
+    linkable = ((F.size("access") > 0) & (F.size("weak_key") > 0)) | ((F.size("access") + F.size("assign") > 0) & (F.size("weak_end") > 0))
+    both = parts.where(linkable).dropDuplicates(["key", "th"])
     access = both.select("key", "th", F.explode("access").alias("s"))
+    named = both.select("key", "th", F.explode("assign").alias("s"))
     # What a strong span already covers is no key of its own.
     strong = F.concat("assign", "access", "hex")
     free = F.filter("weak_key", lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     keys = written(_near(both.select("key", "th", F.explode(free).alias("s")), access, reach))
-    ends = _near(both.select("key", "th", F.explode("weak_end").alias("s")), access.unionByName(keys), reach)
+    ends = _near(both.select("key", "th", F.explode("weak_end").alias("s")), access.unionByName(named).unionByName(keys), reach)
     linked = keys.unionByName(ends).groupBy("key", "th").agg(F.collect_list("s").alias("more"))
     base = F.concat("assign", "access", "hex")
     linked = linked.select(F.col("key").alias("lk"), F.col("th").alias("lh"), "more")

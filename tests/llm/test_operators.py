@@ -365,6 +365,16 @@ def test_long_endpoints_meet_access_identifiers(spark):
     assert clean[1] == "[SECRET]" and "example.com" not in clean[0]
 
 
+def test_assignments_make_endpoints_secret(spark):
+    end, word = "https://db.example.com/main", "password=hunter2hunter2"
+    texts = [f"{end} {word}", f"{word} {end}", f"{word}{' ' * 1000}{end}", end, f"password=abc {end}", f"{end}?token=abcdefgh"]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.scan(docs).select("doc_id", secrets._digest(F.col("spans")).alias("s")).collect()}
+    assert got[0] == "endpoint:0:27,assign:28:51" and got[1] == "assign:0:23,endpoint:24:51"
+    assert "endpoint" not in got[2] and got[3] == got[4] == "" and got[5] == "endpoint:0:42,assign:28:42"
+    assert {r.text for r in secrets.redacted(docs.where("doc_id < 2")).collect()} == {"[SECRET] [SECRET]"}
+
+
 def test_redaction_keeps_rows_and_columns(odd):
     out = secrets.redacted(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

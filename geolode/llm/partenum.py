@@ -3,9 +3,10 @@
 A text is the set of its word shingles. Two sets whose Jaccard similarity
 reaches the threshold differ in at most ``k`` shingles, a bound that follows
 from the size of either. So the domain of shingles is cut into more than ``k``
-partitions, pairs of which form the first level and single ones the enumerated
-subsets: sets that differ in ``k`` shingles agree on all partitions but ``k``,
-and the set's contents in a partition, hashed, are a signature. Sizes are put
+partitions: sets that differ in ``k`` shingles agree on all partitions but
+``k``, and the set's contents in a partition, hashed, are a signature. Subsets
+of partitions are not enumerated, nor are there two levels of them: single
+partitions with the prefix rule below find the same pairs. Sizes are put
 in bands of factor four, each with its own partitions; a set whose larger
 partners may lie in the next band has signatures there too, so that similar
 sets share a band.

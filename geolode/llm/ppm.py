@@ -41,6 +41,8 @@ from geolode.llm.common import table, written
 #: Longest context, bytes of text in a block, and blocks whose counts one task adds up.
 ORDER, BLOCK_BYTES, TOGETHER = 5, 8 << 20, 256
 END = 255
+#: Positions or strings worked on at once.
+STEP = 1 << 18
 _DOC, _LOW, _GRAM, _WORD = 0, 1, 2, 3
 _PACKED = "block long, kind int, range int, seq int, a binary, b binary"
 _LN10 = float(np.log(10.0))
@@ -69,6 +71,42 @@ def _unzip_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(_unzip(raw, np.uint64), dtype=np.uint64)
 
 
+def _numbered(key: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``key`` below ``none`` in order, and each element's place among them (their number for ``none``).
+
+    Present values are bits, 64 a word with the rank of the word's first, so the
+    room taken is by values present and a bit for each possible one; sparser
+    values are numbered by sorting alone.
+    """
+    ordered = np.sort(key)
+    first = np.empty(len(ordered), bool)
+    first[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    found = ordered[first]
+    del ordered, first
+    if len(found) and found[-1] == none:
+        found = found[:-1]
+    at = np.empty(len(key), np.int32)
+    if none > 32 * len(key):
+        for lo in range(0, len(key), STEP):
+            at[lo : lo + STEP] = np.searchsorted(found, key[lo : lo + STEP])
+        return found, at
+    word = found >> 6
+    begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(found) else np.zeros(0, np.int64)
+    bits = np.zeros((none >> 6) + 1, np.uint64)
+    if len(found):
+        bits[word[begin]] = np.bitwise_or.reduceat(np.uint64(1) << (found & 63).astype(np.uint64), begin)
+    del word, begin
+    rank = np.zeros(len(bits), np.int32)
+    np.cumsum(np.bitwise_count(bits[:-1]), out=rank[1:])
+    for lo in range(0, len(key), STEP):
+        k = key[lo : lo + STEP]
+        w = k >> 6
+        below = bits[w] & ((np.uint64(1) << (k & 63).astype(np.uint64)) - np.uint64(1))
+        at[lo : lo + STEP] = rank[w] + np.bitwise_count(below)
+    return found, at
+
+
 class Level:
     """The distinct strings of one length in a block, in lexicographic order."""
 
@@ -104,9 +142,9 @@ class Texts:
             level = Level()
             if before is None:
                 at, slots = self.code.astype(np.int32), a
-                level.parent, level.symbol = np.zeros(a, np.int64), self.alphabet.astype(np.int64)
+                level.parent, level.symbol = np.zeros(a, np.int32), self.alphabet
                 level.keys = level.symbol.astype(np.uint64)
-                level.at, level.n, level.last = at, slots, level.symbol.copy()
+                level.at, level.n, level.last = at, slots, level.symbol.astype(np.int32)
             else:
                 slots = before.n * a
                 key = np.empty(len(self.code), np.int64 if slots > 2_000_000_000 else np.int32)
@@ -114,15 +152,11 @@ class Texts:
                 np.multiply(before.at[:-1], a, out=key[1:], casting="unsafe")
                 key[1:] += self.code[1:]
                 key[self.early(n)] = slots
-                held = np.zeros(slots + 1, bool)
-                held[key] = True
-                held[slots] = False
-                found = np.flatnonzero(held)
-                ids = np.zeros(slots + 1, np.int32)
-                ids[found] = np.arange(len(found), dtype=np.int32)
-                ids[slots] = len(found)
-                level.at, level.n = ids[key], len(found)
-                level.parent, level.symbol = found // a, self.alphabet[found % a].astype(np.int64)
+                found, level.at = _numbered(key, slots)
+                del key
+                level.n = len(found)
+                level.parent, level.symbol = (found // a).astype(np.int32), self.alphabet[found % a]
+                del found
                 level.keys = before.keys[level.parent] << np.uint64(8) | level.symbol.astype(np.uint64)
                 level.last = (before.last[level.parent] & 255) << 8 | level.symbol
             yield level, before
@@ -370,23 +404,32 @@ def _scored(longest: int, ranges: int, low: np.ndarray, tokens: int, types: int)
                         p = parent[mine]
                         p = p[np.r_[True, p[1:] != p[:-1]]]
                         cn[p], cd[p], cx[p] = _unzip(b, np.int64).reshape(3, -1)
-            n_, d_ = cn[parent].astype(np.float64), cd[parent].astype(np.float64)
-            if n == 1:
-                # What a string has once its own context has failed: even shares of the bytes never seen.
-                left = np.full(level.n, -np.log(256.0 - cd[0]) if cd[0] < 256 else 0.0)
-                shorter = left
-            else:
+            # What the suffix offers: its string's place (tail), and its n and d.
+            tail = None
+            if n > 1:
                 tail = np.zeros(level.n + 1, np.int32)
                 tail[level.at] = before.at
-                tail = tail[: level.n]
-                # The suffix's n and d, those offered here excluded.
-                sn, sd = stat[0][before.parent[tail]] - cx[parent], stat[1][before.parent[tail]] - cd[parent]
-                below = stat[2][tail]
-                whole = _log((sn + sd).astype(np.float64))
-                left = np.where(below > 0, _log(below.astype(np.float64)) - whole, np.where(sd > 0, _log(sd.astype(np.float64)) - whole, 0.0) + rest[tail])
-                shorter = prob[tail]
-            seen = _log(count.astype(np.float64)) - _log(n_ + d_)
-            prob_here = np.where(n_ > 0, np.where(count > 0, seen, _log(d_) - _log(n_ + d_) + left), shorter)
+            left, prob_here = np.empty(level.n), np.empty(level.n)
+            for lo in range(0, level.n, STEP):
+                some = slice(lo, min(lo + STEP, level.n))
+                p, c = parent[some], count[some]
+                n_, d_ = cn[p].astype(np.float64), cd[p].astype(np.float64)
+                if n == 1:
+                    # What a string has once its own context has failed: even shares of the bytes never seen.
+                    left[some] = -np.log(256.0 - cd[0]) if cd[0] < 256 else 0.0
+                    shorter = left[some]
+                else:
+                    t = tail[some]
+                    up = before.parent[t]
+                    # The suffix's n and d, those offered here excluded.
+                    sn, sd = stat[0][up] - cx[p], stat[1][up] - cd[p]
+                    below = stat[2][t]
+                    whole = _log((sn + sd).astype(np.float64))
+                    left[some] = np.where(below > 0, _log(below.astype(np.float64)) - whole, np.where(sd > 0, _log(sd.astype(np.float64)) - whole, 0.0) + rest[t])
+                    shorter = prob[t]
+                both = _log(n_ + d_)
+                prob_here[some] = np.where(n_ > 0, np.where(c > 0, _log(c.astype(np.float64)) - both, _log(d_) - both + left[some]), shorter)
+            del tail
             prob, rest, stat = prob_here, left, (cn, cd, count)
             if n < longest:  # texts' n-th bytes have no longer context
                 have = texts.size >= n

@@ -7,8 +7,10 @@ goes (anti-join), and of equal ones the least id stays. What is left is
 rendered, ``PART`` turns to a row, so that no row grows with a conversation.
 
 The rolling hash is a sum of hashes of (place, turn), 128 bits in four halves
-of 32, so that prefix sums can be taken in two steps: within chunks of turn
-numbers, and over the chunks' totals. No task sees a conversation whole. Prefix
+of 32, so that prefix sums can be taken in two steps: within chunks, and over
+the chunks' totals. Chunks are ranges of the table in the order of conversation
+and turn, so a long conversation (or all turns without id or number) lies in
+many, and no task sees it whole. Prefix
 hashes are reduced to the longest conversation that has them before the join,
 so a first turn that a third of all conversations share is one row there.
 
@@ -31,14 +33,15 @@ _KEY = ["ckey", "chunk"]
 
 
 def _placed(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """Turns with ``ckey`` (never null), ``conv_id``, their place ``pos`` from 1, ``role``, ``text``."""
+    """Turns with ``ckey`` (never null), ``conv_id``, their place ``pos`` from 1, ``role``, ``text``, and the ``chunk`` they lie in."""
     ckey = F.when(F.col(conv).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(conv).cast("string")))
-    chunk = F.coalesce(F.floor(F.col(turn) / PART), F.lit((1 << 62) - 1))
-    t = turns.select(ckey.alias("ckey"), chunk.alias("chunk"), F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    order = [F.col(c).asc_nulls_last() for c in ("turn", "role", "text")]
-    t = written(t.withColumn("at", F.row_number().over(Window.partitionBy(*_KEY).orderBy(*order))))
+    # Equal rows are interchangeable; their number lets a range end between them.
+    t = turns.select(ckey.alias("ckey"), F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.col(c).asc_nulls_last() for c in ("turn", "role", "text", "tie")]
+    t = written(t.repartitionByRange("ckey", *order).withColumn("chunk", F.spark_partition_id()))
     before = t.groupBy(*_KEY).count().withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy("ckey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return t.join(before.drop("count"), _KEY).withColumn("pos", F.col("before") + F.col("at")).select("ckey", "chunk", "conv_id", "pos", "role", "text")
+    at = F.row_number().over(Window.partitionBy(*_KEY).orderBy(*order))
+    return t.withColumn("at", at).join(before.drop("count"), _KEY).withColumn("pos", F.col("before") + F.col("at")).select("ckey", "chunk", "conv_id", "pos", "role", "text")
 
 
 def _rolled(placed: DataFrame) -> DataFrame:

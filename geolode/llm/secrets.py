@@ -43,20 +43,31 @@ REACH = 400
 _PART = "array<struct<start:long,kind:int,end:long>>"
 
 
+def _running(items: Column, value, combine) -> Column:
+    """For each element the numbers (from 0) of those before it, combined: in parts of 256, then over the parts, so that long arrays cost little more than their length."""
+    zero = F.lit(0).cast("long")
+
+    def before(xs, of):
+        first = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("done"))
+        return F.aggregate(xs, first, lambda s, x: F.struct(combine(s["at"], of(x)).alias("at"), F.array_append(s["done"], s["at"]).alias("done")))
+
+    def by_parts(xs):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / 256).cast("int")), lambda k: before(F.slice(xs, k * 256 + 1, F.lit(256)), value))
+        return F.transform(F.array(parts), lambda ps: F.flatten(F.zip_with(ps, before(ps, lambda p: p["at"])["done"], lambda p, o: F.transform(p["done"], lambda y: combine(y, o)))))[0]
+
+    none = F.array().cast("array<long>")
+    return F.transform(F.array(items), lambda xs: F.when(F.size(xs) > 0, by_parts(xs)).otherwise(none))[0]
+
+
 def _matches(text: Column, pattern: str, kind: int, needs: Column, keep=None) -> Column:
     """Spans of a pattern: starts are sums of the lengths of the gaps and matches before. ``needs`` is a cheap test that every text with a match passes."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda x: F.struct(x["gap"].alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).cast("long").alias("size"), (keep(x["hit"]) if keep else F.lit(True)).alias("ok")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_PART).alias("spans"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when((x["size"] > 0) & x["ok"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.when(needs, F.aggregate(steps, start, step)["spans"]).otherwise(F.array().cast(_PART))
+    at = _running(steps, lambda x: x["gap"] + x["size"], lambda a, b: a + b)
+    spans = F.transform(F.arrays_zip(steps.alias("x"), at.alias("at")), lambda z: F.struct((z["at"] + z["x"]["gap"]).alias("start"), F.lit(kind).alias("kind"), (z["at"] + z["x"]["gap"] + z["x"]["size"]).alias("end"), ((z["x"]["size"] > 0) & z["x"]["ok"]).alias("ok")))
+    spans = F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return F.when(needs, spans).otherwise(F.array().cast(_PART))
 
 
 def _digest(spans: Column) -> Column:
@@ -113,6 +124,17 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int =
     return out.select(F.col("key").alias(key), "th", "assign", "access", "hex", F.array_sort(base).alias("base"), F.array_sort(F.concat(base, F.coalesce("more", none))).alias("spans"))
 
 
+_BLOCK = 4096
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end of a text in blocks."""
+    i, j = F.floor(start / _BLOCK).cast("int"), F.floor(end / _BLOCK).cast("int")
+    first = lambda n: F.substring(F.coalesce(F.get(blocks, i), F.lit("")), (start % _BLOCK + 1).cast("int"), n)
+    many = F.concat(first(F.lit(_BLOCK)), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.coalesce(F.get(blocks, j), F.lit("")), F.lit(1), (end % _BLOCK).cast("int")))
+    return F.when(end <= start, "").when(i == j, first((end - start).cast("int"))).otherwise(many)
+
+
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span (overlapping ones joined) replaced by a mark."""
     columns = docs.columns
@@ -120,14 +142,15 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: in
     spans = scan(docs, key, text, reach).where(F.size("spans") > 0).select(F.col(key).alias("__k"), F.col("th").alias("__h"), F.col("spans").alias("__s")).dropDuplicates(["__k", "__h"])
     rows = docs.withColumn("__th", F.xxhash64(t, F.length(t)))
     rows = rows.join(spans, rows[key].eqNullSafe(spans["__k"]) & (rows["__th"] == spans["__h"]), "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
+    # The text in blocks, so that a piece is cut out of its blocks and not by counting from the text's start.
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    whole = F.struct(blocks.alias("b"), F.col("__s").alias("s"), _running(F.col("__s"), lambda s: s["end"], F.greatest).alias("done"), F.length(t).cast("long").alias("n"))
 
-    def step(acc, s):
-        skip = s["start"] < acc["at"]
-        said = F.when(skip, acc["done"]).otherwise(F.concat(acc["done"], F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), said.alias("done"))
+    def cleaned(w):
+        parts = F.zip_with(w["s"], w["done"], lambda s, done: F.when(s["start"] < done, F.lit("")).otherwise(F.concat(_cut(w["b"], done, s["start"]), F.lit(mark))))
+        return F.concat(F.array_join(parts, ""), _cut(w["b"], F.array_max(F.transform(w["s"], lambda s: s["end"])), w["n"]))
 
-    clean = F.aggregate("__s", start, step, lambda acc: F.concat(acc["done"], F.substring(t, (acc["at"] + 1).cast("int"), 1 << 30)))
+    clean = F.transform(F.array(whole), cleaned)[0]
     rows = rows.withColumn(text, F.when(F.col("__s").isNull(), F.col(f"`{text}`")).otherwise(clean))
     return rows.select(*[F.col(f"`{c}`") for c in columns])
 

@@ -19,19 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share, named in ``spark.checkpoint.dir``.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    Where that is unset, a temporary folder takes its place on one machine
+    (``local`` masters); a cluster's machines would not see each other's, so
+    there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="geolode-")
         spark.conf.set("spark.checkpoint.dir", named)
     spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+#: Paths written so far and not yet removed, oldest first.
+_FILES: list[str] = []
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -45,11 +52,12 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Cuts the lineage, so that a lost executor costs only the tasks that read
-    the files. The files go when the driver's Python ends.
+    the files. The files go when the driver's Python ends, or with ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/geolode-{uuid.uuid4().hex}"
     atexit.register(_forget, spark, path)
+    _FILES.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -57,6 +65,19 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files() -> list[str]:
+    """What ``written`` holds now."""
+    return list(_FILES)
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Removes files of ``written`` that nothing will read again."""
+    for path in paths:
+        if path in _FILES:
+            _FILES.remove(path)
+            _forget(spark, path)
+
+
 def n_words(text) -> F.Column:
     """Words of a text, 0 for null: the gaps that a word follows, plus a leading word."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -204,7 +204,7 @@ def _counted(percent: int):
 
         words, seen = _Words(), set()
         sketch, waiting, held = np.zeros(COUNTERS, np.int32), [], 0
-        names = ["doc_id", "n", "h", "t", "profile", "slice", "salt", "counts"]
+        names = ["doc_id", "n", "h", "t", "x", "profile", "slice", "salt", "counts"]
         salt = 0
         for ids, raws in _some(batches):
             sets = Sets(raws, words)
@@ -218,14 +218,15 @@ def _counted(percent: int):
             n = len(raws)
             profiles = sets.profiles()
             t = [xxhash.xxh3_64_intdigest(r or b"") - (1 << 63) for r in raws]
+            x = np.array([xxhash.xxh64_intdigest(r or b"", 42) for r in raws], np.uint64).view(np.int64)  # as Spark's xxhash64 has it
             none = pa.nulls(n, pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sets.size, pa.int64()), pa.array(sets.hash), pa.array(t, pa.int64()), pa.array(profiles, pa.binary()), none, none, pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets.size, pa.int64()), pa.array(sets.hash), pa.array(t, pa.int64()), pa.array(x), pa.array(profiles, pa.binary()), none, none, pa.nulls(n, pa.binary())], names)
         if waiting:
             sketch += np.bincount(np.concatenate(waiting), minlength=COUNTERS).astype(np.int32)
         no = pa.nulls(1, pa.int64())
         for k, part in enumerate(np.split(sketch, SLICES)):
             if part.any():
-                yield pa.RecordBatch.from_arrays([no, no, no, no, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([salt & 0xFF], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
+                yield pa.RecordBatch.from_arrays([no, no, no, no, no, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([salt & 0xFF], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names)
 
     return run
 
@@ -476,16 +477,16 @@ def _links(docs: DataFrame, classes: DataFrame, cluster: DataFrame, percent: int
     return sets.join(where, "h").groupBy("root", "i", "j").applyInArrow(_verified(percent), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row: ``doc_id``, ``n_shingles``, ``component_id`` (least id reachable by links)."""
+def _classed(docs: DataFrame, percent: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id``, ``n``, ``h``, ``x``) of each row, ``x`` being Spark's hash of the text, and (``h``, ``least``, ``root``) of each class of equal sets."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = written(texts.mapInArrow(_counted(percent), "doc_id long, n long, h long, t long, profile binary, slice int, salt int, counts binary"))
+    first = written(texts.mapInArrow(_counted(percent), "doc_id long, n long, h long, t long, x long, profile binary, slice int, salt int, counts binary"))
     sketch = np.zeros((SLICES, COUNTERS // SLICES), np.int32)
     parts = first.where("slice is not null").select("slice", "salt", "counts")
     parts = parts.groupBy("slice", "salt").applyInArrow(_summed, "slice int, counts binary").groupBy("slice").applyInArrow(_summed, "slice int, counts binary")
     for r in parts.collect():  # as many rows as slices
         sketch[r.slice] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int32)
-    rows = first.where("slice is null").select("doc_id", "n", "h")
+    rows = first.where("slice is null").select("doc_id", "n", "h", "x")
     sets = first.where("slice is null and n > 2").groupBy("h").agg(F.max(F.struct("t", "n", "profile")).alias("s")).select("h", "s.*")
     total = rows.agg(F.sum("n")).first()[0] or 0
     ranges = int(max(64, total // 500_000))
@@ -499,6 +500,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
     root = components(_links(texts, sets.select("h", "t"), cluster, percent))
     least = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"))
     classes = written(least.join(root.withColumnRenamed("node", "h"), "h", "left").select("h", "least", F.coalesce("root", "h").alias("root")))
+    return rows, classes
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row: ``doc_id``, ``n_shingles``, ``component_id`` (least id reachable by links)."""
+    rows, classes = _classed(docs, percent, key, text)
     lowest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     label = classes.join(lowest, "root").select("h", "component_id")
     alone = F.when(F.col("n") > 0, F.col("h"))  # null: joins with nothing
@@ -507,11 +514,26 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, key: str = "doc_
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of least id; rows without id stay, of rows with one id one stays."""
-    found = jaccard_components(docs, percent, key, text)
-    gone = found.where("component_id is not null and doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(gone, key, "left_anti").dropDuplicates([key])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` with one row of each component.
+
+    That of least id stays (rows without id come last), of rows with that id the
+    one whose text has the least hash, and of rows equal in both the one whose
+    columns have the least hash. Rows of one id with unlike texts are documents of their own. Rows
+    without words link with nothing and all stay.
+    """
+    rows, classes = _classed(docs, percent, key, text)
+    each = rows.where("n > 0").join(classes.select("h", "root"), "h")
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "x")).alias("s")).select("s.doc_id", "s.x")
+    copies = rows.where("n > 0").groupBy("doc_id", "x").agg(F.count("*").alias("copies"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["x"] == b["x"])
+    kept = first.join(copies, same(first, copies)).select(first["doc_id"].alias("__id"), first["x"].alias("__x"), "copies")
+    kept = written(kept.unionByName(rows.where("n = 0").select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"), F.lit(1).cast("long").alias("copies")).distinct()))
+    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    found = hashed.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__x")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*columns)
+    one = found.where("copies > 1").groupBy("__id", "__x").agg(F.min_by(whole, F.xxhash64(*columns)).alias("row")).select("row.*")
+    return found.where("copies = 1").select(*columns).unionByName(one)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

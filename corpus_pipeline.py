@@ -1,8 +1,9 @@
 """From raw documents to token ids: quality, near-duplicates, secrets, mixture, tokens.
 
 Each stage works on all that the stage before it kept, is written as Parquet and
-read again. Null texts count as empty; rows without id are kept by the stages
-that go by id. Empty inputs give empty outputs.
+read again. Null texts count as empty; a row without id is a document like others
+(it is kept by the classifier, and comes last in its group of near-duplicates).
+Empty inputs give empty outputs.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from geolode.llm import bpe, mixing, partenum, quality, secrets
-from geolode.llm.common import table, written
+from geolode.llm.common import dropped, files, table, written
 
 #: Columns that every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, the one of least id; documents that share an id but no text stay apart."""
     return partenum.deduplicated(docs.select(*COLUMNS))
 
 
@@ -61,10 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read again."""
+    """All stages over ``documents``; each result but the last is written and read again, and what led to it removed."""
     docs = table(spark, sf_dir, "documents")
+    before = files()
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs)
+            dropped(spark, [f for f in files()[:-1] if f not in before])
     return docs

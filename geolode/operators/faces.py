@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolode.functions import geometry as G
+from geolode.operators import spatial
 
 
-def gather(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Faces with their corners' coordinates. Faces with unknown or repeated vertices drop out."""
+def gather(faces: DataFrame, vertices: DataFrame, other: str | None = None) -> DataFrame:
+    """Faces with their corners' coordinates, and as ``ra, rb, rc`` another column of theirs. Faces with unknown or repeated vertices drop out."""
     out = faces.where("a != b and b != c and a != c")
     for k in "abc":
-        v = vertices.select(F.col("vid").alias(k), *(F.col(x).alias(f"{k}{x}") for x in "xyz"))
+        v = vertices.select(F.col("vid").alias(k), *(F.col(x).alias(f"{k}{x}") for x in "xyz"), *([F.col(other).alias(f"r{k}")] if other else []))
         out = out.join(v, k)
     return out
 
@@ -56,8 +57,7 @@ def aspect_sectors(xyz: DataFrame, flat_ratio: float = 0.0) -> DataFrame:
 def by_zone(xyz: DataFrame, zones: DataFrame, unit: str = "percent") -> DataFrame:
     """Zone table: areas, heights and slopes of the faces whose centroid lies in each zone. Vertical faces have no slope."""
     m = measured(xyz)
-    inside = (F.col("cx_") >= F.col("x0")) & (F.col("cx_") < F.col("x1")) & (F.col("cy_") >= F.col("y0")) & (F.col("cy_") < F.col("y1"))
-    m = m.join(F.broadcast(zones), inside)
+    m = spatial.in_rectangles(m, "cx_", "cy_", zones)
     s = F.when(G.finite("slope"), G.slope_in("slope", unit))
     w = F.when(G.finite("slope"), F.col("plan_area"))
     low, high = F.least("az", "bz", "cz"), F.greatest("az", "bz", "cz")

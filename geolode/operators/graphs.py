@@ -33,30 +33,31 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def flow_roots(flow: DataFrame) -> DataFrame:
-    """(fid, root): where each face's flow ends (rows fid, flows_to), by pointer doubling.
+    """(fid, root): where each face's flow ends (rows fid, flows_to), by pointers that triple their stride a round.
 
     A cycle counts as one end, named by its least face; an outlet or a flat face is its own end.
     """
-    flow = materialized(flow)  # every round reads it
-    ends = flow.where("flows_to < 0").select(F.col("fid").alias("to"))
-    at = materialized(flow.select("fid", F.when(F.col("flows_to") < 0, F.col("fid")).otherwise(F.col("flows_to")).alias("to"), F.col("fid").alias("low")))
+    is_end = F.col("flows_to") < 0
+    at = materialized(flow.select("fid", F.when(is_end, F.col("fid")).otherwise(F.col("flows_to")).alias("to"), F.col("fid").alias("low"), is_end.alias("done")))
+    ended, loose = at.where("done"), at.where("not done")
     before = None
     while True:
-        loose = at.join(ends, "to", "left_anti")
+        nxt = ended.unionByName(loose).select(F.col("fid").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"), F.col("done").alias("done2"))
+        step = loose
+        for _ in range(2):
+            step = step.join(nxt, "to").select("fid", F.col("to2").alias("to"), F.when(F.col("done2"), F.col("low")).otherwise(F.least("low", "low2")).alias("low"), F.col("done2").alias("done"))
+        step = materialized(step)
+        ended, loose = ended.unionByName(step.where("done")), step.where("not done")
         reached = loose.select(F.col("to").alias("fid")).distinct()
-        now = tuple(at.join(reached, "fid", "left_semi").agg(F.count("*"), F.sum("low")).first())
+        now = tuple(loose.join(reached, "fid", "left_semi").agg(F.count("*"), F.sum("low")).first())
         # Images of what has no end only shrink: once they stand still they are the
         # cycles, and once the least faces on the way do too, each has seen its cycle.
         if now[0] == 0 or now == before:
             break
         before = now
-        nxt = at.select(F.col("fid").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        at = materialized(at.join(nxt, "to").select("fid", F.col("to2").alias("to"), F.least("low", "low2").alias("low")))
     # From a face on a cycle the path is the cycle, so its least face is the path's.
-    cycles = at.join(ends, F.col("fid") == ends["to"], "left_anti").select(F.col("fid").alias("to"), F.col("low").alias("cycle"))
-    ended = ends.withColumn("ends", F.lit(True))
-    out = at.select("fid", "to").join(ended, "to", "left").join(cycles, "to", "left")
-    return out.select("fid", F.when(F.col("ends"), F.col("to")).otherwise(F.col("cycle")).alias("root"))
+    cycles = loose.select(F.col("fid").alias("to"), F.col("low").alias("root"))
+    return ended.select("fid", F.col("to").alias("root")).unionByName(loose.select("fid", "to").join(cycles, "to").select("fid", "root"))
 
 
 def basins(roots: DataFrame, measured: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 GROUND_CLASS = 2
+G_INF = float("inf")
 
 
 def rasterized(cloud: DataFrame, cell: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
@@ -106,7 +107,7 @@ def mask_opened(mask: DataFrame, radius: int) -> DataFrame:
     return mask_dilated(mask_eroded(mask, radius), radius)
 
 
-def _row_pass(key, nodes: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+def _row_pass(key, nodes, lines):
     """Squared distances in one row: the lower envelope of the parabolas over its columns, in whole numbers."""
     site: list[int] = []
     first: list[int] = []  # where each site of the envelope becomes the nearest
@@ -161,17 +162,73 @@ def largest_component(labels: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(best.select("label")), "label", "left_semi").select("col", "row")
 
 
-def harmonic_filled(grid: DataFrame, unknown: DataFrame, rounds: int) -> DataFrame:
-    """(col, row, v): unknown nodes as the mean of their neighbours, by Jacobi rounds from the mean of what is known."""
+#: Nodes of a gap that one task solves.
+GAP = 2_000_000
+
+
+def _solved(key, rows):
+    """One gap's nodes as the mean of their neighbours: conjugate gradients on the graph of its nodes, borders known."""
+    inner = rows[rows["i"] == 0]
+    n = len(inner)
+    at = {k: i for i, k in enumerate(zip(inner["col"].tolist(), inner["row"].tolist(), strict=True))}
+    edge = {(c, r): v for c, r, v in rows.loc[rows["i"] == 1, ["col", "row", "v"]].itertuples(index=False)}
+    i, j, degree, right = [], [], np.zeros(n), np.zeros(n)
+    for (c, r), k in at.items():
+        for near in ((c + 1, r), (c - 1, r), (c, r + 1), (c, r - 1)):
+            if near in at:
+                i.append(k)
+                j.append(at[near])
+                degree[k] += 1
+            elif near in edge:
+                right[k] += edge[near]
+                degree[k] += 1
+    i, j = np.array(i, int), np.array(j, int)
+    apply = lambda x: degree * x - np.bincount(i, x[j], n)
+    x = np.full(n, right.sum() / max(degree.sum() - len(i), 1))
+    res = right - apply(x)
+    step, size = res.copy(), res @ res
+    for _ in range(20 * n):
+        if size <= 1e-26 * max(1.0, right @ right):
+            break
+        moved = apply(step)
+        alpha = size / (step @ moved)
+        x, res = x + alpha * step, res - alpha * moved
+        before, size = size, res @ res
+        step = res + size / before * step
+    return pd.DataFrame({"col": inner["col"], "row": inner["row"], "v": x, "residual": np.abs(right - apply(x)) / np.maximum(degree, 1)})
+
+
+def harmonic_filled(grid: DataFrame, unknown: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(col, row, v, residual): unknown nodes as the mean of their neighbours, solved; known ones have residual 0.
+
+    Each connected gap is a system of its own, solved in one task with its
+    border. Gaps of more than ``GAP`` nodes go by rounds over the table until no
+    node moves by more than ``tolerance``. A gap that no known node borders gets the mean of what is known.
+    """
     from geolode.plans.lineage import materialized
 
-    start = grid.agg(F.avg("v").alias("m"))
-    z = grid.select("col", "row", "v", F.lit(True).alias("known")).unionByName(unknown.join(grid, ["col", "row"], "left_anti").join(F.broadcast(start), how="cross").select("col", "row", F.col("m").alias("v"), F.lit(False).alias("known")))
+    known = grid.select("col", "row", F.col("v").cast("double").alias("v"))
+    gaps = labelled(unknown.select("col", "row").distinct().join(known, ["col", "row"], "left_anti"))
+    gaps = materialized(gaps)
     shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    for _ in range(rounds):
-        ring = z.withColumn("s", F.explode(shifts)).groupBy((F.col("col") + F.col("s.i")).alias("col"), (F.col("row") + F.col("s.j")).alias("row")).agg(F.avg("v").alias("m"))
-        z = materialized(z.join(ring, ["col", "row"], "left").select("col", "row", F.when(F.col("known") | F.col("m").isNull(), F.col("v")).otherwise(F.col("m")).alias("v"), "known"))
-    return z.select("col", "row", "v")
+    rim = gaps.withColumn("s", F.explode(shifts)).select((F.col("col") + F.col("s.i")).alias("col"), (F.col("row") + F.col("s.j")).alias("row"), "label").distinct().join(known, ["col", "row"])
+    mean = known.agg(F.avg("v").alias("m"))
+    size = gaps.groupBy("label").agg(F.count("*").alias("n")).join(rim.groupBy("label").agg(F.avg("v").alias("start")), "label", "left")
+    gaps = materialized(gaps.join(size, "label"))
+    free = gaps.where("start is null").join(F.broadcast(mean), how="cross").select("col", "row", F.col("m").alias("v"), F.lit(0.0).alias("residual"))
+    small = gaps.where(f"start is not null and n <= {GAP}").select("label", "col", "row", F.lit(None).cast("double").alias("v"), F.lit(0).alias("i"))
+    border = rim.join(size.where(f"n <= {GAP}").select("label"), "label", "left_semi").select("label", "col", "row", "v", F.lit(1).alias("i"))
+    solved = small.unionByName(border).groupBy("label").applyInPandas(_solved, f"col {grid.schema['col'].dataType.simpleString()}, row {grid.schema['row'].dataType.simpleString()}, v double, residual double")
+    out = known.withColumn("residual", F.lit(0.0)).unionByName(free).unionByName(solved)
+    z = gaps.where(f"start is not null and n > {GAP}").select("col", "row", F.col("start").alias("v"), F.lit(G_INF).alias("residual"))
+    if z.limit(1).count() == 0:
+        return out
+    while z.where(F.col("residual") > tolerance).limit(1).count():
+        for _ in range(8):
+            ring = z.select("col", "row", "v").unionByName(known).withColumn("s", F.explode(shifts)).groupBy((F.col("col") + F.col("s.i")).alias("col"), (F.col("row") + F.col("s.j")).alias("row")).agg(F.avg("v").alias("m"))
+            z = z.join(ring, ["col", "row"]).select("col", "row", F.col("m").alias("v"), F.abs(F.col("m") - F.col("v")).alias("residual"))
+        z = materialized(z)
+    return out.unionByName(z)
 
 
 def with_classified_ground(filtered: DataFrame, raster: DataFrame) -> DataFrame:

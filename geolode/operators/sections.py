@@ -100,16 +100,27 @@ def runs(lines: DataFrame, window: float, landing_limit: float, min_landing: flo
 
 
 def grade_limited(lines: DataFrame, limit: float) -> DataFrame:
-    """Adds ``grade_z``: the height midway between the least and greatest profiles whose grade never passes the limit.
+    """Adds ``grade_z``, the height midway between the least and greatest profiles whose grade never passes the limit.
 
-    Both envelopes are running extremes of z +- limit * station, one window each way.
+    Both ends keep their own height: the middle is clamped into the cones from
+    them. Where the ends lie too far apart (``required`` grade beyond the limit)
+    ``feasible`` is false and there is no height. The envelopes are running
+    extremes of z +- limit * station, one window each way.
     """
     w = Window.partitionBy("route_id").orderBy("station")
-    back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    m = F.lit(limit) * F.col("station")
+    back, on, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s, m = F.col("station"), F.lit(limit) * F.col("station")
     upper = F.greatest(F.max(F.col("z") + m).over(back) - m, F.max(F.col("z") - m).over(on) + m)
     lower = F.least(F.min(F.col("z") - m).over(back) + m, F.min(F.col("z") + m).over(on) - m)
-    return lines.withColumns({"upper": upper, "lower": lower}).withColumn("grade_z", (F.col("upper") + F.col("lower")) / 2)
+    ends = {"_s0": F.first("station").over(whole), "_z0": F.first("z").over(whole), "_s1": F.last("station").over(whole), "_z1": F.last("z").over(whole)}
+    out = lines.withColumns({"upper": upper, "lower": lower, **ends})
+    span, gap = F.col("_s1") - F.col("_s0"), F.abs(F.col("_z1") - F.col("_z0"))
+    required = F.when(span > 0, gap / span).when(gap == 0, 0.0).otherwise(F.lit(G.INF))
+    low = F.greatest(F.col("_z0") - limit * (s - F.col("_s0")), F.col("_z1") - limit * (F.col("_s1") - s))
+    high = F.least(F.col("_z0") + limit * (s - F.col("_s0")), F.col("_z1") + limit * (F.col("_s1") - s))
+    held = F.when(s == F.col("_s0"), F.col("_z0")).when(s == F.col("_s1"), F.col("_z1")).when(high < low, (low + high) / 2).otherwise(G.clamp((F.col("upper") + F.col("lower")) / 2, low, high))
+    out = out.withColumn("required", required).withColumn("feasible", F.col("required") <= limit * (1 + 1e-9) + 1e-12)
+    return out.withColumn("grade_z", F.when(F.col("feasible"), held)).drop("_s0", "_z0", "_s1", "_z1")
 
 
 def allowed_going(ratio, limits: list[tuple[float, float]], stricter: bool = False):
@@ -123,8 +134,12 @@ def allowed_going(ratio, limits: list[tuple[float, float]], stricter: bool = Fal
     return out.otherwise(F.lit(float(rows[-1][1])))
 
 
-def route_compliance(xyz: DataFrame, lines: DataFrame, half_width: float, running_limit: float, cross_limit: float) -> DataFrame:
-    """(verdict, n_faces, plan_area): faces whose centroid is near a route, by grade along and across its nearest leg."""
+def route_compliance(xyz: DataFrame, lines: DataFrame, half_width: float, walk_limit: float, ramp_limit: float, cross_limit: float) -> DataFrame:
+    """(verdict, n_faces, plan_area): faces whose centroid is near a route, by grade along and across its nearest leg.
+
+    Beyond the ramp's limit along the route they are ``running``, else beyond the
+    limit across it ``cross``, else beyond what may be walked ``ramp``, else ``walk``.
+    """
     nx, ny, nz = G.normal()
     f = xyz.select("fid", ((F.col("ax") + F.col("bx") + F.col("cx")) / 3).alias("px"), ((F.col("ay") + F.col("by") + F.col("cy")) / 3).alias("py"), (-nx / F.when(nz != 0, nz)).alias("gx_"), (-ny / F.when(nz != 0, nz)).alias("gy_"), G.plan_area().alias("plan_area"))
     f = f.withColumns({"gx": F.floor(F.col("px") / half_width), "gy": F.floor(F.col("py") / half_width)})
@@ -137,5 +152,6 @@ def route_compliance(xyz: DataFrame, lines: DataFrame, half_width: float, runnin
     ux, uy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length = F.sqrt(ux * ux + uy * uy)
     running, across = F.abs(F.col("gx_") * ux + F.col("gy_") * uy) / length, F.abs(G.cross("gx_", "gy_", ux, uy)) / length
-    verdict = F.when(running > running_limit, "running").when(across > cross_limit, "cross").otherwise("pass")
+    slack = 1e-9
+    verdict = F.when(running > max(walk_limit, ramp_limit) + slack, "running").when(across > cross_limit + slack, "cross").when(running > walk_limit + slack, "ramp").otherwise("walk")
     return best.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n_faces"), F.sum("plan_area").alias("plan_area"))

@@ -90,9 +90,17 @@ def clipped_to_box(segments: DataFrame, x0: float, y0: float, x1: float, y1: flo
     return s.select("sid", "t0", "t1", G.lerp("x0", "x1", "t0").alias("cx0"), G.lerp("y0", "y1", "t0").alias("cy0"), G.lerp("x0", "x1", "t1").alias("cx1"), G.lerp("y0", "y1", "t1").alias("cy1"))
 
 
+def in_rectangles(rows: DataFrame, x: str, y: str, zones: DataFrame, cell: float = 16.0) -> DataFrame:
+    """Rows joined with the rectangles (zone_id, x0, y0, x1, y1, half open) that hold their place, cell by cell."""
+    z = zones.where("x0 < x1 and y0 < y1").withColumn("_gx", _cells(F.col("x0"), F.col("x1"), cell)).withColumn("_gy", _cells(F.col("y0"), F.col("y1"), cell))
+    r = rows.withColumns({"_gx": F.floor(F.col(x) / cell), "_gy": F.floor(F.col(y) / cell)})
+    inside = (F.col(x) >= F.col("x0")) & (F.col(x) < F.col("x1")) & (F.col(y) >= F.col("y0")) & (F.col(y) < F.col("y1"))
+    return r.join(z, ["_gx", "_gy"]).where(inside).drop("_gx", "_gy")
+
+
 def zone_of(points: DataFrame, zones: DataFrame) -> DataFrame:
     """(pid, zone_id): of the rectangles that hold a point, the one of highest priority, then of highest id."""
-    hit = points.join(F.broadcast(zones), (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
+    hit = in_rectangles(points, "x", "y", zones)
     return hit.groupBy("pid").agg(F.max(F.struct("priority", "zone_id")).alias("z")).select("pid", "z.zone_id")
 
 
@@ -110,6 +118,35 @@ def ring_areas(rings: DataFrame) -> DataFrame:
     return e.groupBy("area_id", "ring_id").agg((F.sum(G.cross("x0", "y0", "x1", "y1")) / 2).alias("signed_area"))
 
 
-def grid_dedup(points: DataFrame, tolerance: float) -> DataFrame:
-    """One point for each cell of the tolerance's size, that of least id."""
-    return points.groupBy(F.floor(F.col("x") / tolerance).alias("gx"), F.floor(F.col("y") / tolerance).alias("gy")).agg(F.min_by(F.struct("pid", "x", "y", "z"), "pid").alias("p"), F.count("*").alias("n")).select("p.*", "n")
+def deduplicated(points: DataFrame, tolerance: float) -> DataFrame:
+    """(pid, kept_as): points in order, each merged into the first kept one strictly within a tolerance, or kept itself.
+
+    The order is breaklines' points (``line``) before others, then ``pid``. Points of
+    breaklines merge with one another only if their heights are within the tolerance too;
+    others merge by plan alone, with anything. Nulls and other coordinates that are no
+    numbers drop out. Each round settles every point whose earlier neighbours are settled.
+    """
+    from geolode.plans.lineage import materialized
+
+    tolerance = max(tolerance, 1e-12)
+    p = points.where(G.finite("x") & G.finite("y") & G.finite("z")).select("pid", "x", "y", "z", F.struct((~F.coalesce("line", F.lit(False))).alias("late"), F.col("pid").alias("id")).alias("rank"))
+    p = p.withColumns({"gx": F.floor(F.col("x") / tolerance), "gy": F.floor(F.col("y") / tolerance)})
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    q = p.withColumn("s", around).select((F.col("gx") + F.col("s.i")).alias("gx"), (F.col("gy") + F.col("s.j")).alias("gy"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), F.col("rank").alias("before"))
+    dz = F.col("z") - F.col("oz")
+    near = (G.distance2("x", "y", "ox", "oy") < tolerance * tolerance) & (F.col("rank.late") | (dz * dz < tolerance * tolerance))
+    pairs = materialized(p.join(q, ["gx", "gy"]).where((F.col("before") < F.col("rank")) & near).select("rank", "before"))
+    state = materialized(p.select("rank", F.lit(None).cast(p.schema["rank"].dataType).alias("kept")))
+    settled = state.limit(0)
+    while True:
+        seen = pairs.join(settled.select(F.col("rank").alias("before"), F.col("kept")), "before", "left")
+        seen = seen.groupBy("rank").agg(F.min(F.when(F.col("kept") == F.col("before"), F.col("before"))).alias("into"), F.min(F.when(F.col("kept").isNull(), F.col("before"))).alias("open"))
+        now = state.join(seen, "rank", "left")
+        # A kept neighbour takes the point once no earlier one is open; without open ones and kept ones it stays.
+        done = F.when(F.col("into").isNotNull() & (F.col("open").isNull() | (F.col("into") < F.col("open"))), F.col("into")).when(F.col("into").isNull() & F.col("open").isNull(), F.col("rank"))
+        now = materialized(now.select("rank", done.alias("kept")))
+        settled = settled.unionByName(now.where("kept is not null"))
+        state = now.where("kept is null")
+        if state.limit(1).count() == 0:
+            return settled.select(F.col("rank.id").alias("pid"), F.col("kept.id").alias("kept_as"))
+        settled = materialized(settled)

@@ -8,25 +8,38 @@ from pyspark.sql import functions as F
 from geolode.functions import geometry as G
 
 
+#: Levels that go into a plan as numbers; more are joined by steps.
+SMALL = 1000
+
+
 def contour_segments(xyz: DataFrame, levels: DataFrame, field: tuple[str, str, str] = ("az", "bz", "cz")) -> DataFrame:
     """(fid, level, x0, y0, x1, y1) where a field over the faces passes each level (rows ``level``).
 
-    A level counts for a face if it is above the least corner and at most the greatest.
-    The levels are a short list, each face meets those of its own span only.
+    A level counts for a face if it is above the least corner and at most the
+    greatest; then just two edges are crossed. Each face takes the levels of its own span only.
     """
     fa, fb, fc = (F.col(k) for k in field)
-    ok = xyz.where(G.finite(fa) & G.finite(fb) & G.finite(fc))
     low, high = F.least(fa, fb, fc), F.greatest(fa, fb, fc)
-    hit = ok.where(low < high).join(F.broadcast(levels.distinct()), (F.col("level") > low) & (F.col("level") <= high))
+    ok = xyz.where(G.finite(fa) & G.finite(fb) & G.finite(fc)).where(low < high)
+    few = [x.level for x in levels.where(G.finite("level")).distinct().limit(SMALL + 1).collect()]
+    if len(few) <= SMALL:
+        mine = F.filter(F.array(*map(F.lit, sorted(few))).cast("array<double>"), lambda x: (x > low) & (x <= high))
+        hit = ok.withColumn("level", F.explode(mine))
+    else:
+        span = levels.agg(F.min("level").alias("lo"), F.max("level").alias("hi"), F.count_distinct("level").alias("n")).first()
+        step = max((span.hi - span.lo) / span.n, 1e-9)
+        steps = F.sequence(F.floor(F.greatest(low, F.lit(span.lo)) / step), F.floor(F.least(high, F.lit(span.hi)) / step))
+        wide = ok.where((high >= span.lo) & (low <= span.hi)).withColumn("_step", F.explode(steps))
+        hit = wide.join(levels.distinct().withColumn("_step", F.floor(F.col("level") / step)), "_step").where((F.col("level") > low) & (F.col("level") <= high)).drop("_step")
 
     def crossing(p, q, fp, fq):
         t = (F.col("level") - fp) / F.when(fq != fp, fq - fp)
         at = F.struct(G.lerp(f"{p}x", f"{q}x", t).alias("x"), G.lerp(f"{p}y", f"{q}y", t).alias("y"))
         return F.when((fp < F.col("level")) != (fq < F.col("level")), at)
 
-    points = F.array_compact(F.array(crossing("a", "b", fa, fb), crossing("b", "c", fb, fc), crossing("c", "a", fc, fa)))
-    hit = hit.select("fid", "level", points.alias("p")).where(F.size("p") == 2)
-    return hit.select("fid", "level", *(F.get("p", F.lit(i))[k].alias(f"{k}{i}") for i in (0, 1) for k in "xy"))
+    hit = hit.select("fid", "level", crossing("a", "b", fa, fb).alias("ab"), crossing("b", "c", fb, fc).alias("bc"), crossing("c", "a", fc, fa).alias("ca"))
+    first, second = F.coalesce("ab", "bc"), F.when(F.col("ab").isNull() | F.col("bc").isNull(), F.col("ca")).otherwise(F.col("bc"))
+    return hit.select("fid", "level", *(p[k].alias(f"{k}{i}") for i, p in enumerate((first, second)) for k in "xy"))
 
 
 def contour_lengths(segments: DataFrame) -> DataFrame:
@@ -34,7 +47,7 @@ def contour_lengths(segments: DataFrame) -> DataFrame:
 
 
 def paired(xyz: DataFrame, faces: DataFrame, other: DataFrame) -> DataFrame:
-    """Faces with the corner heights ``ra, rb, rc`` of a second surface on the same vertices."""
+    """Faces with the corner heights ``ra, rb, rc`` of a second surface on the same vertices. Where both are at hand, ``gather`` with the other's heights takes half the joins."""
     out = xyz
     for k in "abc":
         out = out.join(other.select(F.col("vid").alias(k), F.col("z").alias(f"r{k}")), k)

@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in ``spark.checkpoint.dir``; where that is unset (one machine) in a temporary folder."""
+    """``df`` checkpointed in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder takes its place on one machine
+    (``local`` masters) only: a cluster's machines would not see each other's.
+    """
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="geolode-")
         spark.conf.set("spark.checkpoint.dir", named)
     spark.sparkContext.setCheckpointDir(named)

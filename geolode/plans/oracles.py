@@ -61,7 +61,7 @@ RINGS = """ring AS (SELECT * FROM (VALUES (1,0,0,5.0::DOUBLE,5.0::DOUBLE),(1,0,1
   (2,0,0,28,3),(2,0,1,45,3),(2,0,2,45,25),(2,0,3,37,9),(2,0,4,28,24),(3,0,0,20,15),(3,0,1,35,27),(3,0,2,12,28)) t(area_id, ring_id, seq, x, y)),
 re AS (SELECT a.area_id, a.ring_id, a.seq, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM ring a JOIN ring b ON a.area_id = b.area_id AND a.ring_id = b.ring_id
   AND b.seq = (a.seq + 1) % (SELECT count(*) FROM ring c WHERE c.area_id = a.area_id AND c.ring_id = a.ring_id))"""
-ROUTE = V + """, rt AS (SELECT x::INT AS route_id, y::INT AS seq, x, y, z FROM v WHERE x % 10 = 5), line AS (SELECT *, y - min(y) OVER (PARTITION BY route_id) AS station FROM rt),
+ROUTE = V + """, rt AS (SELECT x::INT AS route_id, y::INT AS seq, x, y, z FROM v), line AS (SELECT *, y - min(y) OVER (PARTITION BY route_id) AS station FROM rt),
 leg AS (SELECT * FROM (SELECT route_id, seq, station AS s0, lead(station) OVER w AS s1, x AS x0, y AS y0, z AS z0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1 FROM line WINDOW w AS (PARTITION BY route_id ORDER BY seq)) WHERE s1 IS NOT NULL)"""
 GRID = """cl AS (SELECT floor((l_partkey % 50) + l_discount * 9 + 0.5)::BIGINT AS col, floor((l_suppkey % 40) + l_tax * 11 + 0.5)::BIGINT AS row, l_quantity AS z, l_linenumber AS cls, l_orderkey AS colour FROM lineitem),
 grid AS (SELECT col, row, max(z) AS v FROM cl GROUP BY col, row)"""
@@ -158,7 +158,7 @@ SQL: dict[str, str] = {
     "topology_checks": f"WITH {FACES}, {HALF}, d AS (SELECT u, w, count(*) AS n, count(*) FILTER (a = u) AS up FROM h GROUP BY u, w) SELECT count(*) AS n_edges, count(*) FILTER (n = 1) AS n_naked, count(*) FILTER (n > 2) AS n_crowded, bool_and(up <= 1 AND n - up <= 1) AS winds_alike FROM d",
     "boundary_vertices": f"WITH {FACES}, {HALF} SELECT vid, count(*) AS degree FROM (SELECT unnest([u, v]) AS vid FROM edges WHERE n_faces = 1) GROUP BY vid",
     "crease_edges": f"""WITH {XYZ}, {HALF}, un AS (SELECT fid, nx / l AS nx, ny / l AS ny, nz / l AS nz FROM (SELECT fid, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM n) WHERE l > 0),
-  pr AS (SELECT p.u, p.w AS v, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz AS cosine FROM h p JOIN h q ON p.u = q.u AND p.w = q.w AND p.fid < q.fid JOIN un a ON a.fid = p.fid JOIN un b ON b.fid = q.fid) SELECT u, v, {r('cosine')} FROM pr WHERE cosine <= 0.2""",
+  pr AS (SELECT p.u, p.w AS v, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz AS cosine FROM h p JOIN h q ON p.u = q.u AND p.w = q.w AND p.fid < q.fid JOIN un a ON a.fid = p.fid JOIN un b ON b.fid = q.fid JOIN (SELECT u, w FROM h GROUP BY u, w HAVING count(*) = 2) two ON two.u = p.u AND two.w = p.w) SELECT u, v, {r('cosine')} FROM pr WHERE cosine <= 0.2""",
     "mesh_regularity": f"""WITH {XYZ}, k AS (SELECT *, row_number() OVER (ORDER BY fid) - 1 AS rk, count(*) OVER () AS nn FROM m), pick AS (SELECT k.* FROM k WHERE nn <= 2048 OR rk IN (SELECT floor(i * (SELECT count(*) FROM m) / 2048)::BIGINT FROM range(0, 2048) t(i))),
   l AS (SELECT sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by) + (az - bz) * (az - bz)) AS l0, sqrt((bx - cx) * (bx - cx) + (by - cy) * (by - cy) + (bz - cz) * (bz - cz)) AS l1, sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) + (cz - az) * (cz - az)) AS l2 FROM pick),
   a AS (SELECT *, degrees(least(acos((l1 * l1 + l2 * l2 - l0 * l0) / (2 * l1 * l2)), acos((l2 * l2 + l0 * l0 - l1 * l1) / (2 * l2 * l0)), acos((l0 * l0 + l1 * l1 - l2 * l2) / (2 * l0 * l1)))) AS ang FROM l),
@@ -196,7 +196,6 @@ SQL: dict[str, str] = {
   p AS (SELECT *, CASE WHEN x1 != x0 THEN least((8 - x0) / (x1 - x0), (34 - x0) / (x1 - x0)) WHEN x0 BETWEEN 8 AND 34 THEN 0 ELSE 2 END AS ex, CASE WHEN x1 != x0 THEN greatest((8 - x0) / (x1 - x0), (34 - x0) / (x1 - x0)) WHEN x0 BETWEEN 8 AND 34 THEN 1 ELSE -1 END AS lx,
     CASE WHEN y1 != y0 THEN least((6 - y0) / (y1 - y0), (24 - y0) / (y1 - y0)) WHEN y0 BETWEEN 6 AND 24 THEN 0 ELSE 2 END AS ey, CASE WHEN y1 != y0 THEN greatest((6 - y0) / (y1 - y0), (24 - y0) / (y1 - y0)) WHEN y0 BETWEEN 6 AND 24 THEN 1 ELSE -1 END AS ly FROM s),
   q AS (SELECT *, greatest(0, ex, ey) AS t0, least(1, lx, ly) AS t1 FROM p) SELECT sid, {rs('t0', 't1')}, {r('x0 + (x1 - x0) * t0', 'cx0')}, {r('y0 + (y1 - y0) * t0', 'cy0')}, {r('x0 + (x1 - x0) * t1', 'cx1')}, {r('y0 + (y1 - y0) * t1', 'cy1')} FROM q WHERE t0 < t1""",
-    "grid_dedup": f"WITH {POINTS} SELECT min(pid) AS pid, count(*) AS n FROM pt GROUP BY floor(x), floor(y)",
     "plan_stations": f"WITH {ROUTE} SELECT route_id, seq, {rs('x', 'y', 'z', 'station')} FROM line",
     "profile_lookup": f"WITH {ROUTE}, q AS (SELECT route_id, station * 1.07 - 0.5 AS station FROM line) SELECT q.route_id, {r('q.station', 'station')}, round(min(z0 + (z1 - z0) * ((q.station - s0) / (s1 - s0))), 11) AS z FROM q LEFT JOIN leg ON leg.route_id = q.route_id AND q.station >= s0 AND q.station <= s1 GROUP BY q.route_id, q.station",
     "even_stations": f"WITH {ROUTE}, l AS (SELECT route_id, max(station) AS length, greatest(1, ceil(max(station) / 1.7))::INT AS n FROM line GROUP BY route_id) SELECT route_id, {r('length * i / n', 'station')} FROM l, unnest(range(0, n + 1)) t(i)",
@@ -209,12 +208,15 @@ SQL: dict[str, str] = {
   g AS (SELECT route_id, station, coalesce(abs((zb - za) / (b - a)), 0) AS grade FROM s), f AS (SELECT *, grade <= 0.45 AS flat FROM g),
   k AS (SELECT *, CASE WHEN flat = lag(flat) OVER (PARTITION BY route_id ORDER BY station) THEN 0 ELSE 1 END AS new FROM f), n AS (SELECT *, sum(new) OVER (PARTITION BY route_id ORDER BY station)::INT AS run FROM k)
   SELECT route_id, run, CASE WHEN flat AND max(station) - min(station) >= 2 THEN 'landing' WHEN flat THEN 'level' ELSE 'slope' END AS kind, {r('min(station)', 's0')}, {r('max(station)', 's1')}, {r('max(grade)', 'steepest')}, count(*) AS n FROM n GROUP BY route_id, run, flat""",
-    "grade_limited_profile": f"""WITH {ROUTE}, u AS (SELECT a.route_id, a.station, max(b.z - 0.4 * abs(a.station - b.station)) AS upper, min(b.z + 0.4 * abs(a.station - b.station)) AS lower FROM line a JOIN line b ON a.route_id = b.route_id GROUP BY a.route_id, a.station)
-  SELECT route_id, {rs('station', 'upper', 'lower')}, {r('(upper + lower) / 2', 'grade_z')} FROM u""",
-    "route_compliance": f"""WITH {XYZ}, rt AS (SELECT x::INT AS route_id, y::INT AS seq, x, y FROM v WHERE x % 10 = 5), lg AS (SELECT a.route_id, a.seq, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM rt a JOIN rt b ON a.route_id = b.route_id AND b.seq = a.seq + 1),
+    "grade_limited_profile": f"""WITH {ROUTE}, u AS (SELECT a.route_id, a.station, max(b.z - 1.5 * abs(a.station - b.station)) AS upper, min(b.z + 1.5 * abs(a.station - b.station)) AS lower FROM line a JOIN line b ON a.route_id = b.route_id GROUP BY a.route_id, a.station),
+  e AS (SELECT route_id, min_by(z, station) AS z0, max_by(z, station) AS z1, max(station) AS len FROM line GROUP BY route_id),
+  w AS (SELECT *, greatest(z0 - 1.5 * station, z1 - 1.5 * (len - station)) AS lo, least(z0 + 1.5 * station, z1 + 1.5 * (len - station)) AS hi, abs(z1 - z0) / len AS required FROM u JOIN e USING (route_id))
+  SELECT route_id, {rs('station', 'upper', 'lower', 'required')}, required <= 1.5 * (1 + 1e-9) + 1e-12 AS feasible,
+    CASE WHEN required <= 1.5 * (1 + 1e-9) + 1e-12 THEN round(CASE WHEN station = 0 THEN z0 WHEN station = len THEN z1 WHEN hi < lo THEN (lo + hi) / 2 ELSE least(greatest((upper + lower) / 2, lo), hi) END, 8) + 0.0 END AS grade_z FROM w""",
+    "route_compliance": f"""WITH {XYZ}, rt AS (SELECT x::INT AS route_id, y::INT AS seq, x, y FROM v), lg AS (SELECT a.route_id, a.seq, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM rt a JOIN rt b ON a.route_id = b.route_id AND b.seq = a.seq + 1),
   dd AS (SELECT *, {SEGT} AS t FROM (SELECT fid, mx AS px, my AS py, nx, ny, nz, plan_area FROM m) JOIN lg ON abs(px - x0) <= 1.25 AND y0 <= py + 2.25 AND y1 >= py - 2.25), ds AS (SELECT *, {SEGDIST} AS d FROM dd),
   b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY d, route_id, seq) AS k FROM ds WHERE d <= 1.25) WHERE k = 1)
-  SELECT CASE WHEN abs(ny / nz) > 1 THEN 'running' WHEN abs(nx / nz) > 1.5 THEN 'cross' ELSE 'pass' END AS verdict, count(*) AS n_faces, {r('sum(plan_area)', 'plan_area')} FROM b GROUP BY 1""",
+  SELECT CASE WHEN abs(ny / nz) > 1 + 1e-9 THEN 'running' WHEN abs(nx / nz) > 1.5 + 1e-9 THEN 'cross' WHEN abs(ny / nz) > 0.4 + 1e-9 THEN 'ramp' ELSE 'walk' END AS verdict, count(*) AS n_faces, {r('sum(plan_area)', 'plan_area')} FROM b GROUP BY 1""",
     "allowed_going": f"WITH {XYZ} SELECT fid, {r(_goings(False), 'linear')}, {r(_goings(True), 'strict')} FROM m WHERE slope > 0",
     "route_cost": f"WITH {XYZ}, q AS (SELECT fid, slope / 0.8 AS q, greatest(0, slope / 0.8 - 1) AS o FROM m) SELECT fid, {r('1 + least(q, 1) * least(q, 1) + 2 * o + 4 * o * o', 'cost')} FROM q",
     "cloud_raster": f"WITH {GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY col, row ORDER BY z DESC, cls, colour) AS i FROM cl) SELECT col, row, count(*) AS n, {r('max(z)', 'top')}, max(cls) FILTER (i = 1) AS top_cls, max(colour) FILTER (i = 1) AS top_colour, {r('min(z)', 'low')}, round(min(z) FILTER (cls = 2), 8) + 0.0 AS ground FROM k GROUP BY col, row",
@@ -278,9 +280,9 @@ def _jacobi(k: int) -> str:
 
 SQL |= {
     "slope_texts": f"WITH {TEXTS} SELECT id, {_ok('ratio')}, {_ok('percent')} FROM q",
-    "slope_labels": f"WITH {XYZ}, s AS (SELECT fid, round(slope, 4) AS s FROM m WHERE fid % 9 = 0) SELECT fid, CASE WHEN s = 0 THEN '0' ELSE '1:' || format('{{:.2f}}', 1 / s) END AS ratio, format('{{:.2f}}', s * 100) || '%' AS percent, format('{{:.2f}}', degrees(atan(s))) || '°' AS degrees FROM s",
+    "slope_labels": f"WITH {XYZ}, s AS (SELECT fid, round(slope, 4) AS s FROM m) SELECT fid, CASE WHEN s = 0 THEN '0' ELSE '1:' || format('{{:.2f}}', 1 / s) END AS ratio, format('{{:.2f}}', s * 100) || '%' AS percent, format('{{:.2f}}', degrees(atan(s))) || '°' AS degrees FROM s",
     "report_csv": "SELECT s_suppkey AS n, chr(34) || s_name || ', ' || chr(34) || chr(34) || 'x' || chr(34) || chr(34) || chr(34) || ',' || format('{:.2f}', round(s_acctbal / 3, 2) + 0.0) AS line FROM supplier UNION ALL SELECT -1, 'name,balance'",
-    "colour_ramp": f"WITH {XYZ}, c AS (SELECT fid, least(greatest(round(slope, 6) / 3, 0), 1) AS t FROM m WHERE fid % 5 = 0) SELECT fid, {_channel(0, 240, 200)} AS r, {_channel(80, 240, 0)} AS g, {_channel(255, 90, 30)} AS b FROM c",
+    "colour_ramp": f"WITH {XYZ}, c AS (SELECT fid, least(greatest(round(slope, 6) / 3, 0), 1) AS t FROM m) SELECT fid, {_channel(0, 240, 200)} AS r, {_channel(80, 240, 0)} AS g, {_channel(255, 90, 30)} AS b FROM c",
     "category_colours": "SELECT n_nationkey, CASE WHEN n_nationkey < 2 THEN '#9e9e9e' ELSE ['#aa0000', '#00aa00', '#0000aa'][(n_nationkey - 2) % 3 + 1] END AS colour FROM nation",
     "landxml_round_trip": f"WITH {FACES} SELECT * FROM (SELECT count(*) AS n_points, {r('sum(x)', 'sx')}, {r('sum(y)', 'sy')}, {r('round(max(z), 6)', 'max_z')} FROM v), (SELECT count(*) AS n_faces, sum(a + b * 2 + c * 3)::BIGINT AS checksum FROM f)",
     "raster_georeference": f"WITH {GRID} SELECT col, row, {r('100 + 0.5::DOUBLE * (col + 0.5) + 0.1::DOUBLE * (row + 0.5)', 'x')}, {r('900 - 0.05::DOUBLE * (col + 0.5) - 0.5::DOUBLE * (row + 0.5)', 'y')} FROM grid",
@@ -295,7 +297,7 @@ SQL |= {
   i AS (SELECT pid, arg_min(pad_z, area_id) AS in_z FROM pin JOIN pads USING (area_id) GROUP BY pid), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, area_id) AS k FROM rd JOIN pads USING (area_id) WHERE distance <= 3) WHERE k = 1),
   g AS (SELECT pt.pid AS vid, z, CASE WHEN in_z IS NOT NULL THEN in_z WHEN n.pid IS NOT NULL THEN CASE WHEN z > pad_z THEN least(z, pad_z + distance / batter) ELSE greatest(z, pad_z - distance / batter) END ELSE z END AS w FROM pt LEFT JOIN i USING (pid) LEFT JOIN n USING (pid))
   SELECT vid, {r('w', 'z')}, CASE WHEN z - w > 1e-9 THEN 1 WHEN w - z > 1e-9 THEN -1 ELSE 0 END AS branch FROM g""",
-    "graded_corridor": f"""WITH {V}, {REF}, rt AS (SELECT x::INT AS route_id, y::INT AS seq, x, y, 2.0 + y * 0.01 AS z FROM v WHERE x % 10 = 5), lg AS (SELECT a.route_id, a.seq, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1 FROM rt a JOIN rt b ON a.route_id = b.route_id AND b.seq = a.seq + 1),
+    "graded_corridor": f"""WITH {V}, {REF}, rt AS (SELECT x::INT AS route_id, y::INT AS seq, x, y, 2.0 + y * 0.01 AS z FROM v), lg AS (SELECT a.route_id, a.seq, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1 FROM rt a JOIN rt b ON a.route_id = b.route_id AND b.seq = a.seq + 1),
   dd AS (SELECT *, {SEGT} AS t FROM (SELECT v.vid, v.x AS px, v.y AS py FROM v) JOIN lg ON abs(px - x0) <= 3 AND y0 <= py + 3 AND y1 >= py - 3), ds AS (SELECT *, {SEGDIST} AS d, z0 + (z1 - z0) * t AS lz FROM dd),
   b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY d, route_id, seq) AS k FROM ds WHERE d <= 3) WHERE k = 1)
   SELECT ref.vid, round(CASE WHEN d IS NULL THEN z WHEN d <= 1 THEN lz WHEN z > lz THEN least(z, lz + greatest(0, d - 1) / 2) ELSE greatest(z, lz - greatest(0, d - 1) / 2) END, 8) + 0.0 AS z FROM ref LEFT JOIN b ON b.vid = ref.vid""",
@@ -322,14 +324,15 @@ SQL |= {
     "trimmed_faces": f"""WITH {XYZ}, {RINGS}, pt AS (SELECT fid AS pid, mx AS x, my AS y FROM m), {PIN} SELECT pid AS fid FROM pin GROUP BY pid HAVING (bool_or(area_id = 1) AND NOT bool_or(area_id = 3)) OR bool_or(area_id = 2)""",
     "mask_open": f"""WITH {GRID}, mk AS (SELECT col, row FROM grid WHERE v >= 44), er AS (SELECT col + i AS col, row + j AS row FROM mk, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) GROUP BY 1, 2 HAVING count(*) = 9)
   SELECT DISTINCT col + i AS col, row + j AS row FROM er, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)""",
-    "mask_distance": f"WITH {GRID} SELECT a.col, a.row, min((a.col - b.col) * (a.col - b.col) + (a.row - b.row) * (a.row - b.row))::INT AS d2 FROM grid a JOIN grid b ON b.v < 20 AND (a.col - b.col) * (a.col - b.col) + (a.row - b.row) * (a.row - b.row) <= 16 GROUP BY a.col, a.row",
+    "mask_distance": f"WITH {GRID}, low AS (SELECT col, row FROM grid WHERE v = (SELECT min(v) FROM grid)) SELECT a.col, a.row, min((a.col - b.col) * (a.col - b.col) + (a.row - b.row) * (a.row - b.row))::BIGINT AS d2 FROM grid a, low b GROUP BY a.col, a.row",
     "mask_largest": f"""WITH RECURSIVE {GRID}, mask AS (SELECT col, row, row * 100000 + col AS id FROM grid WHERE v < 47 OR (col + row) % 3 = 0), lk AS (SELECT a.id AS a, b.id AS b FROM mask a JOIN mask b ON abs(a.col - b.col) + abs(a.row - b.row) = 1),
   reach AS (SELECT id AS a, id AS b FROM mask UNION SELECT r.a, l.b FROM reach r JOIN lk l ON r.b = l.a), lab AS (SELECT a, min(b) AS l FROM reach GROUP BY a), best AS (SELECT l FROM lab GROUP BY l ORDER BY count(*) DESC, (l // 100000)::VARCHAR || ':' || (l % 100000) LIMIT 1) SELECT col, row FROM lab JOIN best USING (l) JOIN mask ON mask.id = a""",
-    "harmonic_fill": f"WITH {GRID}, kn AS (SELECT * FROM grid WHERE (col * 7 + row * 3) % 5 != 0), z0 AS (SELECT col, row, v, true AS known FROM kn UNION ALL SELECT col, row, (SELECT avg(v) FROM kn), false FROM grid WHERE (col * 7 + row * 3) % 5 = 0), {_jacobi(1)}, {_jacobi(2)}, {_jacobi(3)} SELECT col, row, {r('v')} FROM z3",
+    "harmonic_fill": f"""WITH {GRID}, kn AS (SELECT * FROM grid WHERE (col * 7 + row * 3) % 5 != 0) -- no two gaps touch, so each is its neighbours' mean
+  SELECT col, row, {r('v')} FROM kn UNION ALL SELECT g.col, g.row, round(coalesce(avg(k.v), (SELECT avg(v) FROM kn)), 8) + 0.0 FROM grid g LEFT JOIN kn k ON abs(g.col - k.col) + abs(g.row - k.row) = 1 WHERE (g.col * 7 + g.row * 3) % 5 = 0 GROUP BY g.col, g.row""",
     "classified_ground": f"""WITH {GRID}, e1 AS {windowed('grid', 1, 'min')}, o1 AS {windowed('e1', 1, 'max')}, e2 AS {windowed('o1', 2, 'min')}, o2 AS {windowed('e2', 2, 'max')}, gr AS (SELECT col, row, min(z) FILTER (cls = 2) AS g FROM cl GROUP BY col, row)
   SELECT g.col, g.row, round(coalesce(gr.g, g.v), 8) + 0.0 AS v, (g.v - o1.v <= 2.6 AND o1.v - o2.v <= 2.6) OR gr.g IS NOT NULL AS is_ground FROM grid g JOIN o1 USING (col, row) JOIN o2 USING (col, row) JOIN gr USING (col, row)""",
     "route_height_grid": f"WITH {V} SELECT a.vid AS pid, round(CASE WHEN b.vid IS NULL OR c.vid IS NULL THEN NULL ELSE 0.25 * a.z + 0.25 * b.z + 0.5 * c.z END, 11) + 0.0 AS top_z FROM v a LEFT JOIN v b ON b.vid = a.vid + 1 AND b.y = a.y LEFT JOIN v c ON c.vid = a.vid + 50",
-    "water_traces": f"""WITH RECURSIVE {FLOW}, tr AS (SELECT fid AS start, 0 AS step, fid, [fid] AS seen FROM f WHERE fid % 211 = 3 UNION ALL SELECT start, step + 1, flows_to, list_append(seen, flows_to) FROM tr JOIN flow USING (fid) WHERE flows_to >= 0 AND NOT list_contains(seen, flows_to) AND step < 200) SELECT start, step, fid FROM tr""",
+    "water_traces": f"""WITH RECURSIVE {FLOW}, tr AS (SELECT fid AS start, 0 AS step, fid, [fid] AS seen FROM f UNION ALL SELECT start, step + 1, flows_to, list_append(seen, flows_to) FROM tr JOIN flow USING (fid) WHERE flows_to >= 0 AND NOT list_contains(seen, flows_to)) SELECT start, step, fid FROM tr""",
     "basin_rims": f"""WITH RECURSIVE {FLOW}{ROOTS}, er AS (SELECT u, w, root FROM h JOIN roots USING (fid)), pr AS (SELECT u, w, min(root) AS lo, max(root) AS hi, count(*) AS n FROM er GROUP BY u, w), lv AS (SELECT pr.*, least(a.z, b.z) AS level FROM pr JOIN v a ON a.vid = u JOIN v b ON b.vid = w),
   al AS (SELECT lo AS root, hi AS other, level FROM lv WHERE lo != hi UNION ALL SELECT hi, lo, level FROM lv WHERE lo != hi UNION ALL SELECT lo, -1, level FROM lv WHERE n = 1) SELECT root, other, {r('min(level)', 'level')} FROM al GROUP BY root, other""",
 }

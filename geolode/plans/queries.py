@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -223,8 +222,9 @@ def contour_length_by_level(spark, d):
 
 
 def _volumes(spark, d, exact: bool) -> DataFrame:
-    _, f, xyz = mesh(spark, d)
-    return surfaces.cut_fill(surfaces.paired(xyz, f, T.reference_vertices(spark, d)), exact)
+    v = T.lattice_vertices(spark, d)
+    both = v.join(T.reference_vertices(spark, d).select("vid", F.col("z").alias("r")), "vid")
+    return surfaces.cut_fill(FA.gather(T.lattice_faces(v), both, "r"), exact)
 
 
 @query
@@ -242,7 +242,7 @@ def cut_fill_by_zone(spark, d):
     z = T.zones(spark, d, height(spark, d))
     cx, cy = (F.col("ax") + F.col("bx") + F.col("cx")) / 3, (F.col("ay") + F.col("by") + F.col("cy")) / 3
     m = _volumes(spark, d, True).withColumns({"px": cx, "py": cy})
-    m = m.join(F.broadcast(z), (F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1")))
+    m = spatial.in_rectangles(m, "px", "py", z)
     return rounded(surfaces.volume_totals(m, "zone_id"))
 
 
@@ -318,44 +318,40 @@ def clipped_segments(spark, d):
 
 
 @query
-def grid_dedup(spark, d):
-    return spatial.grid_dedup(_points(spark, d), 1.0).select("pid", "n")
+def point_dedup(spark, d):
+    """Every third point stands for a breakline's."""
+    return spatial.deduplicated(_points(spark, d).withColumn("line", F.col("pid") % 3 == 0), 0.4).select("pid", "kept_as")
 
 
 # sections and routes
 
 
-def _columns(spark, d) -> DataFrame:
+def _routes(spark, d) -> DataFrame:
     """The lattice's columns as routes, along y."""
     return T.lattice_vertices(spark, d).select(F.col("x").cast("int").alias("route_id"), F.col("y").cast("int").alias("seq"), "x", "y", "z")
 
 
-def _routes(spark, d) -> DataFrame:
-    """Every tenth column, as the SQL of the queries on routes has it; ``WHOLE_ROUTES`` take every one."""
-    return _columns(spark, d).where("x % 10 = 5")
-
-
 @query
-def plan_stations(spark, d, routes=_routes):
-    return rounded(sections.plan_stations(routes(spark, d)))
+def plan_stations(spark, d):
+    return rounded(sections.plan_stations(_routes(spark, d)))
 
 
 @query
-def profile_lookup(spark, d, routes=_routes):
-    lines = sections.plan_stations(routes(spark, d))
+def profile_lookup(spark, d):
+    lines = sections.plan_stations(_routes(spark, d))
     q = lines.select("route_id", (F.col("station") * 1.07 - 0.5).alias("station"))
     e = sections.elevation_at(lines, q, 8.0)
     return e.select("route_id", R("station").alias("station"), F.round("z", 11).alias("z"))
 
 
 @query
-def even_stations(spark, d, routes=_routes):
-    return rounded(sections.even_stations(routes(spark, d), 1.7))
+def even_stations(spark, d):
+    return rounded(sections.even_stations(_routes(spark, d), 1.7))
 
 
 @query
-def section_cut_fill(spark, d, routes=_routes):
-    lines = sections.plan_stations(routes(spark, d))
+def section_cut_fill(spark, d):
+    lines = sections.plan_stations(_routes(spark, d))
     pairs = lines.select("route_id", "station", F.col("z").alias("proposed"), (2.5 + F.col("station") * 0.003).alias("reference"))
     return rounded(sections.section_cut_fill(pairs))
 
@@ -366,25 +362,25 @@ def section_slice(spark, d):
 
 
 @query
-def route_metrics(spark, d, routes=_routes):
-    return rounded(sections.route_metrics(sections.plan_stations(routes(spark, d))))
+def route_metrics(spark, d):
+    return rounded(sections.route_metrics(sections.plan_stations(_routes(spark, d))))
 
 
 @query
-def route_runs(spark, d, routes=_routes):
-    lines = sections.plan_stations(routes(spark, d)).withColumn("z", R("z"))
+def route_runs(spark, d):
+    lines = sections.plan_stations(_routes(spark, d)).withColumn("z", R("z"))
     return rounded(sections.runs(lines, 2.0, 0.45, 2.0))
 
 
 @query
-def grade_limited_profile(spark, d, routes=_routes):
-    g = sections.grade_limited(sections.plan_stations(routes(spark, d)), 0.4)
-    return rounded(g.select("route_id", "station", "upper", "lower", "grade_z"))
+def grade_limited_profile(spark, d):
+    g = sections.grade_limited(sections.plan_stations(_routes(spark, d)), 1.5)
+    return rounded(g.select("route_id", "station", "upper", "lower", "required", "feasible", "grade_z"))
 
 
 @query
-def route_compliance(spark, d, routes=_routes):
-    return rounded(sections.route_compliance(mesh(spark, d)[2], sections.plan_stations(routes(spark, d)), 1.25, 1.0, 1.5))
+def route_compliance(spark, d):
+    return rounded(sections.route_compliance(mesh(spark, d)[2], sections.plan_stations(_routes(spark, d)), 1.25, 0.4, 1.0, 1.5))
 
 
 @query
@@ -542,7 +538,7 @@ def report_zones(spark, d):
     """Zone table with a total row (zone_id -1)."""
     v = FA.measured(mesh(spark, d)[2])
     z = T.zones(spark, d, height(spark, d))
-    m = v.join(F.broadcast(z), (F.col("cx_") >= F.col("x0")) & (F.col("cx_") < F.col("x1")) & (F.col("cy_") >= F.col("y0")) & (F.col("cy_") < F.col("y1")))
+    m = spatial.in_rectangles(v, "cx_", "cy_", z)
     r = m.rollup("zone_id").agg(F.count("*").alias("n_faces"), F.sum("plan_area").alias("plan_area"), F.max("slope").alias("max_slope"))
     return r.select(F.coalesce("zone_id", F.lit(-1)).alias("zone_id"), "n_faces", F.format_string("%.2f", "plan_area").alias("plan_area"), F.format_string("%.1f%%", F.col("max_slope") * 100).alias("max_slope"))
 
@@ -565,20 +561,10 @@ def slope_texts(spark, d):
     return rounded(o.select(k.alias("id"), X.parse_slope(t, "ratio").alias("ratio"), X.parse_slope(t, "percent").alias("percent")))
 
 
-def _slope_labels(m: DataFrame) -> DataFrame:
-    s = F.round("slope", 4)
-    return m.select("fid", *(X.format_slope(s, u, 2).alias(u) for u in ("ratio", "percent", "degrees")))
-
-
 @query
 def slope_labels(spark, d):
-    """A ninth of the faces, as its SQL has it; ``slope_labels_all`` takes every face."""
-    return _slope_labels(FA.measured(mesh(spark, d)[2]).where("fid % 9 = 0"))
-
-
-@query
-def slope_labels_all(spark, d):
-    return _slope_labels(FA.measured(mesh(spark, d)[2]))
+    s = F.round("slope", 4)
+    return FA.measured(mesh(spark, d)[2]).select("fid", *(X.format_slope(s, u, 2).alias(u) for u in ("ratio", "percent", "degrees")))
 
 
 @query
@@ -587,20 +573,10 @@ def report_csv(spark, d):
     return EX.report_lines(s, ["name", "balance"], "k")
 
 
-def _colour_ramp(m: DataFrame) -> DataFrame:
-    c = X.ramp(G.normalized(F.round("slope", 6), 0.0, 3.0), [(0.0, (0, 80, 255)), (0.5, (240, 240, 90)), (1.0, (200, 0, 30))])
-    return m.select("fid", c.alias("c")).select("fid", "c.r", "c.g", "c.b")
-
-
 @query
 def colour_ramp(spark, d):
-    """A fifth of the faces, as its SQL has it; ``colour_ramp_all`` takes every face."""
-    return _colour_ramp(FA.measured(mesh(spark, d)[2]).where("fid % 5 = 0"))
-
-
-@query
-def colour_ramp_all(spark, d):
-    return _colour_ramp(FA.measured(mesh(spark, d)[2]))
+    c = X.ramp(G.normalized(F.round("slope", 6), 0.0, 3.0), [(0.0, (0, 80, 255)), (0.5, (240, 240, 90)), (1.0, (200, 0, 30))])
+    return FA.measured(mesh(spark, d)[2]).select("fid", c.alias("c")).select("fid", "c.r", "c.g", "c.b")
 
 
 @query
@@ -674,9 +650,9 @@ def graded_pads(spark, d):
 
 
 @query
-def graded_corridor(spark, d, routes=_routes):
+def graded_corridor(spark, d):
     v = T.reference_vertices(spark, d)
-    legs = sections.legs(sections.plan_stations(routes(spark, d).withColumn("z", 2.0 + F.col("y") * 0.01)))
+    legs = sections.legs(sections.plan_stations(_routes(spark, d).withColumn("z", 2.0 + F.col("y") * 0.01)))
     return rounded(edits.corridor(v, legs, 1.0, 2.0, 3.0))
 
 
@@ -728,8 +704,8 @@ def boundary_chains(spark, d):
 
 
 @query
-def draped_lines(spark, d, routes=_routes):
-    r = sections.plan_stations(routes(spark, d))
+def draped_lines(spark, d):
+    r = sections.plan_stations(_routes(spark, d))
     h = r.where("(seq * 7 + route_id) % 5 != 0").select("route_id", "seq", (F.col("z") + 1).alias("h"))
     cols = ["route_id", "seq", "part", "z"]
     split, bridge = (lines.draped(r, h, p).select(F.lit(p).alias("policy"), *cols) for p in ("split", "bridge"))
@@ -779,12 +755,6 @@ def mask_open(spark, d):
 
 @query
 def mask_distance(spark, d):
-    """Nodes within four cells of a mask, as its SQL has it; ``mask_distance_all`` gives every node its distance."""
-    return rasters.distance2_to(_grid(spark, d).where("v < 20").select("col", "row"), _grid(spark, d).select("col", "row"), 4)
-
-
-@query
-def mask_distance_all(spark, d):
     """Distance of every node to the nearest of the lowest nodes, a mask that no grid leaves empty."""
     g = _grid(spark, d)
     low = g.agg(F.min("v").alias("low"))
@@ -800,7 +770,7 @@ def mask_largest(spark, d):
 def harmonic_fill(spark, d):
     g = _grid(spark, d)
     known = g.where("(col * 7 + row * 3) % 5 != 0")
-    return rounded(rasters.harmonic_filled(known, g.select("col", "row"), 3))
+    return rounded(rasters.harmonic_filled(known, g.select("col", "row")).select("col", "row", "v"))
 
 
 @query
@@ -822,13 +792,6 @@ def route_height_grid(spark, d):
 
 @query
 def water_traces(spark, d):
-    """From a part of the faces, as its SQL has it; ``water_traces_all`` starts from every face."""
-    starts = T.lattice_faces(T.lattice_vertices(spark, d)).where("fid % 211 = 3").select(F.col("fid").alias("start"), "fid")
-    return water.traces(starts, basin_flow(spark, d))
-
-
-@query
-def water_traces_all(spark, d):
     starts = T.lattice_faces(T.lattice_vertices(spark, d)).select(F.col("fid").alias("start"), "fid")
     return water.traces(starts, basin_flow(spark, d))
 
@@ -873,8 +836,3 @@ def cheapest_routes(spark, d):
     g = T.lattice_vertices(spark, d).select(F.col("x").cast("long").alias("col"), F.col("y").cast("long").alias("row"), F.col("z").alias("v"))
     r = spark.createDataFrame([(1, 2, 3, 44, 25), (2, 48, 1, 5, 20)], "request int, c0 long, r0 long, c1 long, r1 long")
     return rounded(kernels.cheapest_routes(g, r, 0.5))
-
-
-#: Queries on routes, registered a second time over every column of the lattice.
-WHOLE_ROUTES = [plan_stations, profile_lookup, even_stations, section_cut_fill, route_metrics, route_runs, grade_limited_profile, route_compliance, graded_corridor, draped_lines]
-QUERIES |= {f"{f.__name__}_all": partial(f, routes=_columns) for f in WHOLE_ROUTES}

@@ -269,3 +269,36 @@ def linear_cut_fill(area, da, db, dc) -> tuple[Column, Column]:
 def settled(x) -> Column:
     """Eight decimals and no negative zero: what a sum's order and the last bits of functions do not reach."""
     return F.round(c(x), 8) + F.lit(0.0)
+
+
+def to_drawing(station, elevation, ox, oy, level, exaggeration) -> tuple[Column, Column]:
+    """Place of a station and height in a section's drawing."""
+    return c(ox) + c(station), c(oy) + (c(elevation) - c(level)) * c(exaggeration)
+
+
+def from_drawing(x, y, ox, oy, level, exaggeration) -> tuple[Column, Column]:
+    return c(x) - c(ox), c(level) + (c(y) - c(oy)) / c(exaggeration)
+
+
+def readable(x) -> Column:
+    """The nearest, by ratio, of 1, 2, 2.5, 5, 10 times a power of ten; 0 for what is not positive."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(c(x))))
+    lead = c(x) / power
+    best = F.array_min(F.array(*[F.struct(F.abs(F.log(lead / k)).alias("off"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate((1.0, 2.0, 2.5, 5.0, 10.0))]))
+    return F.when((c(x) > 0) & finite(x), best["k"] * power).otherwise(F.lit(0.0))
+
+
+def landform_size(width, height) -> Column:
+    """A readable tenth of a site's shorter side, which counts as a fiftieth of the longer at least."""
+    w, h = F.abs(c(width)), F.abs(c(height))
+    longer = F.greatest(w, h)
+    return F.when(longer > 0, readable(F.greatest(F.least(w, h), longer / 50) * 0.1)).otherwise(F.lit(0.0))
+
+
+#: Relative step of a 32-bit coordinate.
+FLOAT_STEP = 1.0 / 8_388_608
+
+
+def safe_distance(tolerance: float) -> float:
+    """Greatest coordinate at which 32-bit rounding stays within a tenth of a tolerance."""
+    return tolerance * 0.1 / FLOAT_STEP if tolerance > 0 else INF

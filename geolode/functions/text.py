@@ -23,8 +23,9 @@ def parse_slope(text: Column, unit: str) -> Column:
     a, b = F.regexp_extract(t, pair, 1), F.regexp_extract(t, pair, 2)
     num = lambda x: F.when(x != "", x.cast("double"))
     v, suffix = num(F.regexp_extract(t, one, 1)), F.regexp_extract(t, one, 2)
-    bare = F.when(v == 0, 0.0).otherwise(F.try_divide(F.lit(1.0), v)) if unit == "ratio" else G.slope_from(v, unit)
-    single = F.when(suffix == "%", v / 100).when(suffix == "‰", v / 1000).when(suffix.isin("°", "deg"), F.tan(F.radians(v))).otherwise(bare)
+    angle = F.when(F.abs(v) <= MAX_DEGREES, F.tan(F.radians(v)))
+    bare = F.when(v == 0, 0.0).otherwise(F.try_divide(F.lit(1.0), v)) if unit == "ratio" else angle if unit == "degrees" else G.slope_from(v, unit)
+    single = F.when(suffix == "%", v / 100).when(suffix == "‰", v / 1000).when(suffix.isin("°", "deg"), angle).otherwise(bare)
     ratio = F.when(t.rlike(pair), F.try_divide(num(a), num(b))).when(t.rlike(one), single)
     return F.when(F.degrees(F.atan(F.abs(ratio))) <= MAX_DEGREES, ratio)
 
@@ -65,3 +66,31 @@ def ramp(t: Column, stops: list[tuple[float, tuple[int, int, int]]]) -> Column:
 def category_colour(index: Column, palette: list[str], none: str = "#9e9e9e") -> Column:
     """A palette's colour by index, round and round; a grey for negative ones."""
     return F.when(index < 0, F.lit(none)).otherwise(F.element_at(F.array(*map(F.lit, palette)), (index % len(palette) + 1).cast("int")))
+
+
+def parse_degrees(text: Column, unit: str) -> Column:
+    """Degrees of a typed slope; null for what is none or beyond 89.9."""
+    return F.degrees(F.atan(parse_slope(text, unit)))
+
+
+def display_ratio(value: Column, unit: str) -> Column:
+    """Ratio of a number typed in a display unit: n of 1:n in the ratio display (0 is flat); null for what is not finite or steeper than may be typed."""
+    ok = G.finite(value)
+    if unit == "ratio":
+        return F.when(ok, F.when(F.abs(value) <= 1e-12, 0.0).otherwise(F.try_divide(F.lit(1.0), value)))
+    if unit == "degrees":
+        ok = ok & (F.abs(value) <= MAX_DEGREES)
+    return F.when(ok, G.slope_from(value, unit))
+
+
+def display_number(ratio: Column, unit: str) -> Column:
+    """The number that a ratio is shown as; n of 1:n in the ratio display."""
+    if unit == "ratio":
+        return F.when(F.abs(ratio) <= 1e-12, 0.0).otherwise(F.try_divide(F.lit(1.0), ratio))
+    return G.slope_in(ratio, unit)
+
+
+def ramp_samples(spark, stops: list[tuple[float, tuple[int, int, int]]], n: int):
+    """(i, t, r, g, b): a ramp at n evenly spaced places."""
+    t = F.col("id") / F.lit(float(max(n - 1, 1)))
+    return spark.range(n).select(F.col("id").cast("int").alias("i"), t.alias("t"), ramp(t, stops).alias("c")).select("i", "t", "c.r", "c.g", "c.b")

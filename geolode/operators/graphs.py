@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +11,41 @@ from geolode.operators import topology
 from geolode.plans.lineage import materialized
 
 
+#: Links that one task joins by itself; more go by rounds over the table.
+SMALL = 500_000
+
+
+def _joined(frames):
+    """Roots of the nodes that links join, the least of each component."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for f in frames:
+        for a, b in zip(f["a"].tolist(), f["b"].tolist(), strict=True):
+            a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pd.DataFrame({"node": nodes, "root": [find(x) for x in nodes]})
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root): least node reachable over links (a, b), itself included.
 
-    Each round a tree's root hooks on to the least grandparent that any of its
+    Few links (``SMALL``) are joined in one task. Otherwise each round a tree's root hooks on to the least grandparent that any of its
     nodes sees across a link, and every node moves up to its grandparent, so
     trees merge and flatten in about as many rounds as the logarithm of their size.
     """
-    both = links.where("a != b").select("a", "b").union(links.where("a != b").select("b", "a")).toDF("a", "b").distinct()
-    both = materialized(both)
+    once = materialized(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    kind = nodes.schema["node"].dataType.simpleString()
+    if kind in ("bigint", "int", "string") and once.limit(SMALL + 1).count() <= SMALL:
+        root = once.coalesce(1).mapInPandas(_joined, f"node {kind}, root {kind}")
+        return materialized(nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    both = materialized(once.union(once.select("b", "a")).toDF("a", "b"))
     label = materialized(nodes.select(F.col("node"), F.col("node").alias("root")))
     while True:
         up = label.select(F.col("node").alias("root"), F.col("root").alias("grand"))
@@ -81,14 +108,54 @@ def merge_clusters(points: DataFrame, distance: float) -> DataFrame:
     return c.join(mean, "cluster")
 
 
-def peeled(xyz: DataFrame, faces: DataFrame, longest: float) -> DataFrame:
-    """Faces left after border faces with a naked edge longer than ``longest`` are taken off, again and again."""
-    length = F.array(*[F.sqrt(G.distance2(f"{p}x", f"{p}y", f"{q}x", f"{q}y")) for p, q in ("ab", "bc", "ca")])
-    sides = xyz.select("fid", length.alias("len"))
-    left = materialized(faces)
-    while True:
-        naked = topology.half_edges(left).join(topology.naked_edges(left), ["u", "v"], "left_semi").select("fid", "k")
-        gone = naked.join(sides, "fid").where(F.element_at("len", F.col("k") + 1) > longest).select("fid").distinct()
-        if gone.limit(1).count() == 0:
-            return left
-        left = materialized(left.join(gone, "fid", "left_anti"))
+def merge_targets(points: DataFrame, mode: str) -> DataFrame:
+    """(pid, x, y, z): where points go when they are made one: ``first`` or ``last`` by id, or ``centre``, their mean."""
+    if mode == "centre":
+        one = points.agg(*(F.avg(k).alias(k) for k in "xyz"))
+    else:
+        pick = {"first": F.min_by, "last": F.max_by}[mode]
+        one = points.agg(pick(F.struct("x", "y", "z"), "pid").alias("p")).select("p.*")
+    return points.select("pid").join(F.broadcast(one), how="cross")
+
+
+def peel_threshold(xyz: DataFrame, factor: float = 4.0) -> float:
+    """An edge length beyond which border faces go when none is given: a multiple of the median edge in plan."""
+    ends = [F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), F.sqrt(G.distance2(f"{p}x", f"{p}y", f"{q}x", f"{q}y")).alias("l")) for p, q in ("ab", "bc", "ca")]
+    e = xyz.select(F.explode(F.array(*ends)).alias("e")).groupBy("e.u", "e.v").agg(F.min("e.l").alias("l"))
+    r = topology.ranked(e, [F.asc("l"), F.asc("u"), F.asc("v")], "k")
+    n = r.count()
+    return factor * r.where(F.col("k") == n // 2).first().l if n else 0.0
+
+
+def peeled(xyz: DataFrame, faces: DataFrame, longest: float = 0.0, angle: float = 170.0, slope: float = 0.0) -> DataFrame:
+    """Faces left after border faces that qualify are taken off, again and again.
+
+    A face qualifies if its longest edge in plan is longer than ``longest`` (0: four times the
+    median edge) and its widest angle there is at least ``angle`` degrees, or if it is steeper
+    than ``slope`` degrees. A negative length leaves all faces, an angle or slope of 0 is not looked at.
+    Peeling runs on over edges of two faces, so what goes are the connected qualifying faces that reach the border.
+    """
+    if longest < 0:
+        return faces
+    if longest == 0 and angle > 0:
+        longest = peel_threshold(xyz)
+    side = lambda p, q: F.sqrt(G.distance2(f"{p}x", f"{p}y", f"{q}x", f"{q}y"))
+
+    def widest(o, p, q):
+        ux, uy, vx, vy = F.col(f"{p}x") - F.col(f"{o}x"), F.col(f"{p}y") - F.col(f"{o}y"), F.col(f"{q}x") - F.col(f"{o}x"), F.col(f"{q}y") - F.col(f"{o}y")
+        return F.degrees(F.atan2(F.abs(G.cross(ux, uy, vx, vy)), ux * vx + uy * vy))
+
+    goes = F.lit(False)
+    if longest > 0 and angle > 0:
+        goes = goes | ((F.greatest(side("a", "b"), side("b", "c"), side("c", "a")) > longest) & (F.greatest(widest("a", "b", "c"), widest("b", "c", "a"), widest("c", "a", "b")) >= angle))
+    if slope > 0:
+        goes = goes | (F.degrees(F.atan(G.slope_ratio())) > slope)
+    odd = materialized(xyz.where(goes).select("fid").join(faces.select("fid"), "fid", "left_semi"))
+    e = topology.half_edges(faces).where("u != v")
+    shared = topology.edges(faces)
+    mine = materialized(e.join(odd, "fid", "left_semi").join(shared, ["u", "v"]).select("fid", "u", "v", "n_faces"))
+    pair = mine.where("n_faces = 2").groupBy("u", "v").agg(F.min("fid").alias("a"), F.max("fid").alias("b")).where("a != b")
+    root = components(odd.select(F.col("fid").alias("node")), pair.select("a", "b"))
+    border = root.join(mine.where("n_faces = 1").select(F.col("fid").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
+    gone = root.join(border, "root", "left_semi").select(F.col("node").alias("fid"))
+    return faces.join(gone, "fid", "left_anti")

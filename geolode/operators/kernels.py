@@ -23,33 +23,52 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Multipliers of the lattice hash and of its two mixing steps, the step between octaves, and the eight gradients.
+_HX, _HY, _HS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_H1, _H2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_OCTAVE = (17.31, -9.77, 1013)
+_DIAGONAL = 0.70710678118654752440
+_GX = np.array([1.0, -1.0, 0.0, 0.0, _DIAGONAL, -_DIAGONAL, _DIAGONAL, -_DIAGONAL])
+_GY = np.array([0.0, 0.0, 1.0, -1.0, _DIAGONAL, _DIAGONAL, -_DIAGONAL, -_DIAGONAL])
+
+
 def gradient_noise(x: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
-    """Smooth noise of lattice gradients, about -1 to 1, 0 at whole coordinates."""
-    ix, iy = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+    """Smooth noise of lattice gradients, -1 to 1, 0 at whole coordinates. Integer hashing and a table of gradients: the same on every machine."""
+    ix, iy = np.floor(x), np.floor(y)
     fx, fy = x - ix, y - iy
+    ix, iy = ix.astype(np.int64), iy.astype(np.int64)
+    salt = np.uint64((seed & 0xFFFFFFFF) * int(_HS) & (1 << 64) - 1)
 
     def corner(dx: int, dy: int) -> np.ndarray:
-        h = _mixed((ix + dx).view(np.uint64) * _M1 + _mixed((iy + dy).view(np.uint64) + np.uint64(seed & (1 << 64) - 1)))
-        a = (h >> np.uint64(11)).astype(np.float64) * (2 * math.pi / (1 << 53))
-        return np.cos(a) * (fx - dx) + np.sin(a) * (fy - dy)
+        k = ((ix + dx).view(np.uint64) * _HX) ^ ((iy + dy).view(np.uint64) * _HY) ^ salt
+        for m in (_H1, _H2):
+            k = (k ^ (k >> np.uint64(33))) * m
+        g = ((k ^ (k >> np.uint64(33))) & np.uint64(7)).astype(np.int64)
+        return _GX[g] * (fx - dx) + _GY[g] * (fy - dy)
 
     fade = lambda t: t * t * t * (t * (t * 6 - 15) + 10)
     u, v = fade(fx), fade(fy)
-    low, high = corner(0, 0) * (1 - u) + corner(1, 0) * u, corner(0, 1) * (1 - u) + corner(1, 1) * u
-    return (low * (1 - v) + high * v) * math.sqrt(2)
+    low, high = corner(0, 0), corner(0, 1)
+    low, high = low + u * (corner(1, 0) - low), high + u * (corner(1, 1) - high)
+    return np.clip((low + v * (high - low)) * math.sqrt(2), -1, 1)
+
+
+def fractal_noise(x: np.ndarray, y: np.ndarray, octaves: int, gain: float, seed: int) -> np.ndarray:
+    """Octaves of gradient noise (8 at most), each twice as fine and ``gain`` as strong as the one before, over the sum of their weights."""
+    total, weights, weight, k = np.zeros(len(x)), 0.0, 1.0, 1.0
+    gain = min(max(gain, 0.0), 1.0)
+    for o in range(max(1, min(8, octaves))):
+        total += weight * gradient_noise(x * k + o * _OCTAVE[0], y * k + o * _OCTAVE[1], seed + o * _OCTAVE[2])
+        weights, weight, k = weights + weight, weight * gain, k * 2
+    return np.clip(total / weights, -1, 1)
 
 
 def with_noise(points: DataFrame, scale: float, octaves: int, gain: float, seed: int) -> DataFrame:
-    """Adds ``noise``: octaves of gradient noise (8 at most), over the sum of their weights."""
-    octaves = max(1, min(8, octaves))
+    """Adds ``noise``: ``fractal_noise`` at places in units of a scale."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            total, weight, size, k = np.zeros(len(f)), 0.0, 1.0, 1.0
-            for o in range(octaves):
-                total += size * gradient_noise(f.x.to_numpy() / scale * k, f.y.to_numpy() / scale * k, seed + o)
-                weight, size, k = weight + size, size * gain, k * 2
-            yield f.assign(noise=total / weight)
+            yield f.assign(noise=fractal_noise(f.x.to_numpy(float) / scale, f.y.to_numpy(float) / scale, octaves, gain, seed))
 
     return points.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in points.dtypes) + ", noise double")
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolode.functions import geometry as G
+
 GROUND_CLASS = 2
-G_INF = float("inf")
 
 
 def rasterized(cloud: DataFrame, cell: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
@@ -76,16 +79,20 @@ def sampled(grid: DataFrame, points: DataFrame, cell: float = 1.0) -> DataFrame:
 
 
 def labelled(mask: DataFrame) -> DataFrame:
-    """(col, row, label): connected nodes (side by side) of a mask share the least (row, col) as a label."""
+    """(col, row, label): connected nodes (side by side) of a mask share the least (row, col) as a label. Rows and columns lie within 31 bits."""
     from geolode.operators.graphs import components
 
-    key = lambda c, r: F.struct(r.alias("row"), c.alias("col"))
-    nodes = mask.select(key(F.col("col"), F.col("row")).alias("node"))
-    right = mask.select((F.col("col") + 1).alias("col"), "row", key(F.col("col"), F.col("row")).alias("a"))
-    up = mask.select("col", (F.col("row") + 1).alias("row"), key(F.col("col"), F.col("row")).alias("a"))
-    links = right.unionByName(up).join(mask.select("col", "row"), ["col", "row"]).select("a", key(F.col("col"), F.col("row")).alias("b"))
-    c = components(nodes, links)
-    return c.select(F.col("node.col").alias("col"), F.col("node.row").alias("row"), F.concat_ws(":", F.col("root.row").cast("string"), F.col("root.col").cast("string")).alias("label"))
+    wide, half = 1 << 32, 1 << 31
+    key = lambda c, r: F.col(r).cast("long") * wide + F.col(c) + half
+    m = mask.select("col", "row", key("col", "row").alias("node"))
+    right = m.select((F.col("col") + 1).alias("col"), "row", F.col("node").alias("a"))
+    up = m.select("col", (F.col("row") + 1).alias("row"), F.col("node").alias("a"))
+    links = right.unionByName(up).join(m, ["col", "row"]).select("a", F.col("node").alias("b"))
+    c = components(m.select("node"), links)
+    parts = lambda k: (F.expr(f"shiftright({k}, 32)"), F.col(k).bitwiseAND(F.lit(wide - 1)) - half)
+    (r, col), (r0, c0) = parts("node"), parts("root")
+    kinds = {k: mask.schema[k].dataType for k in ("col", "row")}
+    return c.select(col.cast(kinds["col"]).alias("col"), r.cast(kinds["row"]).alias("row"), F.concat_ws(":", r0.cast("string"), c0.cast("string")).alias("label"))
 
 
 def mask_dilated(mask: DataFrame, radius: int) -> DataFrame:
@@ -220,7 +227,7 @@ def harmonic_filled(grid: DataFrame, unknown: DataFrame, tolerance: float = 1e-9
     border = rim.join(size.where(f"n <= {GAP}").select("label"), "label", "left_semi").select("label", "col", "row", "v", F.lit(1).alias("i"))
     solved = small.unionByName(border).groupBy("label").applyInPandas(_solved, f"col {grid.schema['col'].dataType.simpleString()}, row {grid.schema['row'].dataType.simpleString()}, v double, residual double")
     out = known.withColumn("residual", F.lit(0.0)).unionByName(free).unionByName(solved)
-    z = gaps.where(f"start is not null and n > {GAP}").select("col", "row", F.col("start").alias("v"), F.lit(G_INF).alias("residual"))
+    z = gaps.where(f"start is not null and n > {GAP}").select("col", "row", F.col("start").alias("v"), F.lit(G.INF).alias("residual"))
     if z.limit(1).count() == 0:
         return out
     while z.where(F.col("residual") > tolerance).limit(1).count():
@@ -234,3 +241,80 @@ def harmonic_filled(grid: DataFrame, unknown: DataFrame, tolerance: float = 1e-9
 def with_classified_ground(filtered: DataFrame, raster: DataFrame) -> DataFrame:
     """Ground where points of the ground class say so, the filter's elsewhere."""
     return filtered.join(raster.select("col", "row", "ground"), ["col", "row"]).select("col", "row", F.coalesce("ground", "v").alias("v"), (F.col("is_ground") | F.col("ground").isNotNull()).alias("is_ground"))
+
+
+#: Nodes of a raster at most.
+MOST_NODES = 16_000_000
+
+
+def cell_size(cloud: DataFrame) -> float:
+    """Side of a cell that holds four points on the average, larger where the raster would have too many nodes; 1 for no points."""
+    n, x0, x1, y0, y1 = cloud.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not n:
+        return 1.0
+    w, h = x1 - x0, y1 - y0
+    cell = max(math.sqrt(max(w * h, 1e-12) * 4 / n), max(w, h) / (MOST_NODES - 1))
+    while (math.floor(w / cell) + 2) * (math.floor(h / cell) + 2) > MOST_NODES:
+        cell *= 1.5
+    return cell
+
+
+def mesh_rasterized(xyz: DataFrame, cell: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """(col, row, n, top, low) of the nodes that faces cover, borders included by 1e-9 of a weight: the highest and the lowest surface there.
+
+    A face meets the nodes of its own box only; faces without area cover none.
+    """
+    low, high = (lambda k: F.least(*(F.col(f"{c}{k}") for c in "abc"))), (lambda k: F.greatest(*(F.col(f"{c}{k}") for c in "abc")))
+    whole = G.orient("ax", "ay", "bx", "by", "cx", "cy")
+    size = F.greatest(high("x") - low("x"), high("y") - low("y"))
+    f = xyz.where(F.abs(whole) / 2 > 1e-12 * size * size)
+    span = lambda k, o: F.explode(F.sequence(F.ceil((low(k) - o) / cell - 1e-9), F.floor((high(k) - o) / cell + 1e-9)))
+    nodes = lambda k, o: F.floor((high(k) - o) / cell + 1e-9) >= F.ceil((low(k) - o) / cell - 1e-9)
+    f = f.where(nodes("x", x0) & nodes("y", y0)).withColumn("col", span("x", x0)).withColumn("row", span("y", y0))
+    px, py = F.col("col") * cell + x0, F.col("row") * cell + y0
+    wa, wb = G.orient("bx", "by", "cx", "cy", px, py) / whole, G.orient("cx", "cy", "ax", "ay", px, py) / whole
+    f = f.select("col", "row", "az", "bz", "cz", wa.alias("wa"), wb.alias("wb")).withColumn("wc", 1 - F.col("wa") - F.col("wb")).where("wa >= -1e-9 and wb >= -1e-9 and wc >= -1e-9")
+    z = F.col("wa") * F.col("az") + F.col("wb") * F.col("bz") + F.col("wc") * F.col("cz")
+    return f.groupBy("col", "row").agg(F.count("*").alias("n"), F.max(z).alias("top"), F.min(z).alias("low"))
+
+
+def disc_opened(mask: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
+    """(col, row) of a mask opened by a disc: its nodes within the radius of one that lies farther than that from every node outside. ``nodes`` is the whole raster."""
+    outside = nodes.select("col", "row").join(mask.select("col", "row"), ["col", "row"], "left_anti")
+    core = distance2(outside, nodes).where(F.col("d2").isNull() | (F.col("d2") > radius * radius))
+    return distance2(core, mask).where(F.col("d2") <= radius * radius).select("col", "row")
+
+
+def ground_mesh(grid: DataFrame, factor: int, cell: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of every ``factor``-th node (from 0): heights are means of a square around it, as far as it lies evenly inside the raster; two faces to each cell with four corners.
+
+    Vertices are named row * width + col, so faces need no ranks.
+    """
+    size = grid.agg(F.max("col").alias("mc"), F.max("row").alias("mr"))
+    reach = factor // 2
+    g = grid.select("col", "row", "v").join(F.broadcast(size), how="cross").withColumn("width", F.floor(F.col("mc") / factor) + 1)
+    centre = g.where((F.col("col") % factor == 0) & (F.col("row") % factor == 0)).select("width", F.col("col").alias("c"), F.col("row").alias("r"), F.least(F.lit(reach), "col", F.col("mc") - F.col("col")).alias("rx"), F.least(F.lit(reach), "row", F.col("mr") - F.col("row")).alias("ry"))
+    square = centre.withColumn("col", F.explode(F.sequence(F.col("c") - F.col("rx"), F.col("c") + F.col("rx")))).withColumn("row", F.explode(F.sequence(F.col("r") - F.col("ry"), F.col("r") + F.col("ry"))))
+    mean = square.join(grid.select("col", "row", "v"), ["col", "row"]).groupBy("c", "r", "width").agg(F.avg("v").alias("z"))
+    i, j = (F.col("c") / factor).cast("long"), (F.col("r") / factor).cast("long")
+    v = mean.select((j * F.col("width") + i).alias("vid"), (F.col("c") * cell).cast("double").alias("x"), (F.col("r") * cell).cast("double").alias("y"), "z", "width")
+    k, w = F.col("vid"), F.col("width")
+    need = v.where(k % w < w - 1).select(k.alias("cell"), "width", F.explode(F.array(k, k + 1, k + w, k + w + 1)).alias("vid"))
+    full = need.join(v.select("vid"), "vid", "left_semi").groupBy("cell", "width").count().where("count = 4")
+    at = F.col("cell")
+    faces = full.select(F.explode(F.array(F.struct((2 * at).alias("fid"), at.alias("a"), (at + 1).alias("b"), (at + w).alias("c")), F.struct((2 * at + 1).alias("fid"), (at + 1).alias("a"), (at + w + 1).alias("b"), (at + w).alias("c")))).alias("f")).select("f.*")
+    return v.drop("width"), faces
+
+
+def mask_outlines(mask: DataFrame) -> DataFrame:
+    """(label, loop, seq, x, y): the borders of a mask's connected parts as loops of corners of their nodes' cells, the part on the left. Corners lie half a node off."""
+    from geolode.operators.drainage import _loops
+
+    lab = labelled(mask)
+    width = 1 << 31
+    corner = lambda c, r: (F.col("row") + r) * width + F.col("col") + c
+    sides = [((0, -1), (0, 0), (1, 0)), ((1, 0), (1, 0), (1, 1)), ((0, 1), (1, 1), (0, 1)), ((-1, 0), (0, 1), (0, 0))]
+    e = lab.select("label", F.explode(F.array(*[F.struct((F.col("col") + dc).alias("nc"), (F.col("row") + dr).alias("nr"), corner(*p).alias("a"), corner(*q).alias("b")) for (dc, dr), p, q in sides])).alias("s")).select("label", "s.*")
+    rim = e.join(mask.select(F.col("col").alias("nc"), F.col("row").alias("nr")), ["nc", "nr"], "left_anti").select("label", "a", "b")
+    loops = rim.groupBy("label").applyInPandas(lambda key, rows: _loops(key, rows).rename(columns={"root": "label"}), "label string, loop int, seq int, vid long")
+    return loops.select("label", "loop", "seq", (F.pmod("vid", F.lit(width)) - F.lit(0.5)).alias("x"), (F.floor(F.col("vid") / width) - F.lit(0.5)).alias("y"))

@@ -138,3 +138,36 @@ def lattice_flow(xyz: DataFrame, neighbours: DataFrame, flat_ratio: float = 0.00
     m = m.select("fid", F.when(F.col("steep") | (F.col("ratio") <= flat_ratio), F.lit(None)).otherwise(edge).alias("edge"))
     to = F.when(F.col("edge") == 0, F.col("n0")).when(F.col("edge") == 1, F.col("n1")).when(F.col("edge") == 2, F.col("n2"))
     return m.join(neighbours, "fid").select("fid", F.coalesce(to, F.lit(-2)).alias("flows_to"))
+
+
+def smoothing_violations(before: DataFrame, after: DataFrame, neighbours: DataFrame, held: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    """(vid, kind, amount) of vertices that smoothing should not have put where they are: ``held`` ones that moved, others beyond the range of heights within ``rounds`` edges."""
+    from geolode.plans.lineage import materialized
+
+    both = neighbours.select("vid", "nid").unionByName(neighbours.select("vid").distinct().select("vid", F.col("vid").alias("nid")))
+    span = materialized(before.select("vid", F.col("z").alias("lo"), F.col("z").alias("hi")))
+    for _ in range(max(0, rounds)):
+        near = both.join(span.withColumnRenamed("vid", "nid"), "nid").groupBy("vid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        span = materialized(near)
+    j = before.select("vid", F.col("z").alias("z0")).join(after.select("vid", F.col("z").alias("z1")), "vid").join(span, "vid", "left").join(held.select("vid", F.lit(True).alias("held")), "vid", "left")
+    moved = F.abs(F.col("z1") - F.col("z0"))
+    out = F.greatest(F.col("z1") - F.coalesce("hi", "z0"), F.coalesce("lo", "z0") - F.col("z1"))
+    kind = F.when(F.col("held") & (moved > tolerance), "held").when(F.col("held").isNull() & (out > tolerance), "extreme")
+    return j.select("vid", kind.alias("kind"), F.when(F.col("held"), moved).otherwise(out).alias("amount")).where("kind is not null")
+
+
+def contours_updated(segments: DataFrame, xyz: DataFrame, changed: DataFrame, levels: DataFrame) -> DataFrame:
+    """Contour segments after the heights of some vertices (rows vid) changed: only faces with such a corner are traced again (``xyz`` has the new heights)."""
+    corner = xyz.select("fid", F.explode(F.array("a", "b", "c")).alias("vid"))
+    again = corner.join(changed.select("vid").distinct(), "vid", "left_semi").select("fid").distinct()
+    return segments.join(again, "fid", "left_anti").unionByName(contour_segments(xyz.join(again, "fid", "left_semi"), levels))
+
+
+def landform_areas(xyz: DataFrame, curved: DataFrame, tolerance: float, length: float) -> DataFrame:
+    """(landform, n_faces, plan_area) of faces by the mean of their corners' curvatures; those with a corner that has none are ``unmeasured``. A total row is null."""
+    t = G.curvature_threshold(tolerance, length)
+    corner = xyz.select("fid", G.plan_area().alias("area"), F.explode(F.array("a", "b", "c")).alias("vid")).join(curved.select("vid", "mean"), "vid", "left")
+    f = corner.groupBy("fid").agg(F.max("area").alias("area"), F.sum("mean").alias("s"), F.count("mean").alias("n"))
+    h = F.when(F.col("n") == 3, F.col("s") / 3)
+    kind = F.when(h.isNull(), "unmeasured").when(h > t, "convex").when(h < -t, "concave").otherwise("planar")
+    return f.select(kind.alias("landform"), "area").rollup("landform").agg(F.count("*").alias("n_faces"), F.sum("area").alias("plan_area"))

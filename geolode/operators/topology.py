@@ -76,7 +76,7 @@ def creases(xyz: DataFrame, faces: DataFrame, cosine: float) -> DataFrame:
 
 
 def regularity(xyz: DataFrame, sample: int = 2048) -> DataFrame:
-    """Edge length median, skinny faces (an angle under 8 degrees) and extent, over evenly spread faces."""
+    """Faces sampled, skinny ones (an angle under 8 degrees), the median of their mean edges, and whether the mesh is very sparse or skinny, over evenly spread faces."""
     n = xyz.count()
     s = min(n, sample)
     if n > s:
@@ -96,9 +96,24 @@ def regularity(xyz: DataFrame, sample: int = 2048) -> DataFrame:
     least = F.least(angle(l0, l1, l2), angle(l1, l2, l0), angle(l2, l0, l1))
     m = m.withColumn("skinny", F.coalesce(least < 8, F.lit(True)))
     skinny = m.agg(F.count("*").alias("n_sampled"), F.count_if("skinny").alias("n_skinny"))
-    # S edges sorted; the sample is bounded, so one window over it is too.
-    ranked = m.select(F.explode(F.array("l0", "l1", "l2")).alias("l")).withColumn("k", F.row_number().over(Window.orderBy("l"))).where(F.col("k") == F.floor(F.lit(3 * s) / 2) + 1)
-    return skinny.join(F.broadcast(ranked.select(F.col("l").alias("median_edge"))), how="cross") if n else skinny.withColumn("median_edge", F.lit(None).cast("double"))
+    # The sample is bounded, so one window over it is too.
+    ranked_ = m.select(((l0 + l1 + l2) / 3).alias("l")).withColumn("k", F.row_number().over(Window.orderBy("l"))).where(F.col("k") == s // 2 + 1)
+    return skinny.join(F.broadcast(ranked_.select(F.col("l").alias("median_edge"))), how="cross") if n else skinny.withColumn("median_edge", F.lit(None).cast("double"))
+
+
+#: Faces under which a mesh is sparse, and share of its diagonal that its edges must not pass.
+SPARSE_FACES, SPARSE_EDGE = 250, 12
+
+
+def mesh_verdict(xyz: DataFrame) -> DataFrame:
+    """One row: ``n_faces``, ``diagonal``, ``median_edge``, ``very_sparse`` and ``very_skinny`` (a hundredth of the sample, one face at least)."""
+    ends = [f(F.greatest(*(F.col(f"{c}{k}") for c in "abc")) if f is F.max else F.least(*(F.col(f"{c}{k}") for c in "abc"))) for k in "xyz" for f in (F.min, F.max)]
+    whole = xyz.agg(F.count("*").alias("n_faces"), *(e.alias(f"e{i}") for i, e in enumerate(ends)))
+    size = sum((F.col(f"e{i + 1}") - F.col(f"e{i}")) * (F.col(f"e{i + 1}") - F.col(f"e{i}")) for i in (0, 2, 4))
+    one = whole.select("n_faces", F.coalesce(F.sqrt(size), F.lit(0.0)).alias("diagonal")).join(regularity(xyz), how="cross")
+    sparse = (F.col("n_faces") < SPARSE_FACES) | ((F.col("diagonal") > 0) & (F.col("median_edge") > F.col("diagonal") / SPARSE_EDGE))
+    skinny = (F.col("n_sampled") > 0) & (F.col("n_skinny") >= F.greatest(F.lit(1), F.floor(F.col("n_sampled") / 100)))
+    return one.select("n_faces", "diagonal", "median_edge", sparse.alias("very_sparse"), skinny.alias("very_skinny"))
 
 
 def evenly(rows: DataFrame, s: int, n: int, by: str = "fid") -> DataFrame:
@@ -112,6 +127,16 @@ def evenly(rows: DataFrame, s: int, n: int, by: str = "fid") -> DataFrame:
     return ranked.where((i < s) & (F.floor(i * n / s) == F.col("_rank"))).drop("_part", "_at", "_before", "_rank")
 
 
+def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds each row's place (from 0) in an order that has no ties: ranges are sorted apart, then offset by the rows before them."""
+    from geolode.plans.lineage import materialized
+
+    cut = materialized(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = cut.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return cut.withColumn("_at", at).join(F.broadcast(before), "_part").withColumn(name, (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
+
+
 def compacted(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Vertices that a face uses, with their new number ``nid`` in the order of the old ones."""
     used = faces.select(F.explode(F.array("a", "b", "c")).alias("vid")).distinct()

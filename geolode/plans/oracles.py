@@ -162,7 +162,7 @@ SQL: dict[str, str] = {
     "mesh_regularity": f"""WITH {XYZ}, k AS (SELECT *, row_number() OVER (ORDER BY fid) - 1 AS rk, count(*) OVER () AS nn FROM m), pick AS (SELECT k.* FROM k WHERE nn <= 2048 OR rk IN (SELECT floor(i * (SELECT count(*) FROM m) / 2048)::BIGINT FROM range(0, 2048) t(i))),
   l AS (SELECT sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by) + (az - bz) * (az - bz)) AS l0, sqrt((bx - cx) * (bx - cx) + (by - cy) * (by - cy) + (bz - cz) * (bz - cz)) AS l1, sqrt((cx - ax) * (cx - ax) + (cy - ay) * (cy - ay) + (cz - az) * (cz - az)) AS l2 FROM pick),
   a AS (SELECT *, degrees(least(acos((l1 * l1 + l2 * l2 - l0 * l0) / (2 * l1 * l2)), acos((l2 * l2 + l0 * l0 - l1 * l1) / (2 * l2 * l0)), acos((l0 * l0 + l1 * l1 - l2 * l2) / (2 * l0 * l1)))) AS ang FROM l),
-  ed AS (SELECT list_sort(list(x)) AS xs FROM (SELECT unnest([l0, l1, l2]) AS x FROM l)) SELECT count(*) AS n_sampled, count(*) FILTER (ang < 8) AS n_skinny, {r('any_value(xs[len(xs) // 2 + 1])', 'median_edge')} FROM a, ed""",
+  ed AS (SELECT list_sort(list((l0 + l1 + l2) / 3)) AS xs FROM l) SELECT count(*) AS n_sampled, count(*) FILTER (ang < 8) AS n_skinny, {r('any_value(xs[len(xs) // 2 + 1])', 'median_edge')} FROM a, ed""",
     "mesh_compaction": f"WITH {FACES}, used AS (SELECT DISTINCT unnest([a, b, c]) AS vid FROM f WHERE fid % 6 < 2) SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS nid FROM used",
     "weighted_histogram": f"WITH {XYZ}, {HIST} SELECT bin, {r('weight')} FROM hist",
     "weighted_percentile": f"WITH {XYZ}, {CUM} " + " UNION ALL ".join(f"SELECT {p}::DOUBLE AS fraction, {r(percentile(p), 'value')}" for p in (0.02, 0.5, 0.98)),
@@ -262,7 +262,7 @@ PIN = "pin AS (SELECT pid, area_id FROM pt, re WHERE (y1 > y) != (y0 > y) AND x
 SMOOTH = "least(greatest({u}, 0), 1) * least(greatest({u}, 0), 1) * (3 - 2 * least(greatest({u}, 0), 1))"
 TEXTS = """tx AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN '1:' || (o_orderkey % 9) WHEN 1 THEN (o_orderkey % 300) || '%' WHEN 2 THEN (o_orderkey % 95) || '°' WHEN 3 THEN (o_orderkey % 11)::VARCHAR WHEN 4 THEN ' ' || (o_orderkey % 13) || ' : 2 ' WHEN 5 THEN 'steep' ELSE (o_orderkey % 50) || '‰' END AS t FROM orders),
 ps AS (SELECT id, try_cast(regexp_extract(t, '^ *([0-9]+) *: *([0-9]+) *$', 1) AS DOUBLE) AS a, try_cast(regexp_extract(t, '^ *([0-9]+) *: *([0-9]+) *$', 2) AS DOUBLE) AS b, try_cast(regexp_extract(t, '^([0-9]+)(%|‰|°)?$', 1) AS DOUBLE) AS v, regexp_extract(t, '^([0-9]+)(%|‰|°)?$', 2) AS u FROM tx),
-rr AS (SELECT id, CASE WHEN a IS NOT NULL THEN CASE WHEN b != 0 THEN a / b END WHEN u = '%' THEN v / 100 WHEN u = '‰' THEN v / 1000 WHEN u = '°' THEN tan(radians(v)) END AS known, v, u, a FROM ps),
+rr AS (SELECT id, CASE WHEN a IS NOT NULL THEN CASE WHEN b != 0 THEN a / b END WHEN u = '%' THEN v / 100 WHEN u = '‰' THEN v / 1000 WHEN u = '°' AND v <= 89.9 THEN tan(radians(v)) END AS known, v, u, a FROM ps),
 q AS (SELECT id, CASE WHEN a IS NOT NULL OR u != '' THEN known WHEN v = 0 THEN 0 ELSE 1 / v END AS ratio, CASE WHEN a IS NOT NULL OR u != '' THEN known ELSE v / 100 END AS percent FROM rr)"""
 
 
@@ -306,6 +306,9 @@ SQL |= {
     "split_segments": f"""WITH {CROSS}, cut AS (SELECT s1 AS sid, t FROM x UNION SELECT s2, u FROM x UNION SELECT sid, 0 FROM s UNION SELECT sid, 1 FROM s), pr AS (SELECT sid, t AS a, lead(t) OVER (PARTITION BY sid ORDER BY t) AS b, row_number() OVER (PARTITION BY sid ORDER BY t)::INT - 1 AS part FROM cut)
   SELECT sid, part, {r('ax + (bx - ax) * a', 'x0')}, {r('ay + (by - ay) * a', 'y0')}, {r('ax + (bx - ax) * b', 'x1')}, {r('ay + (by - ay) * b', 'y1')} FROM pr JOIN s USING (sid) WHERE b IS NOT NULL""",
     "crossing_chains": f"WITH {CROSS} SELECT DISTINCT sid // 3 AS chain_id FROM (SELECT s1 AS sid FROM x UNION SELECT s2 FROM x)",
+    "boundary_peel": f"""WITH RECURSIVE {XYZ.replace('f AS (', 'f0 AS (').replace('FROM f JOIN', 'FROM f0 f JOIN')}, f AS (SELECT * FROM f0 WHERE fid % 101 != 0), {HALF}, odd AS (SELECT fid FROM m WHERE fid % 101 != 0 AND degrees(atan(slope)) > 60),
+  ad AS (SELECT p.fid AS a, q.fid AS b FROM h p JOIN h q ON p.u = q.u AND p.w = q.w AND p.fid != q.fid WHERE p.fid IN (SELECT fid FROM odd) AND q.fid IN (SELECT fid FROM odd)),
+  gone AS (SELECT DISTINCT h.fid FROM h JOIN edges ON h.u = edges.u AND h.w = edges.v AND n_faces = 1 WHERE h.fid IN (SELECT fid FROM odd) UNION SELECT b FROM gone JOIN ad ON a = gone.fid) SELECT fid FROM f WHERE fid NOT IN (SELECT fid FROM gone)""",
     "boundary_chains": f"""WITH RECURSIVE {FACES.replace('f AS (', 'ff AS (')}, f AS (SELECT * FROM ff WHERE fid % 101 != 0), {HALF}, nk AS (SELECT u, v FROM edges WHERE n_faces = 1), lk AS (SELECT u AS a, v AS b FROM nk UNION SELECT v, u FROM nk),
   lab AS (SELECT a AS node, a AS root FROM lk GROUP BY a UNION SELECT l.b, p.root FROM lab p JOIN lk l ON l.a = p.node), mn AS (SELECT node, min(root) AS root FROM lab GROUP BY node), dg AS (SELECT a AS node, count(*) AS d FROM lk GROUP BY a)
   SELECT root AS chain, any_value(e.n) AS n_edges, count(*) AS n_vertices, bool_and(d = 2) AS closed FROM mn JOIN dg USING (node) JOIN (SELECT root, count(*) AS n FROM nk JOIN mn ON mn.node = nk.u GROUP BY root) e USING (root) GROUP BY root""",

@@ -475,9 +475,10 @@ def point_clusters(spark, d):
 
 @query
 def boundary_peel(spark, d):
-    v, f, xyz = mesh(spark, d)
+    """A mesh with holes, steep faces taken off from its borders."""
+    _, f, xyz = mesh(spark, d)
     holes = f.where("fid % 101 != 0")
-    return graphs.peeled(xyz.join(holes.select("fid"), "fid", "left_semi"), holes, 1.2).select("fid")
+    return graphs.peeled(xyz, holes, 1.2, 170.0, 60.0).select("fid")
 
 
 @query

@@ -2,14 +2,14 @@
 
 import pytest
 
-from geolode.plans import oracles, queries
+from geolode.plans import registry
 from tests.conftest import DATA, oracle_rows, rows_of
 
 
-@pytest.mark.parametrize("name", sorted(oracles.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, duck, name):
-    assert rows_of(queries.QUERIES[name](spark, DATA)) == oracle_rows(duck, oracles.SQL[name])
+    assert rows_of(registry.QUERIES[name](spark, DATA)) == oracle_rows(duck, registry.SQL[name])
 
 
 def test_every_sql_has_a_query():
-    assert set(oracles.SQL) <= set(queries.QUERIES)
+    assert set(registry.SQL) <= set(registry.QUERIES)

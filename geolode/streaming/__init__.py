@@ -1 +1 @@
-
+"""Streams of survey data."""

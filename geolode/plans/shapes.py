@@ -530,6 +530,20 @@ SQL["cross_sections"] = f"""WITH {O.ROUTE}, ln AS (SELECT route_id, any_value(x)
   SELECT route_id, (i + 1)::INT AS seq, {r('k::DOUBLE', '"offset"')}, {r('x + k', 'x')}, {r('y0 + len * i / n', 'y')} FROM nn, range(0, 100000) t(i), range(-3, 4) s(k) WHERE i <= n"""
 
 
+_LENGTH = ((47.1 - 1.3) ** 2 + (21.9 - 0.7) ** 2) ** 0.5
+_U = f"{(47.1 - 1.3) / _LENGTH!r}::DOUBLE", f"{(21.9 - 0.7) / _LENGTH!r}::DOUBLE"
+_AT_SIDE = lambda k: f"(({k}y - 0.7::DOUBLE) * {_U[0]} - ({k}x - 1.3::DOUBLE) * {_U[1]}) AS d{k}, (({k}x - 1.3::DOUBLE) * {_U[0]} + ({k}y - 0.7::DOUBLE) * {_U[1]}) AS s{k}"
+
+
+def _cut(p: str, q: str) -> str:
+    t = f"(d{p} / (d{p} - d{q}))"
+    return f"CASE WHEN (d{p} >= 0) != (d{q} >= 0) THEN [s{p} + (s{q} - s{p}) * {t}, {p}z + ({q}z - {p}z) * {t}] END"
+
+
+SQL["section_slice"] = f"""WITH {O.XYZ}, sd AS (SELECT fid, az, bz, cz, {', '.join(map(_AT_SIDE, 'abc'))} FROM m), ps AS (SELECT fid, list_sort(list_filter([{_cut('a', 'b')}, {_cut('b', 'c')}, {_cut('c', 'a')}], lambda p: p IS NOT NULL)) AS p FROM sd)
+  SELECT fid, {r('p[1][1]', 's0')}, {r('p[1][2]', 'z0')}, {r('p[2][1]', 's1')}, {r('p[2][2]', 'z1')} FROM ps WHERE len(p) = 2 AND p[2][1] >= 0 AND p[1][1] <= {_LENGTH!r}::DOUBLE"""
+
+
 @query
 def lowest_points(spark, d):
     s = F.col("s_suppkey")

@@ -77,9 +77,9 @@ def draped(lines: DataFrame, heights: DataFrame, policy: str = "split") -> DataF
     if policy == "keep":
         return j.withColumn("z", F.coalesce("h", "z")).withColumn("part", F.lit(0)).drop("h")
     if policy == "bridge":
-        back, on = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+        back, on = (Window.partitionBy("route_id").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("seq"), F.desc("seq")))
         at = F.when(F.col("h").isNotNull(), F.col("station"))
-        j = j.withColumns({"s0": F.last(at, True).over(back), "h0": F.last("h", True).over(back), "s1": F.first(at, True).over(on), "h1": F.first("h", True).over(on)})
+        j = j.withColumns({"s0": F.last(at, True).over(back), "h0": F.last("h", True).over(back), "s1": F.last(at, True).over(on), "h1": F.last("h", True).over(on)})
         z = F.coalesce("h", G.lerp("h0", "h1", F.try_divide(F.col("station") - F.col("s0"), F.col("s1") - F.col("s0"))))
         return j.where("h0 is not null and h1 is not null").withColumn("z", z).withColumn("part", F.lit(0)).drop("h", "h0", "h1", "s0", "s1")
     new = F.when(F.col("h").isNotNull() & F.coalesce(F.lag("h").over(w).isNull(), F.lit(True)), 1).otherwise(0)

@@ -149,9 +149,8 @@ def distance2(mask: DataFrame, nodes: DataFrame) -> DataFrame:
     whole = mask.select("col", "row").unionByName(nodes.select("col", "row")).agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
     sites = mask.select("col", "row").distinct().withColumn("at", F.col("row"))
     spread = sites.select("col").distinct().join(F.broadcast(whole), how="cross").select("col", F.explode(F.sequence("lo", "hi")).alias("row"))
-    w = Window.partitionBy("col").orderBy("row")
-    up = F.last("at", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first("at", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # The nearest mask row each way, by windows that grow from either end.
+    up, down = (F.last("at", True).over(Window.partitionBy("col").orderBy(o).rowsBetween(Window.unboundedPreceding, 0)) for o in (F.asc("row"), F.desc("row")))
     gap = F.least(F.col("row") - up, down - F.col("row"))
     lines = spread.join(sites, ["col", "row"], "left").select("col", "row", (gap * gap).alias("g"))
     at = nodes.select(F.col("col").cast("long"), F.col("row").cast("long"))

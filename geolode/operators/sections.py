@@ -107,12 +107,13 @@ def grade_limited(lines: DataFrame, limit: float) -> DataFrame:
     ``feasible`` is false and there is no height. The envelopes are running
     extremes of z +- limit * station, one window each way.
     """
-    w = Window.partitionBy("route_id").orderBy("station")
-    back, on, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Both ways the window grows from its start: one that shrinks towards the end would be worked out anew for every row.
+    whole = Window.partitionBy("route_id")
+    back, on = (whole.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("station"), F.desc("station")))
     s, m = F.col("station"), F.lit(limit) * F.col("station")
     upper = F.greatest(F.max(F.col("z") + m).over(back) - m, F.max(F.col("z") - m).over(on) + m)
     lower = F.least(F.min(F.col("z") - m).over(back) + m, F.min(F.col("z") + m).over(on) - m)
-    ends = {"_s0": F.first("station").over(whole), "_z0": F.first("z").over(whole), "_s1": F.last("station").over(whole), "_z1": F.last("z").over(whole)}
+    ends = {"_s0": F.min("station").over(whole), "_z0": F.min_by("z", "station").over(whole), "_s1": F.max("station").over(whole), "_z1": F.max_by("z", "station").over(whole)}
     out = lines.withColumns({"upper": upper, "lower": lower, **ends})
     span, gap = F.col("_s1") - F.col("_s0"), F.abs(F.col("_z1") - F.col("_z0"))
     required = F.when(span > 0, gap / span).when(gap == 0, 0.0).otherwise(F.lit(G.INF))

@@ -41,8 +41,8 @@ from geolode.llm.common import table, written
 #: Longest context, bytes of text in a block, and blocks whose counts one task adds up.
 ORDER, BLOCK_BYTES, TOGETHER = 5, 8 << 20, 256
 END = 255
-#: Positions or strings worked on at once.
-STEP = 1 << 18
+#: Positions or strings worked on at once, and positions counted or sorted at once.
+STEP, SPAN = 1 << 18, 1 << 20
 _DOC, _LOW, _GRAM, _WORD = 0, 1, 2, 3
 _PACKED = "block long, kind int, range int, seq int, a binary, b binary"
 _LN10 = float(np.log(10.0))
@@ -71,22 +71,24 @@ def _unzip_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(_unzip(raw, np.uint64), dtype=np.uint64)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def _numbered(key: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of ``key`` below ``none`` in order, and each element's place among them (their number for ``none``).
 
+    ``key`` may be overwritten.
+
     Present values are bits, 64 a word with the rank of the word's first, so the
     room taken is by values present and a bit for each possible one; sparser
     values are numbered by sorting alone.
     """
-    ordered = np.sort(key)
-    first = np.empty(len(ordered), bool)
-    first[:1] = True
-    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
-    found = ordered[first]
-    del ordered, first
+    found = _distinct(np.concatenate([_distinct(key[lo : lo + SPAN]) for lo in range(0, len(key), SPAN)] or [key]))
     if len(found) and found[-1] == none:
         found = found[:-1]
-    at = np.empty(len(key), np.int32)
+    at = key if key.dtype == np.int32 else np.empty(len(key), np.int32)  # a slice is read before its places are put there
     if none > 32 * len(key):
         for lo in range(0, len(key), STEP):
             at[lo : lo + STEP] = np.searchsorted(found, key[lo : lo + STEP])
@@ -135,8 +137,8 @@ class Texts:
         at = self.start[:, None] + offs
         return at[offs < self.size[:, None]]
 
-    def levels(self, longest: int) -> Iterator[tuple[Level, Level | None]]:
-        """Each level with the one before; ``at`` has each position's string, ``n`` where there is none."""
+    def levels(self, longest: int, named: bool = True) -> Iterator[tuple[Level, Level | None]]:
+        """Each level with the one before; ``at`` has each position's string, ``n`` where there is none. ``keys`` are wanted only where strings are ``named``."""
         a, before = len(self.alphabet), None
         for n in range(1, longest + 1):
             level = Level()
@@ -157,7 +159,8 @@ class Texts:
                 level.n = len(found)
                 level.parent, level.symbol = (found // a).astype(np.int32), self.alphabet[found % a]
                 del found
-                level.keys = before.keys[level.parent] << np.uint64(8) | level.symbol.astype(np.uint64)
+                if named:
+                    level.keys = before.keys[level.parent] << np.uint64(8) | level.symbol.astype(np.uint64)
                 level.last = (before.last[level.parent] & 255) << 8 | level.symbol
             yield level, before
             before = level
@@ -247,7 +250,10 @@ def _packed(longest: int, ranges: int, block_bytes: int):
         upto = int(texts.size[:n_train].sum())
         low = np.zeros(256 + 65536, np.int64)
         for n, (level, before) in enumerate(texts.levels(longest), 1):
-            counted = np.bincount(level.at[:upto], minlength=level.n + 1)[: level.n].astype(np.uint32)
+            counted = np.zeros(level.n + 1, np.uint32)
+            for lo in range(0, upto, SPAN):  # indices are made eight bytes wide
+                counted += np.bincount(level.at[lo : min(lo + SPAN, upto)], minlength=level.n + 1).astype(np.uint32)
+            counted = counted[: level.n]
             if n <= 2:
                 low[level.keys.astype(np.int64) + (256 if n == 2 else 0)] = counted
             else:
@@ -385,7 +391,7 @@ def _scored(longest: int, ranges: int, low: np.ndarray, tokens: int, types: int)
         """Natural log probability of each text."""
         total = np.zeros(len(texts.size))
         prob = rest = stat = None  # of the level before: log probability, the same once a longer context has excluded, and n, d, X of its contexts
-        for n, (level, before) in enumerate(texts.levels(longest), 1):
+        for n, (level, before) in enumerate(texts.levels(longest, named=False), 1):
             parent, symbol = level.parent, level.symbol
             if n == 1:
                 count, (cn, cd, cx) = low[:256][symbol], (low_n[0], low_d[0], low_x[0])
@@ -408,7 +414,8 @@ def _scored(longest: int, ranges: int, low: np.ndarray, tokens: int, types: int)
             tail = None
             if n > 1:
                 tail = np.zeros(level.n + 1, np.int32)
-                tail[level.at] = before.at
+                for lo in range(0, len(level.at), SPAN):
+                    tail[level.at[lo : lo + SPAN]] = before.at[lo : lo + SPAN]
             left, prob_here = np.empty(level.n), np.empty(level.n)
             for lo in range(0, level.n, STEP):
                 some = slice(lo, min(lo + STEP, level.n))

@@ -36,6 +36,11 @@ def test_flat_faces_have_no_bearing(spark):
     assert s.n_flat == s.n_faces and s.mean_bearing is None
 
 
+def test_flat_faces_are_a_sector_of_their_own(spark):
+    _, _, xyz = mesh(spark, 4, lambda x, y: F.greatest(x - 2, 0 * x))
+    assert {r.sector: r.n_faces for r in faces.aspect_sectors(xyz).collect()} == {"flat": 12, "W": 6}
+
+
 def test_vertical_face_is_left_out_of_the_summary(spark):
     v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.5, 0.0, 1.0)], "vid long, x double, y double, z double")
     f = spark.createDataFrame([(0, 0, 1, 2)], "fid long, a long, b long, c long")

@@ -317,3 +317,18 @@ def test_rectangles_that_are_none(spark):
     got = {r.area_id: r for r in polygons.mapping_rectangles(df, 1e-6).collect()}
     assert (got[1].width, got[1].height, got[1].rotation) == (2, 1, 0) == (got[2].width, got[2].height, got[2].rotation) and got[3].width == 2
     assert [got[k].problem for k in (4, 5, 6)] == ["not level", "3 corners", "start is no corner"]
+
+
+def test_even_sample_is_whole_where_partitions_are_merged(spark):
+    """The counts of the ranges are read from fewer columns than the rows, and merged otherwise."""
+    held = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(40_000).select((F.col("id") * 7 % 40_009).alias("fid"), *(F.rand(i).alias(f"c{i}") for i in range(9)))
+        ids = sorted(r.fid for r in df.select("fid").collect())
+        assert sorted(r.fid for r in topology.evenly(df, 777, 40_000).collect()) == [ids[i * 40_000 // 777] for i in range(777)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

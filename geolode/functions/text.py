@@ -30,9 +30,29 @@ def parse_slope(text: Column, unit: str) -> Column:
     return F.when(F.degrees(F.atan(F.abs(ratio))) <= MAX_DEGREES, ratio)
 
 
+def nearest_decimal(x: Column, decimals: int) -> Column:
+    """The multiple of a power of ten nearest to what ``x`` is in binary, true halves to the even one: as C prints it.
+
+    Java's formatter rounds the shortest decimal that reads back as ``x``, halves up.
+    Numbers of 2^43 and more, and what is not finite, stay as they are.
+    """
+    scale = 10**decimals
+    size = F.abs(x)
+    whole = F.floor(size)
+    f = size - whole
+    high = F.floor(f * 2**26) / F.lit(float(2**26))  # both parts times the scale are exact
+    below = F.floor(f * scale)
+    off = (high * (2 * scale) - (2 * below + 1)) + (f - high) * (2 * scale)
+    up = (off > 0) | ((off == 0) & ((whole * scale + below) % 2 == 1))
+    near = (whole * scale + below + up.cast("long")) / F.lit(float(scale))
+    # Only what lies next to a half is looked at so closely.
+    half = F.abs(size * scale - F.floor(size * scale) - 0.5) <= 1e-6 + size * (scale * 1e-14)
+    return F.when((size < 2**43) & half, F.when(x < 0, -near).otherwise(near)).otherwise(x)
+
+
 def format_slope(ratio: Column, unit: str, decimals: int = 1) -> Column:
     """A slope with its unit; ratios as 1:n, flat ones as 0."""
-    number = lambda x: F.format_string(f"%.{decimals}f", x)
+    number = lambda x: F.format_string(f"%.{decimals}f", nearest_decimal(x, decimals))
     if unit == "ratio":
         return F.when(ratio == 0, F.lit("0")).otherwise(F.concat(F.lit("1:"), number(F.try_divide(F.lit(1.0), ratio))))
     return F.concat(number(G.slope_in(ratio, unit)), F.lit({"percent": "%", "promille": "‰", "degrees": "°"}[unit]))

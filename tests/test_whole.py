@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geolode.functions import text
 from geolode.operators import graphs, rasters, sections, spatial, surfaces, water
 from geolode.plans import queries
 from tests.conftest import DATA
@@ -147,3 +148,16 @@ def test_many_levels_give_what_few_give(spark, monkeypatch):
     one = sorted(map(tuple, surfaces.contour_segments(xyz, levels).collect()))
     monkeypatch.setattr(surfaces, "SMALL", 2)
     assert sorted(map(tuple, surfaces.contour_segments(xyz, levels).collect())) == one
+
+
+# text
+
+
+def test_slopes_are_written_as_c_prints_them(spark):
+    rng = random.Random(3)
+    ratios = [1.6, 0.32, 8.0, 0.064, 0.0128, 0.02675, 0.00125, -1.6, *(round(rng.uniform(0, 9), 4) for _ in range(500))]
+    df = spark.createDataFrame([(x,) for x in ratios], "r double")
+    got = df.select("r", text.format_slope(F.col("r"), "ratio", 2).alias("ratio"), text.format_slope(F.col("r"), "percent", 2).alias("percent"), text.nearest_decimal(F.col("r") + 2.675, 2).alias("near")).collect()
+    for r in got:
+        assert (r.ratio, r.percent) == (f"1:{1 / r.r:.2f}" if r.r else "0", f"{r.r * 100:.2f}%")
+        assert f"{r.near:.2f}" == f"{r.r + 2.675:.2f}"

@@ -148,7 +148,9 @@ def route_compliance(xyz: DataFrame, lines: DataFrame, half_width: float, walk_l
     e = e.withColumn("gx", F.explode(F.sequence(F.floor((F.least("x0", "x1") - half_width) / half_width), F.floor((F.greatest("x0", "x1") + half_width) / half_width))))
     e = e.withColumn("gy", F.explode(F.sequence(F.floor((F.least("y0", "y1") - half_width) / half_width), F.floor((F.greatest("y0", "y1") + half_width) / half_width))))
     d = G.segment_distance("px", "py", "x0", "y0", "x1", "y1")
-    hit = f.join(e, ["gx", "gy"]).withColumn("d", d).where(F.col("d") <= half_width)
+    from geolode.operators import spatial
+
+    hit = spatial.spread(f).join(spatial.spread(e), ["gx", "gy"]).withColumn("d", d).where(F.col("d") <= half_width)
     best = hit.groupBy("fid").agg(F.min_by(F.struct("gx_", "gy_", "plan_area", "x0", "y0", "x1", "y1"), F.struct("d", "route_id", "seq")).alias("b")).select("b.*")
     ux, uy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length = F.sqrt(ux * ux + uy * uy)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geolode.operators import spatial
+
 TILE = 64
 
 
@@ -60,8 +62,8 @@ def sampled(field: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     p = points.select("pid", F.floor(u).alias("i"), F.floor(w).alias("j"), (u - F.floor(u)).alias("fu"), (w - F.floor(w)).alias("fw"))
     k = lambda a, b: (F.col("fu") if a else 1 - F.col("fu")) * (F.col("fw") if b else 1 - F.col("fw"))
     q = p.select("pid", F.explode(F.array(*[F.struct((F.col("i") + a).alias("gi"), (F.col("j") + b).alias("gj"), k(a, b).alias("k")) for a in (0, 1) for b in (0, 1)])).alias("n")).select("pid", "n.*")
-    hit = q.join(field.select("gi", "gj", F.col("value").cast("double").alias("value")), ["gi", "gj"]).groupBy("pid").agg(F.sum(F.col("k") * F.col("value")).alias("v"))
-    return points.select("pid").join(hit, "pid", "left").select("pid", F.coalesce("v", F.lit(0.0)).alias("v"))
+    hit = spatial.spread(q).join(spatial.spread(field.select("gi", "gj", F.col("value").cast("double").alias("value"))), ["gi", "gj"]).groupBy("pid").agg(F.sum(F.col("k") * F.col("value")).alias("v"))
+    return spatial.spread(points.select("pid")).join(spatial.spread(hit), "pid", "left").select("pid", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def resampled(field: DataFrame, cell: float, new_cell: float) -> DataFrame:

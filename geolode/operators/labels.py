@@ -13,7 +13,7 @@ def slopes_at(points: DataFrame, xyz: DataFrame, cell: float, flat_ratio: float
     """(pid, z, slope, bearing) of the highest face over each point (of equals the least); nulls off the surface."""
     h = spatial.faces_at(points, xyz, cell).groupBy("pid").agg(F.max(F.struct("z", (-F.col("fid")).alias("f"))).alias("m")).select("pid", F.col("m.z").alias("z"), (-F.col("m.f")).alias("fid"))
     s = xyz.select("fid", G.slope_ratio().alias("slope"), G.bearing(flat_ratio).alias("bearing"))
-    return points.select("pid").join(h.join(s, "fid").drop("fid"), "pid", "left")
+    return spatial.spread(points.select("pid")).join(spatial.spread(spatial.spread(h).join(spatial.spread(s), "fid").drop("fid")), "pid", "left")
 
 
 def slope_arrows(xyz: DataFrame, spacing: float, cell: float, flat_ratio: float = 0.005) -> DataFrame:
@@ -22,7 +22,7 @@ def slope_arrows(xyz: DataFrame, spacing: float, cell: float, flat_ratio: float
     steps = lambda k: F.sequence(F.ceil(F.col(f"{k}0") / spacing), F.floor(F.col(f"{k}1") / spacing))
     n = e.where("x0 is not null").select(F.explode(steps("x")).alias("col"), steps("y").alias("rows")).select("col", F.explode("rows").alias("row"))
     p = n.select(F.struct("col", "row").alias("pid"), (F.col("col") * spacing).alias("x"), (F.col("row") * spacing).alias("y"))
-    return slopes_at(p, xyz, cell, flat_ratio).where("bearing is not null").join(p, "pid").select("pid.col", "pid.row", "x", "y", "z", "bearing", "slope")
+    return slopes_at(p, xyz, cell, flat_ratio).where("bearing is not null").join(spatial.spread(p), "pid").select("pid.col", "pid.row", "x", "y", "z", "bearing", "slope")
 
 
 def grade_callouts(pairs: DataFrame, xyz: DataFrame, cell: float) -> DataFrame:

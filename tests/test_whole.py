@@ -161,3 +161,23 @@ def test_slopes_are_written_as_c_prints_them(spark):
     for r in got:
         assert (r.ratio, r.percent) == (f"1:{1 / r.r:.2f}" if r.r else "0", f"{r.r * 100:.2f}%")
         assert f"{r.near:.2f}" == f"{r.r + 2.675:.2f}"
+
+
+# joins of exploded rows
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_rows_do_not_go_through_the_driver(spark):
+    """Their number is not known to the planner, which took them for few."""
+    from geolode.operators import fields, labels
+    from geolode.plans.lineage import materialized
+
+    xyz = materialized(queries.mesh(spark, DATA)[2])
+    lines = materialized(sections.plan_stations(queries._routes(spark, DATA)))
+    assert "Broadcast" not in plan_of(sections.route_compliance(xyz, lines, 1.25, 0.4, 1.0, 1.5))
+    assert "Broadcast" not in plan_of(labels.slope_arrows(xyz, 1.0, 2.0))
+    field = materialized(lines.select(F.col("x").cast("long").alias("gi"), F.col("y").cast("long").alias("gj"), F.col("z").cast("float").alias("value")))
+    assert "Broadcast" not in plan_of(fields.resampled(field, 1.0, 2.0))

@@ -163,17 +163,21 @@ def cheapest_routes(grid: DataFrame, requests: DataFrame, limit: float, margin:
 
 
 def stitched(segments: DataFrame, tolerance: float) -> DataFrame:
-    """(level, chain, n_segments, closed, length): contour segments joined where their ends fall into one cell of the tolerance."""
-    from geolode.operators.lines import chain_labels
+    """(level, chain, n_segments, closed, length): contour segments joined where their ends fall into one cell of the tolerance.
 
-    key = lambda i: F.concat_ws(":", *(F.round(F.col(c) / tolerance, 0).cast("long").cast("string") for c in ("level", f"x{i}", f"y{i}")))
-    e = segments.select("level", key(0).alias("u"), key(1).alias("v"), F.sqrt(G.distance2("x0", "y0", "x1", "y1")).alias("l")).where("u != v")
-    c = chain_labels(e.select("u", "v"))
+    Ends are named by y, x and level, so that what lies near one another mostly has names near one another.
+    """
     from geolode.operators.graphs import components
+    from geolode.plans.lineage import materialized
 
-    node = components(e.select(F.explode(F.array("u", "v")).alias("node")).distinct(), e.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    per = e.join(node.withColumnRenamed("node", "u"), "u").groupBy(F.col("root").alias("chain")).agg(F.first("level").alias("level"), F.sum("l").alias("length"))
-    return per.join(c, "chain").select("level", "chain", F.col("n_edges").alias("n_segments"), "closed", "length")
+    cell = lambda c: F.round(F.col(c) / tolerance, 0).cast("long").cast("string")
+    key = lambda i: F.concat_ws(":", F.lpad(cell(f"y{i}"), 20, "0"), F.lpad(cell(f"x{i}"), 20, "0"), cell("level"))
+    e = materialized(segments.select("level", key(0).alias("u"), key(1).alias("v"), F.sqrt(G.distance2("x0", "y0", "x1", "y1")).alias("l")).where("u != v"))
+    # Each segment counts half at either end.
+    ends = e.select("level", "l", F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.first("level").alias("level"), F.count("*").alias("degree"), F.sum("l").alias("l"))
+    root = components(ends.select("node"), e.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    per = ends.join(root, "node").groupBy(F.col("root").alias("chain")).agg(F.first("level").alias("level"), (F.sum("degree") / 2).cast("long").alias("n_segments"), F.bool_and(F.col("degree") == 2).alias("closed"), (F.sum("l") / 2).alias("length"))
+    return per.select("level", "chain", "n_segments", "closed", "length")
 
 
 def principal_axes(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:

@@ -154,6 +154,32 @@ def test_components_by_rounds_and_by_task(spark, monkeypatch):
     assert sorted(map(tuple, graphs.components(nodes, df).collect())) == one
 
 
+def test_components_range_by_range(spark, monkeypatch):
+    rng = random.Random(4)
+    links = [(i, i + rng.choice([1, 1, 2, 40])) for i in range(0, 400) if rng.random() < 0.7] + [(i, rng.randrange(400)) for i in range(0, 400, 37)]
+    for kind, name in (("long", lambda i: i), ("string", lambda i: f"{i:04d}")):
+        nodes = spark.createDataFrame([(name(i),) for i in range(460)], f"node {kind}")
+        df = spark.createDataFrame([(name(a), name(b)) for a, b in links], f"a {kind}, b {kind}")
+        monkeypatch.setattr(graphs, "SMALL", 500_000)
+        one = sorted(map(tuple, graphs.components(nodes, df).collect()))
+        monkeypatch.setattr(graphs, "SMALL", 5)
+        monkeypatch.setattr(graphs, "RANGE", 30)
+        assert sorted(map(tuple, graphs.components(nodes, df).collect())) == one
+
+
+def test_contours_are_stitched_with_one_labelling(spark, monkeypatch):
+    square = [(0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)]
+    line = [(-5.0, -9.5, -4.0, -9.5), (-4.0, -9.5, -3.0, -9.0), (7, 7, 7, 7)]
+    rows = [(0.5, *map(float, s)) for s in square + line] + [(1.5, *map(float, s)) for s in square[:3]]
+    df = spark.createDataFrame(rows, "level double, x0 double, y0 double, x1 double, y1 double")
+    calls = []
+    whole = graphs.components
+    monkeypatch.setattr(graphs, "components", lambda *a: calls.append(1) or whole(*a))
+    got = sorted((r.level, r.n_segments, r.closed, round(r.length, 9)) for r in kernels.stitched(df, 1e-6).collect())
+    assert got == [(0.5, 2, False, round(1 + math.sqrt(1.25), 9)), (0.5, 4, True, 4.0), (1.5, 3, False, 3.0)]
+    assert len(calls) == 1
+
+
 # runs, grades, curves
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geolode.functions import geometry as G
 from geolode.operators import topology
-from geolode.operators.graphs import components, flow_roots
+from geolode.operators.graphs import by_groups, components, flow_roots
 from geolode.plans.lineage import materialized
 
 #: Where a flow ends: over the border, or in a sink.
@@ -194,30 +194,30 @@ def basin_table(roots: DataFrame, flow: DataFrame, xyz: DataFrame) -> DataFrame:
 _LOOP = "root long, loop int, seq int, vid long"
 
 
-def _loops(key, rows):
-    """Directed edges (a, b) of one outline as closed loops: at a vertex with several ways on, the least is taken first."""
+def _loops(root, starts, ends):
+    """Directed edges of one outline as closed loops, rows (root, loop, seq, vid): at a vertex with several ways on, the least is taken first."""
     ways: dict[int, list[int]] = {}
-    for a, b in sorted(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True), reverse=True):
+    for a, b in sorted(zip(starts, ends, strict=True), reverse=True):
         ways.setdefault(a, []).append(b)
     out, n = [], 0
     for start in sorted(ways):
         while ways[start]:
-            at, loop = start, []
+            at, seq = start, 0
             while ways.get(at):
-                loop.append(at)
+                out.append((root, n, seq, at))
+                seq += 1
                 at = ways[at].pop()
                 if at == start:
                     break
-            out += [(key[0], n, i, v) for i, v in enumerate(loop)]
             n += 1
-    return pd.DataFrame(out, columns=["root", "loop", "seq", "vid"])
+    return out
 
 
 def outlines(roots: DataFrame, faces: DataFrame) -> DataFrame:
     """(root, loop, seq, vid): the outline of each group of faces as loops of vertices, the faces on their left as they wind.
 
-    Only sides that no face of the group shares are looked at, one task a group's outline.
+    Only sides that no face of the group shares are looked at, a group's outline in one task, which takes many groups.
     """
     e = topology.half_edges(faces).join(roots, "fid")
     rim = e.groupBy("root", "u", "v").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")).where("n = 1")
-    return rim.select("root", "a", "b").groupBy("root").applyInPandas(_loops, _LOOP)
+    return by_groups(rim.select("root", "a", "b"), "root", _loops, _LOOP)

@@ -308,6 +308,7 @@ def ground_mesh(grid: DataFrame, factor: int, cell: float = 1.0) -> tuple[DataFr
 def mask_outlines(mask: DataFrame) -> DataFrame:
     """(label, loop, seq, x, y): the borders of a mask's connected parts as loops of corners of their nodes' cells, the part on the left. Corners lie half a node off."""
     from geolode.operators.drainage import _loops
+    from geolode.operators.graphs import by_groups
 
     lab = labelled(mask)
     width = 1 << 31
@@ -315,5 +316,5 @@ def mask_outlines(mask: DataFrame) -> DataFrame:
     sides = [((0, -1), (0, 0), (1, 0)), ((1, 0), (1, 0), (1, 1)), ((0, 1), (1, 1), (0, 1)), ((-1, 0), (0, 1), (0, 0))]
     e = lab.select("label", F.explode(F.array(*[F.struct((F.col("col") + dc).alias("nc"), (F.col("row") + dr).alias("nr"), corner(*p).alias("a"), corner(*q).alias("b")) for (dc, dr), p, q in sides])).alias("s")).select("label", "s.*")
     rim = e.join(mask.select(F.col("col").alias("nc"), F.col("row").alias("nr")), ["nc", "nr"], "left_anti").select("label", "a", "b")
-    loops = rim.groupBy("label").applyInPandas(lambda key, rows: _loops(key, rows).rename(columns={"root": "label"}), "label string, loop int, seq int, vid long")
+    loops = by_groups(rim, "label", _loops, "label string, loop int, seq int, vid long")
     return loops.select("label", "loop", "seq", (F.pmod("vid", F.lit(width)) - F.lit(0.5)).alias("x"), (F.floor(F.col("vid") / width) - F.lit(0.5)).alias("y"))

@@ -208,6 +208,14 @@ def test_ponds_of_two_pits(spark):
         assert got[k].n_faces == sum(q > 0 for q in mine) and got[k].volume == pytest.approx(sum(q for q in mine if q > 0) / 2)
 
 
+def test_outlines_take_many_basins_a_call(spark):
+    _, f, _ = lattice(spark, 4, lambda i, j: 0)
+    roots = f.select("fid", (F.col("fid") % 5).alias("root"))
+    got = drainage.outlines(roots, f)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert got.groupBy("root").count().count() == 5
+
+
 # runs, grades, curves
 
 

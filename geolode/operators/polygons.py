@@ -19,12 +19,35 @@ def _numbered(edges: DataFrame) -> DataFrame:
     return edges.select(F.struct("area_id", "ring_id", "seq").alias("sid"), *_XY)
 
 
+#: Edges up to which an area is held against another as a whole.
+WHOLE = 64
+
+
 def overlaps(edges: DataFrame, cell: float) -> DataFrame:
-    """(a, b), a < b: areas of which a vertex of one lies inside the other, or edges properly cross."""
+    """(a, b), a < b: areas of which a vertex of one lies inside the other, or edges properly cross.
+
+    Areas of few edges (``WHOLE``) meet where their boxes do, in the one cell that holds the boxes' common
+    lower corner, and stop at the first proof; pairs with a larger area are found by edges.
+    """
+    ends = [f("x0", "x1") for f in (F.least, F.greatest)] + [f("y0", "y1") for f in (F.least, F.greatest)]
+    box = [f(e).alias(n) for f, e, n in zip((F.min, F.max, F.min, F.max), ends, ("lx", "hx", "ly", "hy"), strict=True)]
+    area = edges.where("area_id is not null").groupBy("area_id").agg(F.count("*").alias("n"), *box)
+    large = area.where(F.col("n") > WHOLE).select("area_id")
+    few = edges.join(large, "area_id", "left_anti").groupBy("area_id").agg(F.collect_list(F.struct(*_XY)).alias("e"), *box).where("lx is not null and ly is not null")
+    at = few.withColumn("gx", spatial._cells(F.col("lx"), F.col("hx"), cell)).withColumn("gy", spatial._cells(F.col("ly"), F.col("hy"), cell))
+    p, q = (at.select("gx", "gy", *(F.col(c).alias(f"{side}_{c}") for c in ("area_id", "e", "lx", "hx", "ly", "hy"))) for side in "pq")
+    low = [F.greatest(f"p_l{k}", f"q_l{k}") for k in "xy"]
+    meet = (F.col("p_area_id") < F.col("q_area_id")) & (low[0] <= F.least("p_hx", "q_hx")) & (low[1] <= F.least("p_hy", "q_hy")) & (F.floor(low[0] / cell) == F.col("gx")) & (F.floor(low[1] / cell) == F.col("gy"))
+    cross = F.exists("p_e", lambda s: F.exists("q_e", lambda t: G.segments_cross_strictly(*(s[k] for k in _XY), *(t[k] for k in _XY))))
+    inside = lambda v, e: F.exists(v, lambda s: F.size(F.filter(e, lambda t: G.ray_crosses(s["x0"], s["y0"], *(t[k] for k in _XY)))) % 2 == 1)
+    proof = F.coalesce(cross, F.lit(False)) | F.coalesce(inside("p_e", "q_e"), F.lit(False)) | F.coalesce(inside("q_e", "p_e"), F.lit(False))
+    found = spatial.spread(p).join(spatial.spread(q), ["gx", "gy"]).where(meet).where(proof).select(F.col("p_area_id").alias("a"), F.col("q_area_id").alias("b"))
+    if not large.limit(1).count():
+        return found
     vertex = edges.select(F.struct("area_id", "ring_id", "seq").alias("pid"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-    inside = spatial.points_in_rings(vertex, edges, cell).select(F.col("pid.area_id").alias("p"), F.col("area_id").alias("q"))
+    within = spatial.points_in_rings(vertex, edges, cell).select(F.col("pid.area_id").alias("p"), F.col("area_id").alias("q"))
     crossing = spatial.segment_crossings(_numbered(edges), cell).select(F.col("s1.area_id").alias("p"), F.col("s2.area_id").alias("q"))
-    return inside.unionByName(crossing).where("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return found.unionByName(within.unionByName(crossing).where("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
 
 
 def self_crossing(edges: DataFrame, cell: float) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geolode.operators import curves, drainage, faces, fields, graphs, kernels, overlay, polygons, rasters, sections, surfaces, tin, topology, water
+from geolode.operators import curves, drainage, faces, fields, graphs, kernels, overlay, polygons, rasters, sections, spatial, surfaces, tin, topology, water
 from geolode.sources import rasters as files
 from geolode.sources import survey, tables
 
@@ -216,6 +216,24 @@ def test_outlines_take_many_basins_a_call(spark):
     assert got.groupBy("root").count().count() == 5
 
 
+def test_areas_overlap_as_wholes_and_by_edges(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for k in range(60):
+        x, y, w = rng.uniform(-9, 9), rng.uniform(-9, 9), rng.choice([0.3, 1.0, 4.0])
+        rows += [(k, 0, i, x + w * c + rng.uniform(-0.1, 0.1), y + w * r + rng.uniform(-0.1, 0.1)) for i, (c, r) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])]
+        if k % 4 == 0:
+            rows += [(k, 1, i, x + w * c, y + w * r) for i, (c, r) in enumerate([(0.3, 0.3), (0.7, 0.3), (0.5, 0.7)])]
+    edges = spatial.ring_edges(spark.createDataFrame(rows, "area_id int, ring_id int, seq int, x double, y double"))
+    whole = polygons.overlaps(edges, 2.0)
+    assert "p_e" in whole._jdf.queryExecution().toString()
+    whole = sorted(map(tuple, whole.collect()))
+    assert len(whole) == len(set(whole)) > 20
+    for n in (0, 4):  # all by edges, as before; those with a hole by edges
+        monkeypatch.setattr(polygons, "WHOLE", n)
+        assert sorted(map(tuple, polygons.overlaps(edges, 2.0).collect())) == whole
+
+
 # runs, grades, curves
 
 

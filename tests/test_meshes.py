@@ -234,6 +234,21 @@ def test_areas_overlap_as_wholes_and_by_edges(spark, monkeypatch):
         assert sorted(map(tuple, polygons.overlaps(edges, 2.0).collect())) == whole
 
 
+def test_points_are_settled_share_by_share(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, rng.uniform(0, 5), rng.uniform(0, 4), rng.uniform(0, 2), rng.choice([True, False, None])) for k in range(500)]
+    kept, want = [], []
+    for k, x, y, z, line in sorted(rows, key=lambda r: (not r[4], r[0])):
+        into = next((q for q, u, v, w in kept if (x - u) ** 2 + (y - v) ** 2 < 0.25 and (not line or (z - w) ** 2 < 0.25)), None)
+        if into is None:
+            kept.append((k, x, y, z))
+        want.append((k, k if into is None else into))
+    df = spark.createDataFrame(rows, "pid long, x double, y double, z double, line boolean")
+    for first in (20_000, 60):
+        monkeypatch.setattr(spatial, "FIRST", first)
+        assert sorted(map(tuple, spatial.deduplicated(df, 0.5).collect())) == sorted(want)
+
+
 # runs, grades, curves
 
 

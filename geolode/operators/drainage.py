@@ -20,6 +20,47 @@ def _sides(neighbours: DataFrame) -> DataFrame:
     return neighbours.select("fid", F.posexplode(F.array("n0", "n1", "n2")).alias("k", "nid"))
 
 
+#: Faces of a flat region, neighbouring pairs of basins, or either of a whole table, that one task takes by itself; more go by rounds over the table.
+SMALL = 500_000
+
+
+def _led(_, fids, what, to, z):
+    """(fid, flows_to) of whole flat regions: faces with heights (0), ways out (1) and neighbours (2)."""
+    height, out, near, back = {}, {}, {}, {}
+    for i, w, j, h in zip(fids, what, to, z, strict=True):
+        if w == 0:
+            height[i] = (h != h, h if h == h else 0.0, i)
+        elif w == 1:
+            out[i] = j
+        else:
+            near.setdefault(i, []).append(j)
+            back.setdefault(j, []).append(i)
+    seen: set = set()
+    ways = set(out)
+    for start in height:
+        if start in seen:
+            continue
+        seen.add(start)
+        region = [start]
+        for x in region:
+            for y in (*near.get(x, ()), *back.get(x, ())):
+                if y not in seen:
+                    seen.add(y)
+                    region.append(y)
+        if ways.isdisjoint(region):
+            out[min(region, key=height.__getitem__)] = SINK
+    front = dict(out)
+    while front:
+        step: dict = {}
+        for n in front:
+            for i in back.get(n, ()):
+                if i not in out:
+                    step[i] = min(step.get(i, n), n)
+        out |= step
+        front = step
+    return list(out.items())
+
+
 def with_flats(flow: DataFrame, neighbours: DataFrame, centroids: DataFrame) -> DataFrame:
     """``flow`` (fid, flows_to) with its flat faces (-2) led to where their region spills.
 
@@ -38,8 +79,19 @@ def with_flats(flow: DataFrame, neighbours: DataFrame, centroids: DataFrame) ->
     spill = rim.groupBy("fid").agg(F.min(F.struct("nz", "nid")).alias("to")).select("fid", F.col("to.nid").alias("flows_to"))
     over = side.where("nid < 0").select("fid").distinct().join(spill, "fid", "left_anti").select("fid", F.lit(BORDER).cast("long").alias("flows_to"))
     done = materialized(spill.unionByName(over))
+    none = F.lit(0).cast("long")
+    rows = flat.join(z, "fid").select("fid", F.lit(0).alias("what"), none.alias("to"), F.coalesce("z", F.lit(float("-inf"))).alias("z"))
+    rows = rows.unionByName(done.select("fid", F.lit(1).alias("what"), F.col("flows_to").alias("to"), F.lit(0.0).alias("z")))
+    rows = rows.unionByName(inner.select("fid", F.lit(2).alias("what"), F.col("nid").alias("to"), F.lit(0.0).alias("z")))
+    led, small = "fid long, flows_to long", inner.limit(SMALL + 1).count() <= SMALL
+    if small:
+        routed = by_groups(rows.withColumn("region", none), "region", _led, led)
+        return flow.where(F.col("flows_to") != SINK).unionByName(routed)
     region = components(flat.select(F.col("fid").alias("node")), inner.select(F.col("fid").alias("a"), F.col("nid").alias("b")))
     region = region.select(F.col("node").alias("fid"), F.col("root").alias("region"))
+    if (region.groupBy("region").count().agg(F.max("count")).first()[0] or 0) <= SMALL:
+        routed = by_groups(rows.join(region, "fid"), "region", _led, led)
+        return flow.where(F.col("flows_to") != SINK).unionByName(routed)
     dry = region.join(region.join(done, "fid", "left_semi").select("region").distinct(), "region", "left_anti").join(z, "fid")
     sinks = dry.groupBy("region").agg(F.min(F.struct("z", "fid")).alias("s")).select(F.col("s.fid").alias("fid"), F.lit(SINK).cast("long").alias("flows_to"))
     done = materialized(done.unionByName(sinks))
@@ -67,6 +119,44 @@ def _joins(roots: DataFrame, xyz: DataFrame, faces: DataFrame) -> DataFrame:
     return e.select("fid", "k", "root", "other", F.least("za", "zb").alias("low"), F.greatest("za", "zb").alias("high"))
 
 
+def _kept(_, a, what, b, low, fid, k):
+    """(root, keeper): the rounds of ``consolidated`` over floors (0), shared floors (1) and pairs (2) in memory."""
+    z, links, pairs = {}, [], []
+    for p, w, q, h, f, s in zip(a, what, b, low, fid, k, strict=True):
+        if w == 0:
+            z[p] = h
+        elif w == 1:
+            links.append((p, q))
+        else:
+            pairs.append((p, q, (h, f, s)))
+    up = {p: p for p in z}
+
+    def find(p):
+        while up[p] != p:
+            up[p] = p = up[up[p]]
+        return p
+
+    while True:
+        for p, q in links:
+            p, q = find(p), find(q)
+            if p != q:
+                # The lower floor keeps its name, of equal floors the least.
+                p, q = sorted((p, q), key=lambda x: (z[x], x))
+                up[q] = p
+        now, best = [], {}
+        for p, q, m in pairs:
+            p, q = find(p), find(q)
+            if p == q or m[0] > max(z[p], z[q]):
+                continue
+            now.append((p, q, m))
+            for x, y in ((p, q), (q, p)):
+                if z[x] >= z[y] and m[0] <= z[x] and (x not in best or m < best[x][0]):
+                    best[x] = m, y
+        if not best:
+            return [(p, find(p)) for p in up]
+        pairs, links = now, [(x, y) for x, (_, y) in best.items()]
+
+
 def consolidated(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, faces: DataFrame) -> DataFrame:
     """(fid, root) with sinks (rows root) merged that share a floor vertex, or are joined no higher than the higher floor.
 
@@ -78,9 +168,26 @@ def consolidated(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, faces: Data
     z = _vertex_heights(xyz).select("vid", "z")
     corner = topology.half_edges(faces).select("fid", F.col("a").alias("vid")).join(roots.join(sinks.select("root"), "root", "left_semi"), "fid").join(z, "vid")
     floor = materialized(corner.groupBy("root").agg(F.min(F.struct("z", "vid")).alias("f")).select("root", F.col("f.z").alias("z"), F.col("f.vid").alias("vid")))
-    joins = materialized(_joins(roots, xyz, faces).join(floor.select("root"), "root", "left_semi").join(floor.select(F.col("root").alias("other")), "other", "left_semi").select("fid", "k", "root", "other", "low"))
-    name = materialized(floor.select("root", F.col("root").alias("keeper"), "z"))
+    # Floors only fall, so an edge above both never joins; of a pair's edges the first says all.
+    other = floor.select(F.col("root").alias("other"), F.col("z").alias("oz"))
+    joins = _joins(roots, xyz, faces).join(floor.select("root", "z"), "root").join(other, "other").where("low <= greatest(z, oz)")
+    joins = joins.groupBy(F.least("root", "other").alias("root"), F.greatest("root", "other").alias("other")).agg(F.min(F.struct("low", "fid", "k")).alias("m"))
+    joins = materialized(joins.select("root", "other", "m.low", "m.fid", "m.k"))
     shared = floor.select("root", F.min("root").over(Window.partitionBy("vid")).alias("first")).where("root != first").select(F.col("root").alias("a"), F.col("first").alias("b"))
+    no = F.lit(0).cast("long")
+    rows = floor.select(F.col("root").alias("a"), F.lit(0).alias("what"), no.alias("b"), F.col("z").alias("low"), no.alias("fid"), no.alias("k"))
+    rows = rows.unionByName(shared.select("a", F.lit(1).alias("what"), "b", F.lit(0.0).alias("low"), no.alias("fid"), no.alias("k")))
+    rows = rows.unionByName(joins.select(F.col("root").alias("a"), F.lit(2).alias("what"), F.col("other").alias("b"), "low", F.col("fid").cast("long").alias("fid"), F.col("k").cast("long").alias("k")))
+    if joins.limit(SMALL + 1).count() <= SMALL:
+        kept = by_groups(rows.withColumn("g", no), "g", _kept, "root long, keeper long")
+        return roots.join(materialized(kept), "root", "left").select("fid", F.coalesce("keeper", "root").alias("root"))
+    # Basins that no pair leads to one another are apart from the first round to the last.
+    group = components(floor.select(F.col("root").alias("node")), shared.unionByName(joins.select(F.col("root").alias("a"), F.col("other").alias("b"))))
+    rows = materialized(rows.join(group.select(F.col("node").alias("a"), F.col("root").alias("g")), "a"))
+    if (rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0) <= SMALL:
+        kept = by_groups(rows, "g", _kept, "root long, keeper long")
+        return roots.join(materialized(kept), "root", "left").select("fid", F.coalesce("keeper", "root").alias("root"))
+    name = materialized(floor.select("root", F.col("root").alias("keeper"), "z"))
     links = shared
     while True:
         nodes = name.select(F.col("keeper").alias("node")).distinct()
@@ -97,10 +204,6 @@ def consolidated(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, faces: Data
     return roots.join(name.select("root", "keeper"), "root", "left").select("fid", F.coalesce("keeper", "root").alias("root"))
 
 
-#: Neighbouring pairs of basins that one task merges by itself; more go by rounds over the table.
-SMALL = 500_000
-
-
 def _absorbed(frames, threshold: float, rounds: int):
     """The rounds of ``without_slivers`` over a table of basins and neighbours in memory."""
     t = pd.concat(list(frames), ignore_index=True)

@@ -133,6 +133,29 @@ def test_sinks_that_share_a_floor_are_one(spark):
     assert got == {0: 0, 1: 0, 2: 2}
 
 
+def test_flats_and_floors_by_task_by_groups_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(12)
+    v, f, xyz = lattice(spark, 14, lambda i, j: rng.choice([1, 2, 2, 3, 4]))
+    calls, whole = [], drainage.components
+    monkeypatch.setattr(drainage, "components", lambda *a: calls.append(1) or whole(*a))
+
+    def run():
+        flow = flows(spark, v, f, xyz).localCheckpoint()
+        roots = graphs.flow_roots(flow).localCheckpoint()
+        sinks = roots.select("root").distinct().join(flow.where("flows_to = -1").select(F.col("fid").alias("root")), "root", "left_anti")
+        one = drainage.consolidated(roots, sinks, xyz, f)
+        return sorted(map(tuple, flow.collect())), sorted(map(tuple, one.collect())), roots.select("root").distinct().count()
+
+    by_task = run()
+    assert not calls  # small tables take no rounds of jobs
+    assert len({r for _, r in by_task[1]}) < by_task[2]
+    for small in (60, 0):  # groups that fit one task each, then none that do
+        monkeypatch.setattr(drainage, "SMALL", small)
+        calls.clear()
+        assert run() == by_task
+        assert calls
+
+
 def test_slivers_by_table_and_by_task(spark, monkeypatch):
     rng = random.Random(3)
     v, f, xyz = lattice(spark, 7, lambda i, j: rng.uniform(0, 9))

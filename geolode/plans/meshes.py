@@ -155,6 +155,13 @@ SQL["flat_flow"] = f"WITH RECURSIVE {FLAT} SELECT fid, flows_to FROM ff"
 
 
 def _basins(spark, d, share: float):
+    from geolode.plans.lineage import shuffled_joins
+
+    with shuffled_joins(spark):
+        return _settled_basins(spark, d, share)
+
+
+def _settled_basins(spark, d, share: float):
     f, xyz, flow = _terraced_flow(spark, d)
     from geolode.plans.lineage import materialized
 

@@ -156,6 +156,17 @@ def test_flats_and_floors_by_task_by_groups_and_by_rounds(spark, monkeypatch):
         assert calls
 
 
+def test_joins_take_shuffles_only_inside(spark):
+    from geolode.plans.lineage import shuffled_joins
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), shuffled_joins(spark):
+        assert spark.conf.get(key) == "-1"
+        raise ZeroDivisionError
+    assert spark.conf.get(key) == was
+
+
 def test_slivers_by_table_and_by_task(spark, monkeypatch):
     rng = random.Random(3)
     v, f, xyz = lattice(spark, 7, lambda i, j: rng.uniform(0, 9))

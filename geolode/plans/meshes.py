@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geolode.functions import geometry as G
 from geolode.operators import drainage, faces, graphs, overlay, spatial, surfaces, tin, topology
 from geolode.plans import oracles as O
+from geolode.plans.lineage import materialized, shuffled_joins
 from geolode.plans.oracles import r, rs
 from geolode.plans.queries import R, _points, _ring_edges, mesh, query, rounded
 from geolode.sources import tables as T
@@ -155,16 +156,12 @@ SQL["flat_flow"] = f"WITH RECURSIVE {FLAT} SELECT fid, flows_to FROM ff"
 
 
 def _basins(spark, d, share: float):
-    from geolode.plans.lineage import shuffled_joins
-
     with shuffled_joins(spark):
         return _settled_basins(spark, d, share)
 
 
 def _settled_basins(spark, d, share: float):
     f, xyz, flow = _terraced_flow(spark, d)
-    from geolode.plans.lineage import materialized
-
     flow, xyz = materialized(flow), materialized(xyz)
     roots = materialized(graphs.flow_roots(flow))
     ends = flow.where("flows_to = -1").select(F.col("fid").alias("root"))
@@ -204,11 +201,13 @@ SQL["basin_outlets"] = f"""WITH RECURSIVE {O.FLOW}{O.ROOTS}, cn AS (SELECT root,
 @query
 def basin_outlines(spark, d):
     """Outlines of the plain lattice's basins: their sides, and the area they enclose."""
-    v, f, xyz = mesh(spark, d)
-    roots = graphs.flow_roots(surfaces.lattice_flow(xyz, topology.face_neighbours(f)))
-    o = drainage.outlines(roots, f).join(v, "vid")
-    e = spatial.ring_edges(o.select(F.col("root").alias("area_id"), F.col("loop").alias("ring_id"), "seq", "x", "y"))
-    return rounded(e.groupBy(F.col("area_id").alias("root")).agg(F.count("*").alias("n_sides"), (F.sum(G.cross("x0", "y0", "x1", "y1")) / 2).alias("area")))
+    with shuffled_joins(spark):
+        v, f, xyz = mesh(spark, d)
+        f = materialized(f)
+        roots = graphs.flow_roots(surfaces.lattice_flow(xyz, topology.face_neighbours(f)))
+        o = drainage.outlines(roots, f).join(v, "vid")
+        e = spatial.ring_edges(o.select(F.col("root").alias("area_id"), F.col("loop").alias("ring_id"), "seq", "x", "y"))
+        return materialized(rounded(e.groupBy(F.col("area_id").alias("root")).agg(F.count("*").alias("n_sides"), (F.sum(G.cross("x0", "y0", "x1", "y1")) / 2).alias("area"))))
 
 
 SQL["basin_outlines"] = f"""WITH RECURSIVE {O.FLOW}{O.ROOTS}, s AS (SELECT root, u, w, count(*) AS n FROM h JOIN roots USING (fid) GROUP BY root, u, w), a AS (SELECT root, sum(plan_area) AS area FROM roots JOIN m USING (fid) GROUP BY root)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from geolode.operators import curves, drainage, faces, fields, graphs, kernels, overlay, polygons, rasters, sections, spatial, surfaces, tin, topology, water
 from geolode.sources import rasters as files
+from geolode.plans import queries
 from geolode.sources import survey, tables
+from tests.conftest import DATA
 
 
 def lattice(spark, n, z):
@@ -167,6 +169,36 @@ def test_joins_take_shuffles_only_inside(spark):
     assert spark.conf.get(key) == was
 
 
+def test_flow_is_followed_range_by_range(spark, monkeypatch):
+    rng = random.Random(8)
+    near = {i: rng.choice([i + 1, i + 1, max(0, i - 1), i + 2, rng.randrange(200), -1, -2, 999]) for i in range(200)}  # 999 is no face: what leads there has no end
+    rounds, tripled = [], graphs._tripled
+    monkeypatch.setattr(graphs, "_tripled", lambda *a: rounds.append(1) or tripled(*a))
+    for to, small, size in ((near, 500_000, 1), (near, 20, 30), ({i: i * 7 % 211 for i in range(211)}, 9, 50)):
+        want = {}
+        for i in to:
+            path, at = [], i
+            while at in to and at not in path and to[at] >= 0:
+                path.append(at)
+                at = to[at]
+            if at in path:
+                want[i] = min(path[path.index(at) :])
+            elif at in to:
+                want[i] = at
+        monkeypatch.setattr(graphs, "SMALL", small)
+        monkeypatch.setattr(graphs, "RANGE", size)
+        got = [tuple(x) for x in graphs.flow_roots(spark.createDataFrame(list(to.items()), "fid long, flows_to long")).collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert len(rounds) == 1  # where every face is led to from another range
+
+
+def test_outlines_of_basins_send_nothing_through_the_driver(spark, monkeypatch):
+    seen, whole = [], graphs.flow_roots
+    monkeypatch.setattr(graphs, "flow_roots", lambda flow: seen.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")) or whole(flow))
+    df = queries.QUERIES["basin_outlines"](spark, DATA)
+    assert seen == ["-1"] and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_slivers_by_table_and_by_task(spark, monkeypatch):
     rng = random.Random(3)
     v, f, xyz = lattice(spark, 7, lambda i, j: rng.uniform(0, 9))

@@ -23,6 +23,9 @@ def _sides(neighbours: DataFrame) -> DataFrame:
 #: Faces of a flat region, neighbouring pairs of basins, or either of a whole table, that one task takes by itself; more go by rounds over the table.
 SMALL = 500_000
 
+#: Edges of one range of basins, when more than that are joined.
+RANGE = 250_000
+
 
 def _led(_, fids, what, to, z):
     """(fid, flows_to) of whole flat regions: faces with heights (0), ways out (1) and neighbours (2)."""
@@ -106,17 +109,13 @@ def with_flats(flow: DataFrame, neighbours: DataFrame, centroids: DataFrame) ->
     return flow.where(F.col("flows_to") != SINK).unionByName(routed.select("fid", "flows_to"))
 
 
-def _vertex_heights(xyz: DataFrame) -> DataFrame:
-    return xyz.select(F.explode(F.array(*[F.struct(F.col(k).alias("vid"), F.col(f"{k}x").alias("x"), F.col(f"{k}y").alias("y"), F.col(f"{k}z").alias("z")) for k in "abc"])).alias("p")).select("p.*").distinct()
-
-
-def _joins(roots: DataFrame, xyz: DataFrame, faces: DataFrame) -> DataFrame:
-    """(fid, k, root, other, low, high): each side of a face whose neighbour drains elsewhere, with its edge's heights."""
-    e = topology.half_edges(faces).select("fid", "k", "a", "b")
-    side = _sides(topology.face_neighbours(faces)).where("nid >= 0").join(roots, "fid").join(roots.select(F.col("fid").alias("nid"), F.col("root").alias("other")), "nid").where("root != other")
-    z = _vertex_heights(xyz).select("vid", "z")
-    e = side.join(e, ["fid", "k"]).join(z.select(F.col("vid").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("vid").alias("b"), F.col("z").alias("zb")), "b")
-    return e.select("fid", "k", "root", "other", F.least("za", "zb").alias("low"), F.greatest("za", "zb").alias("high"))
+def _pairs(roots: DataFrame, xyz: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(root, other, low, high): each basin's neighbours, with the first side by height of its edge's lower, and of its higher end, as (height, fid, k)."""
+    ends = [(F.least(f"{p}z", f"{q}z"), F.greatest(f"{p}z", f"{q}z")) for p, q in ("ab", "bc", "ca")]
+    side = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n{k}").alias("nid"), low.alias("low"), high.alias("high")) for k, (low, high) in enumerate(ends)])
+    e = xyz.join(neighbours, "fid").join(roots, "fid").select("fid", "root", F.explode(F.filter(side, lambda x: x["nid"] >= 0)).alias("e")).select("fid", "root", "e.*")
+    e = e.join(roots.select(F.col("fid").alias("nid"), F.col("root").alias("other")), "nid").where("root != other")
+    return materialized(e.groupBy("root", "other").agg(F.min(F.struct("low", "fid", "k")).alias("low"), F.min(F.struct("high", "fid", "k")).alias("high")))
 
 
 def _kept(_, a, what, b, low, fid, k):
@@ -157,38 +156,174 @@ def _kept(_, a, what, b, low, fid, k):
         pairs, links = now, [(x, y) for x, (_, y) in best.items()]
 
 
-def consolidated(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, faces: DataFrame) -> DataFrame:
-    """(fid, root) with sinks (rows root) merged that share a floor vertex, or are joined no higher than the higher floor.
+#: Clusters of basins: may join on, holds a basin of another range, has joined a lower floor.
+FREE, STUCK, DONE = 0, 1, 2
 
-    The basin of lower floor keeps its name, of equal floors that of least name.
-    A round joins each basin over the first edge, by face and side, at the height
-    of its own floor to a neighbour whose floor is no higher; rounds go on while any joins.
+
+def _grown(up: dict, state: dict, edges: list) -> tuple[list, list]:
+    """Picks of free clusters until none is left, and the edges that stuck ones keep.
+
+    An edge (order, basin, other, a, b) is its basin's to pick; without other it leads to a lower floor.
     """
-    roots = materialized(roots)
-    z = _vertex_heights(xyz).select("vid", "z")
-    corner = topology.half_edges(faces).select("fid", F.col("a").alias("vid")).join(roots.join(sinks.select("root"), "root", "left_semi"), "fid").join(z, "vid")
-    floor = materialized(corner.groupBy("root").agg(F.min(F.struct("z", "vid")).alias("f")).select("root", F.col("f.z").alias("z"), F.col("f.vid").alias("vid")))
+    picks, held = [], []
+
+    def find(p):
+        while up[p] != p:
+            up[p] = p = up[up[p]]
+        return p
+
+    while True:
+        best, now = {}, []
+        for m, p, q, a, b in edges:
+            p = find(p)
+            if q is not None:
+                q = find(q)
+                q = None if state[q] == DONE else q
+            if p == q or state[p] == DONE:
+                continue
+            e = m, p, q, a, b
+            if state[p] == STUCK:
+                held.append(e)
+                continue
+            now.append(e)
+            if p not in best or m < best[p][0]:
+                best[p] = e
+        if not best:
+            break
+        for _, p, q, a, b in best.values():
+            p = find(p)
+            if q is None:
+                state[p] = DONE
+            else:
+                q = find(q)
+                if p == q:  # picked from either side
+                    continue
+                up[p] = q
+                state[q] = max(state[p], state[q])
+            picks.append((a, b))
+        edges = now
+    least: dict = {}
+    for m, p, q, a, b in held:
+        p, q = find(p), None if q is None else find(q)
+        q = None if q is not None and state[q] == DONE else q
+        if p != q and state[p] != DONE and ((p, q) not in least or m < least[p, q][0]):
+            least[p, q] = m, p, q, a, b
+    return picks, list(least.values())
+
+
+_PART = "what int, p long, q long, low double, fid long, k int, a long, b long"
+
+
+def _local(frames):
+    """Picks (0) of one range of basins; whose cluster its basins next to another range are in (1); and of stuck clusters the basins of others in them (2) and their edges (3)."""
+    edges, up, far = [], {}, set()
+    for f in frames:
+        rows = [f[c].tolist() for c in ("p", "q", "lower", "low", "fid", "k")]
+        for p, q, lower, low, fid, k in zip(*rows, strict=True):
+            up[p] = p
+            edges.append(((low, fid, k), p, None if lower else q, p, q))
+    state = dict.fromkeys(up, FREE)
+    rim = set()
+    for _, p, q, _, _ in edges:
+        if q is not None and q not in state:
+            rim.add(p)
+            far.add(q)
+    for q in far:
+        up[q], state[q] = q, STUCK
+    picks, held = _grown(up, state, edges)
+
+    def find(p):
+        while up[p] != p:
+            p = up[p]
+        return p
+
+    # A range's clusters go by names of their own: the least of its basins in it.
+    name: dict = {}
+    for p in state:
+        if p not in far:
+            r = find(p)
+            name[r] = min(name.get(r, p), p)
+    out = [(0, None, None, None, None, None, a, b) for a, b in picks]
+    out += [(1, p, name[find(p)], float(state[find(p)] == DONE), None, None, None, None) for p in rim]
+    out += [(2, name[find(q)], q, None, None, None, None, None) for q in far if find(q) in name]
+    out += [(3, name[p], None if q is None else name.get(q, q), *m, a, b) for m, p, q, a, b in held if p in name]
+    t = pd.DataFrame(out, columns=[c.split()[0] for c in _PART.split(", ")])
+    yield t.astype({c: "Float64" if c == "low" else "Int64" for c in t.columns})
+
+
+def _between(_, what, p, q, done, low, fid, k, a, b):
+    """Picks (a, b) of what is left between ranges: clusters joined already (2) and edges (3), of clusters of which ``done`` says what the other's is."""
+    up, state, edges, links = {}, {}, [], []
+    for w, x, y, d, h, f, s, i, j in zip(what, p, q, done, low, fid, k, a, b, strict=True):
+        up.setdefault(x, x)
+        state.setdefault(x, FREE)
+        y = None if y < 0 else y
+        if y is not None:
+            up.setdefault(y, y)
+            state[y] = max(state.get(y, FREE), DONE if d else FREE)
+        if w == 2:
+            links.append((x, y))
+        else:
+            edges.append(((h, f, s), x, y, i, j))
+
+    def find(n):
+        while up[n] != n:
+            up[n] = n = up[up[n]]
+        return n
+
+    for x, y in links:
+        x, y = find(x), find(y)
+        if x != y:
+            up[x] = y
+            state[y] = max(state[x], state[y])
+    return _grown(up, state, edges)[0]
+
+
+def _links_by_ranges(edges: DataFrame, n: int) -> DataFrame | None:
+    """(a, b) over which basins join, of ``n`` edges (p, q, lower, low, fid, k) that are p's to pick; none if too much leads from range to range.
+
+    Of an edge's order only the first of a cluster counts, so what a range's clusters pick holds
+    while they lie in it as wholes, whatever others do; the rest is settled in one task.
+    """
+    part = materialized(edges.repartitionByRange(-(-n // RANGE), "p").mapInPandas(_local, _PART))
+    label = part.where("what = 1").select(F.col("p").alias("q"), F.col("q").alias("name"), (F.col("low") > 0).alias("done"))
+    left = part.where("what > 1").join(label, "q", "left")
+    left = materialized(left.select("what", "p", F.coalesce("name", "q", F.lit(-1)).alias("q"), F.coalesce("done", F.lit(False)).alias("done"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("low", "fid", "k", "a", "b"))).where("what = 3 or p != q"))
+    if left.limit(SMALL + 1).count() > SMALL:
+        return None
+    rest = by_groups(left.withColumn("g", F.lit(0)), "g", _between, "a long, b long")
+    return materialized(part.where("what = 0").select("a", "b").unionByName(rest))
+
+
+def _keepers(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(root, keeper) of the sinks, by ``consolidated``."""
+    low = F.array_min(F.array(*[F.struct(F.col(f"{k}z").alias("z"), F.col(k).alias("vid")) for k in "abc"]))
+    floor = xyz.join(roots.join(sinks.select("root"), "root", "left_semi"), "fid").groupBy("root").agg(F.min(low).alias("f")).select("root", F.col("f.z").alias("z"), F.col("f.vid").alias("vid"))
+    floor = materialized(floor.select("root", "z", F.min("root").over(Window.partitionBy("vid")).alias("first")))
     # Floors only fall, so an edge above both never joins; of a pair's edges the first says all.
-    other = floor.select(F.col("root").alias("other"), F.col("z").alias("oz"))
-    joins = _joins(roots, xyz, faces).join(floor.select("root", "z"), "root").join(other, "other").where("low <= greatest(z, oz)")
-    joins = joins.groupBy(F.least("root", "other").alias("root"), F.greatest("root", "other").alias("other")).agg(F.min(F.struct("low", "fid", "k")).alias("m"))
-    joins = materialized(joins.select("root", "other", "m.low", "m.fid", "m.k"))
-    shared = floor.select("root", F.min("root").over(Window.partitionBy("vid")).alias("first")).where("root != first").select(F.col("root").alias("a"), F.col("first").alias("b"))
+    other = floor.select(F.col("root").alias("other"), F.col("z").alias("oz"), F.col("first").alias("ofirst"))
+    both = pairs.join(floor, "root").join(other, "other").where("low.low <= greatest(z, oz)")
+    both = both.groupBy(F.least("root", "other").alias("root"), F.greatest("root", "other").alias("other")).agg(F.min_by(F.struct("low", F.when(F.col("root") < F.col("other"), F.struct("z", "oz", "first", "ofirst")).otherwise(F.struct(F.col("oz").alias("z"), F.col("z").alias("oz"), F.col("ofirst").alias("first"), F.col("first").alias("ofirst"))).alias("at")), "low").alias("m"))
+    joins = materialized(both.select("root", "other", "m.low.low", "m.low.fid", "m.low.k", "m.at.z", "m.at.oz", "m.at.first", "m.at.ofirst"))
+    shared = floor.where("root != first").select(F.col("root").alias("a"), F.col("first").alias("b"))
     no = F.lit(0).cast("long")
     rows = floor.select(F.col("root").alias("a"), F.lit(0).alias("what"), no.alias("b"), F.col("z").alias("low"), no.alias("fid"), no.alias("k"))
     rows = rows.unionByName(shared.select("a", F.lit(1).alias("what"), "b", F.lit(0.0).alias("low"), no.alias("fid"), no.alias("k")))
     rows = rows.unionByName(joins.select(F.col("root").alias("a"), F.lit(2).alias("what"), F.col("other").alias("b"), "low", F.col("fid").cast("long").alias("fid"), F.col("k").cast("long").alias("k")))
-    if joins.limit(SMALL + 1).count() <= SMALL:
-        kept = by_groups(rows.withColumn("g", no), "g", _kept, "root long, keeper long")
-        return roots.join(materialized(kept), "root", "left").select("fid", F.coalesce("keeper", "root").alias("root"))
-    # Basins that no pair leads to one another are apart from the first round to the last.
-    group = components(floor.select(F.col("root").alias("node")), shared.unionByName(joins.select(F.col("root").alias("a"), F.col("other").alias("b"))))
-    rows = materialized(rows.join(group.select(F.col("node").alias("a"), F.col("root").alias("g")), "a"))
-    if (rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0) <= SMALL:
-        kept = by_groups(rows, "g", _kept, "root long, keeper long")
-        return roots.join(materialized(kept), "root", "left").select("fid", F.coalesce("keeper", "root").alias("root"))
+    n = joins.count()
+    if n <= SMALL:
+        return materialized(by_groups(rows.withColumn("g", no), "g", _kept, "root long, keeper long"))
+    # Sinks of one floor are one from the start; an edge is the higher floor's to pick, of equal floors either's.
+    e = joins.where("first != ofirst").select("low", "fid", "k", F.explode(F.array(F.struct(F.col("first").alias("p"), F.col("ofirst").alias("q"), F.col("z").alias("z"), F.col("oz").alias("oz")), F.struct(F.col("ofirst").alias("p"), F.col("first").alias("q"), F.col("oz").alias("z"), F.col("z").alias("oz")))).alias("e"))
+    e = e.where("e.z >= e.oz").select("e.p", "e.q", (F.col("e.z") > F.col("e.oz")).alias("lower"), "low", "fid", "k")
+    links = _links_by_ranges(e, n)
+    if links is not None:
+        group = components(floor.select(F.col("root").alias("node")), links.unionByName(shared)).select(F.col("node").alias("root"), F.col("root").alias("g"))
+        first = floor.join(group, "root").groupBy("g").agg(F.min(F.struct("z", "root")).alias("f"))
+        return materialized(group.join(first, "g").select("root", F.col("f.root").alias("keeper")))
     name = materialized(floor.select("root", F.col("root").alias("keeper"), "z"))
     links = shared
+    joins = joins.select("root", "other", "low", "fid", "k")
     while True:
         nodes = name.select(F.col("keeper").alias("node")).distinct()
         group = components(nodes, links).select(F.col("node").alias("keeper"), "root").withColumnRenamed("root", "g")
@@ -201,7 +336,22 @@ def consolidated(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, faces: Data
         links = materialized(both.where("za >= zb and low <= za").groupBy("a").agg(F.min_by("b", F.struct("low", "fid", "k")).alias("b")))
         if not links.limit(1).count():
             break
-    return roots.join(name.select("root", "keeper"), "root", "left").select("fid", F.coalesce("keeper", "root").alias("root"))
+    return name.select("root", "keeper")
+
+
+def _renamed(roots: DataFrame, names: DataFrame) -> DataFrame:
+    return roots.join(names, "root", "left").select("fid", F.coalesce("keeper", "root").alias("root"))
+
+
+def consolidated(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, faces: DataFrame) -> DataFrame:
+    """(fid, root) with sinks (rows root) merged that share a floor vertex, or are joined no higher than the higher floor.
+
+    The basin of lower floor keeps its name, of equal floors that of least name.
+    A round joins each basin over the first edge, by face and side, at the height
+    of its own floor to a neighbour whose floor is no higher; rounds go on while any joins.
+    """
+    roots = materialized(roots)
+    return _renamed(roots, _keepers(roots, sinks, xyz, _pairs(roots, xyz, topology.face_neighbours(faces))))
 
 
 def _absorbed(frames, threshold: float, rounds: int):
@@ -244,20 +394,25 @@ def without_slivers(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, faces: D
     take the name of the one that does not join; of those that join in a circle, the greatest name.
     """
     roots = materialized(roots)
-    area = roots.join(xyz.select("fid", G.plan_area().alias("area")), "fid").groupBy("root").agg(F.sum("area").alias("area"))
+    return _renamed(roots, _absorbers(roots, sinks, xyz, lambda: _pairs(roots, xyz, topology.face_neighbours(faces)), share, rounds))
+
+
+def _absorbers(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, pairs, share: float, rounds: int = 16) -> DataFrame:
+    """(root, keeper) of the basins that are no sinks, by ``without_slivers``; ``pairs`` are asked for if any can join."""
+    area = materialized(roots.join(xyz.select("fid", G.plan_area().alias("area")), "fid").groupBy("root").agg(F.sum("area").alias("area")))
     total = area.agg(F.sum("area")).first()[0] or 0.0
+    # Sinks neither join nor take in others, so only the rest is looked at.
+    state = materialized(area.join(sinks.select("root").distinct(), "root", "left_anti").select("root", F.col("root").alias("keeper"), "area", F.lit(False).alias("sink")))
     if share * total <= 0:
-        return roots
-    sink = sinks.select("root", F.lit(True).alias("sink")).distinct()
-    state = materialized(area.join(sink, "root", "left").select("root", F.col("root").alias("keeper"), "area", F.coalesce("sink", F.lit(False)).alias("sink")))
-    pair = _joins(roots, xyz, faces).groupBy("root", "other").agg(F.min(F.struct("high", "fid", "k")).alias("m"))
-    joins = materialized(pair.select("root", "other", "m.high", "m.fid", "m.k"))
+        return state.select("root", "keeper")
+    other = state.select(F.col("root").alias("other"))
+    joins = materialized(pairs().join(state.select("root"), "root", "left_semi").join(other, "other", "left_semi").select("root", "other", "high.high", "high.fid", "high.k"))
     if joins.limit(SMALL + 1).count() <= SMALL:
         none = lambda t: F.lit(None).cast(t)
         rows = state.select("root", none("long").alias("other"), "area", "sink", none("double").alias("high"), none("long").alias("fid"), none("int").alias("k"))
         rows = rows.unionByName(joins.select("root", "other", none("double").alias("area"), none("boolean").alias("sink"), "high", F.col("fid").cast("long").alias("fid"), F.col("k").cast("int").alias("k")))
         names = rows.coalesce(1).mapInPandas(lambda frames: _absorbed(frames, share * total, max(1, rounds)), "root long, keeper long")
-        return roots.join(materialized(names), "root").select("fid", F.col("keeper").alias("root"))
+        return materialized(names)
     for _ in range(max(1, rounds)):
         now = state.groupBy("keeper").agg(F.sum("area").alias("area"), F.bool_or("sink").alias("sink"))
         names = state.select("root", "keeper").join(now, "keeper")
@@ -270,7 +425,27 @@ def without_slivers(roots: DataFrame, sinks: DataFrame, xyz: DataFrame, faces: D
         flow = now.join(hook, "keeper", "left").select((-F.col("keeper") - 1).alias("fid"), F.when(F.col("to").isNotNull(), F.col("to")).otherwise(F.lit(-1)).alias("to"))
         end = _roots_of(flow)
         state = materialized(state.join(end, "keeper").select("root", F.col("end").alias("keeper"), "area", "sink"))
-    return roots.join(state.select("root", "keeper"), "root").select("fid", F.col("keeper").alias("root"))
+    return state.select("root", "keeper")
+
+
+def settled(roots: DataFrame, ends: DataFrame, xyz: DataFrame, neighbours: DataFrame, share: float) -> DataFrame:
+    """``consolidated``, then ``without_slivers`` if there is a share; all but the basins of ``ends`` (rows root) are sinks. Faces are looked at once, for both."""
+    roots = materialized(roots)
+    pairs = _pairs(roots, xyz, neighbours)
+    basins = roots.select("root").distinct()
+    names = _keepers(roots, basins.join(ends, "root", "left_anti"), xyz, pairs)
+    one = _renamed(roots, names)
+    if not share:
+        return one
+    one = materialized(one)
+
+    def renamed():
+        p = pairs.join(names, "root", "left").select(F.coalesce("keeper", "root").alias("root"), "other", "high")
+        p = p.join(names.select(F.col("root").alias("other"), "keeper"), "other", "left").select("root", F.coalesce("keeper", "other").alias("other"), "high")
+        return p.where("root != other").groupBy("root", "other").agg(F.min("high").alias("high"))
+
+    left = one.select("root").distinct().join(ends, "root", "left_anti")
+    return _renamed(one, _absorbers(one, left, xyz, renamed, share))
 
 
 def _roots_of(hooks: DataFrame) -> DataFrame:

@@ -128,10 +128,11 @@ def _terraced(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _terraced_flow(spark, d):
+    """The terraced surface's faces, their neighbours and where they drain; each is made once, since many steps read them."""
     _, f, xyz = _terraced(spark, d)
-    n = topology.face_neighbours(f)
+    xyz, n = materialized(xyz), materialized(topology.face_neighbours(f))
     c = xyz.select("fid", (F.col("az") + F.col("bz") + F.col("cz")).alias("z"))
-    return f, xyz, drainage.with_flats(surfaces.lattice_flow(xyz, n), n, c)
+    return xyz, n, drainage.with_flats(surfaces.lattice_flow(xyz, n), n, c)
 
 
 @query
@@ -157,32 +158,27 @@ SQL["flat_flow"] = f"WITH RECURSIVE {FLAT} SELECT fid, flows_to FROM ff"
 
 def _basins(spark, d, share: float):
     with shuffled_joins(spark):
-        return _settled_basins(spark, d, share)
+        xyz, flow, roots = _settled_basins(spark, d, share)
+        return materialized(rounded(drainage.basin_table(roots, flow, xyz)))
 
 
 def _settled_basins(spark, d, share: float):
-    f, xyz, flow = _terraced_flow(spark, d)
-    flow, xyz = materialized(flow), materialized(xyz)
-    roots = materialized(graphs.flow_roots(flow))
+    xyz, neighbours, flow = _terraced_flow(spark, d)
+    flow = materialized(flow)
     ends = flow.where("flows_to = -1").select(F.col("fid").alias("root"))
-    sinks = roots.select("root").distinct().join(ends, "root", "left_anti")
-    one = materialized(drainage.consolidated(roots, sinks, xyz, f))
-    left = one.select("root").distinct().join(ends, "root", "left_anti")
-    return f, xyz, flow, materialized(drainage.without_slivers(one, left, xyz, f, share)) if share else one
+    return xyz, flow, drainage.settled(graphs.flow_roots(flow), ends, xyz, neighbours, share)
 
 
 @query
 def basins_consolidated(spark, d):
     """Basins by size, sinks that share a floor being one."""
-    _, xyz, flow, roots = _basins(spark, d, 0.0)
-    return rounded(drainage.basin_table(roots, flow, xyz))
+    return _basins(spark, d, 0.0)
 
 
 @query
 def basins_merged(spark, d):
     """The same, slivers below half a hundredth of the whole joined to a neighbour."""
-    _, xyz, flow, roots = _basins(spark, d, 0.005)
-    return rounded(drainage.basin_table(roots, flow, xyz))
+    return _basins(spark, d, 0.005)
 
 
 @query

@@ -211,6 +211,35 @@ def test_slivers_by_table_and_by_task(spark, monkeypatch):
     assert {10, 25} <= kept and sum(r == 10 for _, r in one) == 3 and len(kept) < roots.select("root").distinct().count()
 
 
+def test_floors_are_joined_range_by_range(spark, monkeypatch):
+    rng = random.Random(21)
+    v, f, xyz = lattice(spark, 26, lambda i, j: rng.choice([1, 1, 2, 2, 3, 4]))
+    xyz, f = xyz.localCheckpoint(), f.localCheckpoint()
+    roots = xyz.select("fid", F.expr("fid - fid % 3").alias("root")).localCheckpoint()
+    sinks = roots.where("root % 11 != 0").select("root").distinct()
+    one = dict(map(tuple, drainage.consolidated(roots, sinks, xyz, f).collect()))
+    found, whole = [], drainage._links_by_ranges
+    monkeypatch.setattr(drainage, "_links_by_ranges", lambda *a: found.append(whole(*a)) or found[-1])
+    monkeypatch.setattr(drainage, "SMALL", 300)
+    for size in (500, 60):
+        monkeypatch.setattr(drainage, "RANGE", size)
+        assert dict(map(tuple, drainage.consolidated(roots, sinks, xyz, f).collect())) == one
+    assert len(found) == 2 and None not in found  # no rounds over the table
+    assert len(set(one.values())) < len(set(roots.select("root").distinct().collect())) - 50
+
+
+def test_sinks_are_no_work_for_slivers(spark, monkeypatch):
+    v, f, xyz = lattice(spark, 12, lambda i, j: i * j % 7)
+    roots = xyz.select("fid", F.expr("fid - fid % 4").alias("root"))
+    sinks = roots.where("root not in (0, 24)").select("root").distinct()
+    rounds, whole = [], drainage._roots_of
+    monkeypatch.setattr(drainage, "_roots_of", lambda *a: rounds.append(1) or whole(*a))
+    monkeypatch.setattr(drainage, "SMALL", 4)
+    got = dict(map(tuple, drainage.without_slivers(roots, sinks, xyz, f, 0.5).collect()))
+    assert not rounds and len(got) == 242  # of some 60 neighbours of either
+    assert {k: r for k, r in got.items() if k - k % 4 not in (0, 24)} == {k: k - k % 4 for k in got if k - k % 4 not in (0, 24)}
+
+
 def test_components_by_rounds_and_by_task(spark, monkeypatch):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]

@@ -162,22 +162,92 @@ def cheapest_routes(grid: DataFrame, requests: DataFrame, limit: float, margin:
     return rows.groupBy("request").applyInPandas(search, _PATH)
 
 
-def stitched(segments: DataFrame, tolerance: float) -> DataFrame:
+def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least of what each of ``n`` nodes is joined with over edges (u, v)."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        u, v = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(label, further := label[label]):
+            label = further
+
+
+_PIECE = "level double, degrees long, closed boolean, length double, open boolean, lc long, y long, x long, token string"
+
+
+def _pieces(frames: Iterator[pd.DataFrame], height: int) -> Iterator[pd.DataFrame]:
+    """Chains of the segments of whole bands, named by the least end in them; open ones run on in other bands, over segments that their rows with a token name."""
+    frames = [f for f in frames if len(f)]
+    if not frames:
+        return
+    t = pd.concat(frames, ignore_index=True)
+    bands = t["band"].unique()
+    # A segment between two bands that both are here came twice.
+    t = t[(t["band"] == t["yu"] // height) | ~(t["yu"] // height).isin(bands)]
+    lc, y, x = np.tile(t["lc"].to_numpy(), 2), np.concatenate([t["yu"], t["yv"]]), np.concatenate([t["xu"], t["xv"]])
+    order = np.lexsort((x, y, lc))
+    lc, y, x = lc[order], y[order], x[order]
+    new = np.r_[True, (lc[1:] != lc[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1])]
+    node = np.empty(len(order), dtype=np.int64)
+    node[order] = np.cumsum(new) - 1
+    lc, y, x = lc[new], y[new], x[new]
+    m, n = len(t), len(lc)
+    u, v = node[:m], node[m:]
+    own = np.isin(y // height, bands)
+    inner = own[u] & own[v]
+    label = _labels(n, u[inner], v[inner])
+    degree, half = np.bincount(node, minlength=n), np.bincount(node, np.tile(t["l"].to_numpy(), 2), n)
+    at, piece = np.unique(label[own], return_inverse=True)  # a piece's label is its least end
+    k = len(at)
+    level = np.empty(n)
+    level[u] = level[v] = t["level"].to_numpy()
+    cross = np.flatnonzero(~inner)
+    mine = np.searchsorted(at, label[np.where(own[u[cross]], u[cross], v[cross])])
+    open_ = np.zeros(k, dtype=bool)
+    open_[mine] = True
+    out = pd.DataFrame({"level": level[at], "degrees": np.bincount(piece, degree[own], k).astype(np.int64), "closed": np.bincount(piece, degree[own] != 2, k) == 0, "length": np.bincount(piece, half[own], k) / 2, "open": open_, "lc": lc[at], "y": y[at], "x": x[at], "token": None})
+    yield out
+    if len(cross):
+        a, b = u[cross], v[cross]
+        ends = zip(*(c[i].tolist() for i in (a, b) for c in (lc, y, x)), strict=True)
+        yield out.iloc[mine].assign(token=[":".join(map(str, sorted((e[:3], e[3:])))) for e in ends])
+
+
+#: Segments of one band, where bands are not given.
+BAND = 100_000
+
+
+def stitched(segments: DataFrame, tolerance: float, band: float | None = None) -> DataFrame:
     """(level, chain, n_segments, closed, length): contour segments joined where their ends fall into one cell of the tolerance.
 
-    Ends are named by y, x and level, so that what lies near one another mostly has names near one another.
+    Segments are dealt to bands of y (``band`` high, by their number and extent if that is not given), those
+    between two bands to both; only what runs from band to band is joined over the table. Chains are named by
+    the y, x and level of their least end.
     """
     from geolode.operators.graphs import components
     from geolode.plans.lineage import materialized
 
-    cell = lambda c: F.round(F.col(c) / tolerance, 0).cast("long").cast("string")
-    key = lambda i: F.concat_ws(":", F.lpad(cell(f"y{i}"), 20, "0"), F.lpad(cell(f"x{i}"), 20, "0"), cell("level"))
-    e = materialized(segments.select("level", key(0).alias("u"), key(1).alias("v"), F.sqrt(G.distance2("x0", "y0", "x1", "y1")).alias("l")).where("u != v"))
-    # Each segment counts half at either end.
-    ends = e.select("level", "l", F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.first("level").alias("level"), F.count("*").alias("degree"), F.sum("l").alias("l"))
-    root = components(ends.select("node"), e.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    per = ends.join(root, "node").groupBy(F.col("root").alias("chain")).agg(F.first("level").alias("level"), (F.sum("degree") / 2).cast("long").alias("n_segments"), F.bool_and(F.col("degree") == 2).alias("closed"), (F.sum("l") / 2).alias("length"))
-    return per.select("level", "chain", "n_segments", "closed", "length")
+    cell = lambda c: F.round(F.col(c) / tolerance, 0).cast("long")
+    if band is None:
+        n, lo, hi = segments.agg(F.count("*"), F.min(F.least("y0", "y1")), F.max(F.greatest("y0", "y1"))).first()
+        band = (hi - lo) / max(1, n // BAND) if n and hi is not None else 1.0
+    height = max(1, math.ceil(band / tolerance))
+    e = segments.select("level", cell("level").alias("lc"), *(cell(f"{c}{i}").alias(f"{c}{k}") for i, k in enumerate("uv") for c in "yx"), F.sqrt(G.distance2("x0", "y0", "x1", "y1")).alias("l")).where("yu != yv or xu != xv")
+    of = lambda c: F.floor(F.col(c) / height)
+    e = e.withColumn("band", F.explode(F.when(of("yu") == of("yv"), F.array(of("yu"))).otherwise(F.array(of("yu"), of("yv")))))
+    piece = materialized(e.repartition("band").mapInPandas(lambda frames: _pieces(frames, height), _PIECE))
+    name = F.concat_ws(":", F.lpad(F.col("y").cast("string"), 20, "0"), F.lpad(F.col("x").cast("string"), 20, "0"), F.col("lc").cast("string"))
+    whole = piece.where("not open").select("level", name.alias("chain"), "degrees", "closed", "length")
+    part = piece.where("open").withColumn("name", name)
+    links = part.where("token is not null").groupBy("token").agg(F.min("name").alias("a"), F.max("name").alias("b"))
+    part = part.where("token is null")
+    root = components(part.select(F.col("name").alias("node")), links.select("a", "b"))
+    joined = part.join(root.withColumnRenamed("node", "name"), "name").groupBy(F.col("root").alias("chain")).agg(F.first("level").alias("level"), F.sum("degrees").alias("degrees"), F.bool_and("closed").alias("closed"), F.sum("length").alias("length"))
+    return whole.unionByName(joined).select("level", "chain", (F.col("degrees") / 2).cast("long").alias("n_segments"), "closed", "length")
 
 
 def principal_axes(points: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:

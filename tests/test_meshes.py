@@ -262,6 +262,43 @@ def test_components_range_by_range(spark, monkeypatch):
         assert sorted(map(tuple, graphs.components(nodes, df).collect())) == one
 
 
+def test_contours_are_stitched_band_by_band(spark, monkeypatch):
+    rng = random.Random(6)
+    v, f, xyz = lattice(spark, 16, lambda i, j: rng.choice([0, 1, 2, 3, 1.5]))
+    levels = spark.createDataFrame([(0.5,), (1.0,), (1.75,)], "level double")
+    df = surfaces.contour_segments(xyz, levels).select("level", *(F.col(c) - 8 for c in ("x0", "y0", "x1", "y1"))).toDF("level", "x0", "y0", "x1", "y1").localCheckpoint()
+    root, ends = {}, []
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    for s in df.collect():
+        u, w = ((s.level, round(x * 1e6), round(y * 1e6)) for x, y in ((s.x0, s.y0), (s.x1, s.y1)))
+        if u != w:
+            ends.append((u, w, math.dist((s.x0, s.y0), (s.x1, s.y1))))
+            root[find(u)] = find(w)
+    chains, degree = {}, {}
+    for u, w, length in ends:
+        chains.setdefault(find(u), []).append(length)
+        for n in (u, w):
+            degree[n] = degree.get(n, 0) + 1
+    closed = {c: all(degree[n] == 2 for n in degree if find(n) == c) for c in chains}
+    want = sorted((c[0], len(x), closed[c], round(sum(x), 6)) for c, x in chains.items())
+    nodes, whole = [], graphs.components
+    monkeypatch.setattr(graphs, "components", lambda n, links: nodes.append(n.count()) or whole(n, links))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else all bands lie in one task
+    try:
+        for band in (None, 100.0, 3.0, 0.4):
+            got = kernels.stitched(df, 1e-6, band).collect()
+            assert sorted((r.level, r.n_segments, r.closed, round(r.length, 6)) for r in got) == want
+            assert len({r.chain for r in got}) == len(got)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert nodes[0] <= nodes[2] < len(degree) / 4 and nodes[3]  # only what runs from band to band is joined over the table
+
+
 def test_contours_are_stitched_with_one_labelling(spark, monkeypatch):
     square = [(0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)]
     line = [(-5.0, -9.5, -4.0, -9.5), (-4.0, -9.5, -3.0, -9.0), (7, 7, 7, 7)]

@@ -262,6 +262,18 @@ def test_components_range_by_range(spark, monkeypatch):
         assert sorted(map(tuple, graphs.components(nodes, df).collect())) == one
 
 
+def test_corners_of_the_lattice_by_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 3)
+    rng = random.Random(2)
+    # With gaps, and a vertex that is there twice.
+    rows = [(k, float(k % 5), float(k // 5), rng.random()) for k in range(-12, 90) if rng.random() < 0.9] + [(31, 1.0, 6.0, 7.5)]
+    v = spark.createDataFrame(rows, "vid long, x double, y double, z double")
+    got = tables.lattice_corners(v, 5)
+    want = faces.gather(tables.lattice_faces(v, 5), v).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert tables.lattice_corners(v, 5)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_contours_are_stitched_band_by_band(spark, monkeypatch):
     rng = random.Random(6)
     v, f, xyz = lattice(spark, 16, lambda i, j: rng.choice([0, 1, 2, 3, 1.5]))
